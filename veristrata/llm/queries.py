@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .packing import op7_packing
 from .simhash import op3_simhash
 
-QUERIES = {"op3_simhash": op3_simhash}
+QUERIES = {"op3_simhash": op3_simhash, "op7_packing": op7_packing}
 SQL: dict[str, str] = {}
