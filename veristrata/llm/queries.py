@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .packing import op7_packing
+from .pii import op9_pii
 from .simhash import op3_simhash
 
-QUERIES = {"op3_simhash": op3_simhash, "op7_packing": op7_packing}
+QUERIES = {"op3_simhash": op3_simhash, "op7_packing": op7_packing, "op9_pii": op9_pii}
 SQL: dict[str, str] = {}
