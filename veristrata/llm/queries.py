@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP5_SQL, op5_decontamination
 from .packing import op7_packing
 from .pii import op9_pii
 from .simhash import op3_simhash
 
-QUERIES = {"op3_simhash": op3_simhash, "op7_packing": op7_packing, "op9_pii": op9_pii}
-SQL: dict[str, str] = {}
+QUERIES = {"op3_simhash": op3_simhash, "op5_decontamination": op5_decontamination, "op7_packing": op7_packing, "op9_pii": op9_pii}
+SQL: dict[str, str] = {"op5_decontamination": OP5_SQL}
