@@ -5,7 +5,8 @@ from __future__ import annotations
 from .decontaminate import OP5_SQL, op5_decontamination
 from .packing import op7_packing
 from .pii import op9_pii
+from .quality import op10_quality
 from .simhash import op3_simhash
 
-QUERIES = {"op3_simhash": op3_simhash, "op5_decontamination": op5_decontamination, "op7_packing": op7_packing, "op9_pii": op9_pii}
+QUERIES = {"op3_simhash": op3_simhash, "op5_decontamination": op5_decontamination, "op7_packing": op7_packing, "op9_pii": op9_pii, "op10_quality": op10_quality}
 SQL: dict[str, str] = {"op5_decontamination": OP5_SQL}
