@@ -1,15 +1,63 @@
-"""Corpus pipeline (stages follow)."""
+"""From raw documents to packed token sequences: five stages, each on all that the one before kept.
 
-from veristrata.llm.common import read
+language ID (rejects texts of no language) -> SimHash near-dedup (one document of each group
+stays) -> benchmark decontamination -> PII masking -> best-fit packing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veristrata.llm.common import cut, read
+from veristrata.llm.decontaminate import leaks
+from veristrata.llm.langid import identify
+from veristrata.llm.near_copies import keep_one
+from veristrata.llm.packing import pack
+from veristrata.llm.pii import mask
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in some language; ids that language identification rejects go. Null and empty texts go."""
+    kept = identify(docs).where("keep").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id."""
+    return keep_one(docs)
 
-STAGES = []
-ORACLE_SQL = None
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = leaks(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("leak_id"), "left_anti")
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows the new text."""
+    return mask(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences of at most 2048."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("PII", pii_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: The stages use trained models and a tokenizer, which SQL cannot express.
+ORACLE_SQL = None
 
-def run(spark, sf_dir):
-    """Apply the stages, in order, to ``documents``."""
-    from veristrata.llm.common import cut
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages, in order, to ``documents``; each result is written and read again."""
     docs = read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
