@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op8_ann
 from .decontaminate import OP5_SQL, op5_decontamination
 from .langid import language_id_pages, op4_language_id
 from .packing import op7_packing
@@ -9,5 +10,5 @@ from .pii import op9_pii
 from .quality import op10_quality
 from .simhash import op3_simhash
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_language_id": op4_language_id, "language_id_pages": language_id_pages, "op5_decontamination": op5_decontamination, "op7_packing": op7_packing, "op9_pii": op9_pii, "op10_quality": op10_quality}
+QUERIES = {"op3_simhash": op3_simhash, "op4_language_id": op4_language_id, "language_id_pages": language_id_pages, "op5_decontamination": op5_decontamination, "op7_packing": op7_packing, "op8_ann": op8_ann, "op9_pii": op9_pii, "op10_quality": op10_quality}
 SQL: dict[str, str] = {"op5_decontamination": OP5_SQL}
