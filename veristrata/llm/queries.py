@@ -8,9 +8,10 @@ from .langid import language_id_pages, op4_language_id
 from .packing import op7_packing
 from .pii import op9_pii
 from .quality import op10_quality
+from .repeats import op6_repeats
 from .simhash import op3_simhash
 from .urls import op2_url_filter
 from .wordpiece import op1_token_counts
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_url_filter": op2_url_filter, "op3_simhash": op3_simhash, "op4_language_id": op4_language_id, "language_id_pages": language_id_pages, "op5_decontamination": op5_decontamination, "op7_packing": op7_packing, "op8_ann": op8_ann, "op9_pii": op9_pii, "op10_quality": op10_quality}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_url_filter": op2_url_filter, "op3_simhash": op3_simhash, "op4_language_id": op4_language_id, "language_id_pages": language_id_pages, "op5_decontamination": op5_decontamination, "op6_repeats": op6_repeats, "op7_packing": op7_packing, "op8_ann": op8_ann, "op9_pii": op9_pii, "op10_quality": op10_quality}
 SQL: dict[str, str] = {"op5_decontamination": OP5_SQL}
