@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import facts
 
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
+_MODULES = (facts,)
+QUERIES: dict = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}
