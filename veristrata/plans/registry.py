@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import facts
+from . import facts, search
 
-_MODULES = (facts,)
+_MODULES = (facts, search)
 QUERIES: dict = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}
