@@ -34,11 +34,11 @@ def region_chain(spark: SparkSession, layout: DataFrame, depth: int = 50) -> Dat
           SELECT article, sid, governing, CASE WHEN opens THEN sid END, 0 FROM {layout}
           UNION ALL
           SELECT c.article, c.sid, l.governing, CASE WHEN l.opens THEN l.sid END, c.hops + 1
-          FROM chase c JOIN {layout} l ON l.article = c.article AND l.sid = c.at WHERE c.found IS NULL AND c.hops < {depth}
+          FROM chase c JOIN {layout} l ON l.article = c.article AND l.sid = c.at WHERE c.found IS NULL AND c.hops < DEPTH
         ) SELECT article, sid, min(found) AS region FROM chase GROUP BY article, sid
-        """,
-        layout=layout, depth=F.lit(depth),
-    )
+        """.replace("DEPTH", str(int(depth))),
+        layout=layout,
+    )
 
 
 def nearest_scope(values: DataFrame, scopes: DataFrame, by: list[str]) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import facts, search
+from . import facts, ledgers, search
 
-_MODULES = (facts, search)
+_MODULES = (facts, search, ledgers)
 QUERIES: dict = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}
