@@ -25,7 +25,7 @@ def hydrate_profile(tables: DataFrame, items: DataFrame, values: DataFrame, peri
         F.when(F.col("items").isNull(), F.lit("ITEM_MISSING")), F.when(F.col("periods").isNull(), F.lit("PERIOD_MISSING")), F.when(F.size("dimensions") > 8, F.lit("AXES_TOO_MANY")),
         F.when(levels != F.sequence(F.lit(1), F.greatest(F.size("dimensions"), F.lit(1))), F.lit("LEVELS_NOT_CONTIGUOUS")), F.when(F.col("twice"), F.lit("VALUE_ID_TWICE")),
     )
-    return out.drop("twice").withColumn("errors", F.array_compact(codes))
+    return out.withColumn("errors", F.array_compact(codes)).drop("twice")
 
 
 def unique_resolve(projections: DataFrame, target: str = "target_id") -> DataFrame:
