@@ -89,7 +89,7 @@ class Model:
         self.directions = rng.standard_normal((len(STATS), FEATURES)) / width
         self.shift = rng.uniform(0, 2 * np.pi, FEATURES)
         self.weights = np.zeros((FOLDS + 1, FEATURES + 1))
-        self.edges, self.levels = np.array([0.0]), np.array([0.5, 0.5])
+        self.edges, self.levels = np.array([0.0]), np.array([0.5])
 
     def features(self, s: np.ndarray) -> np.ndarray:
         z = np.clip((s - self.mean) / self.sd, -8, 8)
