@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, texts_of
+from .common import cut, maybe_broadcast, small_batches, texts_of
 from .simhash import near_duplicates, shingle_hashes
 
 #: Shingle length and similarity by which a copy is confirmed.
 WORDS, SIMILARITY = 5, 0.8
+#: Members that meet a root's text in one part.
+MEMBERS = 500
 
 
 def similarity(a: str, b: str, words: int = WORDS) -> float:
@@ -32,21 +34,22 @@ def copies(docs: DataFrame, radius: int = 6, words: int = WORDS, least: float =
     """
     small_batches(docs.sparkSession)
     grouped = cut(near_duplicates(docs, words=4, radius=radius, id_col=id_col, text_col=text_col))
-    members = grouped.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("member"), F.col("component_id").alias("root"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("at"), F.coalesce(F.col(text_col), F.lit("")).alias("member_text"))
-    own = members.join(texts, members.member == texts["at"]).select("member", "root", "member_text")
-    roots = docs.select(F.col(id_col).cast("bigint").alias("at"), F.coalesce(F.col(text_col), F.lit("")).alias("root_text"))
-    roots = roots.join(members.select(F.col("root").alias("at")).distinct(), "at", "left_semi")
-    pairs = own.join(roots, own.root == roots["at"])
-    same = pairs.where(F.col("member_text") == F.col("root_text")).select("member", "root")
+    members = cut(grouped.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("member"), F.col("component_id").alias("root")))
+    # A root of many members is met in several parts, each with the root's text once.
+    parts = maybe_broadcast(cut(members.groupBy("root").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("at"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = members.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+    own = own.join(texts, own.member == texts["at"]).select("member", "root", "part", F.col("text").alias("member_text"))
+    roots = texts.join(parts, texts["at"] == parts["root"]).select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("root_text"))
+    pairs = own.join(roots, ["root", "part"]).select("member", "root", "member_text", "root_text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = pa.array([similarity(x, y, words) >= least for x, y in zip(texts_of(b.column(2)), texts_of(b.column(3)), strict=True)], pa.bool_())
+            ok = pa.array([x == y or similarity(x, y, words) >= least for x, y in zip(texts_of(b.column(2)), texts_of(b.column(3)), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["member", "root"])
 
-    near = pairs.where(F.col("member_text") != F.col("root_text")).select("member", "root", "member_text", "root_text").mapInArrow(rows, "member bigint, root bigint")
-    return same.unionByName(near).select(F.col("member").alias(id_col), F.col("root").alias("kept_id"))
+    found = pairs.mapInArrow(rows, "member bigint, root bigint")
+    return found.select(F.col("member").alias(id_col), F.col("root").alias("kept_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
