@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import facts, language, ledgers, search
+from . import facts, judging, language, ledgers, search
 
-_MODULES = (facts, search, ledgers, language)
+_MODULES = (facts, search, ledgers, language, judging)
 QUERIES: dict = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}
