@@ -61,58 +61,69 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
         return out ^ (out >> np.uint64(32))
 
 
-def minimisers(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """Positions kept: in every ``window`` consecutive positions the one of the smallest gram hash, the last of equals."""
+def chosen(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """For each run of ``window`` positions the one of the smallest gram hash, the last of equals: it depends on the run's words alone."""
     g = window_hashes(h, gram)
     if len(g) < window:
         return np.zeros(0, np.int64)
     view = np.lib.stride_tricks.sliding_window_view(g[::-1], window)
-    at = len(g) - 1 - (view.argmin(axis=1) + np.arange(len(view)))
-    return np.unique(at)
+    return (len(g) - 1 - (view.argmin(axis=1) + np.arange(len(view))))[::-1]
+
+
+def minimisers(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """Positions kept: all that are chosen in some run."""
+    return np.unique(chosen(h, window, gram))
 
 
-def suffixes(classes: DataFrame, least: int = LEAST, window: int = WINDOW) -> DataFrame:
-    """``(id, at, key, w)``: the kept suffixes; w are window hashes of ``least`` words, one for each start to the left (null bits: 0)."""
+def heads(rows: DataFrame, least: int = LEAST, window: int = WINDOW) -> DataFrame:
+    """``(u, at, key)`` of ``rows(u, text)``: each kept suffix and the hash of its first words."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, ats, keys, alls = [], [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
+            us, ats, keys = [], [], []
+            for u, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                 h = word_hashes(text.encode().lower().split())
-                if len(h) < least:
-                    continue
-                at = minimisers(h, window)
-                head, full = window_hashes(h, least - window + 1), window_hashes(h, least)
-                at = at[at < len(head)]
-                starts = at[:, None] - np.arange(window)[None]
-                ok = (starts >= 0) & (starts < len(full))
-                at, starts, ok = at[ok.any(axis=1)], starts[ok.any(axis=1)], ok[ok.any(axis=1)]
-                ids.append(np.full(len(at), doc))
-                ats.append(at)
-                keys.append(head[at])
-                alls.append(np.where(ok, full[np.clip(starts, 0, len(full) - 1)], np.uint64(0)))
-            n = sum(map(len, ats))
-            w = np.concatenate(alls).ravel().view(np.int64) if n else np.zeros(0, np.int64)
-            join = lambda x, t: pa.array(np.concatenate(x).view(t) if n else np.zeros(0, t))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * window, pa.int32()), pa.array(w))
-            yield pa.RecordBatch.from_arrays([join(ids, np.int64), join(ats, np.int64), join(keys, np.int64), lists], names=["id", "at", "key", "w"])
-
-    return classes.mapInArrow(rows, "id bigint, at bigint, key bigint, w array<bigint>")
-
-
-def repeated_starts(kept: DataFrame) -> DataFrame:
-    """``(id, start)`` of every window of the wanted length that begins by a kept suffix and occurs at two places.
-
-    Suffixes whose first words occur once go first, by counts that are combined before the
-    shuffle. Of the others, the extended windows are counted in the same way. So however many
-    texts hold one passage, no task gets all of them.
+                if len(h) >= least:
+                    head = window_hashes(h, least - window + 1)
+                    at = minimisers(h, window)
+                    at = at[at < len(head)]
+                    us.append(np.full(len(at), u, np.int64))
+                    ats.append(at)
+                    keys.append(head[at].view(np.int64))
+            join = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
+            yield pa.RecordBatch.from_arrays([join(us, np.int64), join(ats, np.int32), join(keys, np.int64)], names=["u", "at", "key"])
+
+    return rows.mapInArrow(run, "u bigint, at int, key bigint")
+
+
+def extended(rows: DataFrame, least: int = LEAST, window: int = WINDOW) -> DataFrame:
+    """``(u, start, h)`` of ``rows(u, text, ats)``: windows of ``least`` words about the suffixes ``ats``.
+
+    A suffix is extended to the left as far as it is still the one chosen among the first
+    ``window`` words, and to the right up to ``least`` words: copies of a passage choose alike.
     """
-    some = kept.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    left = cut(kept.join(some, "key", "left_semi"))
-    windows = left.select("id", "at", F.posexplode("w").alias("d", "h")).where("h <> 0").select("id", (F.col("at") - F.col("d")).alias("start"), "h").distinct()
-    windows = cut(windows)
-    twice = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return windows.join(twice, "h", "left_semi").select("id", "start")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            us, starts, hashes = [], [], []
+            for u, text, ats in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist(), strict=True):
+                if not ats:
+                    continue
+                h = word_hashes(text.encode().lower().split())
+                full = window_hashes(h, least)
+                s = np.flatnonzero(np.isin(chosen(h, window)[: len(full)], ats))
+                us.append(np.full(len(s), u, np.int64))
+                starts.append(s)
+                hashes.append(full[s].view(np.int64))
+            join = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
+            yield pa.RecordBatch.from_arrays([join(us, np.int64), join(starts, np.int32), join(hashes, np.int64)], names=["u", "start", "h"])
+
+    return rows.mapInArrow(run, "u bigint, start int, h bigint")
+
+
+def _repeated(df: DataFrame, value: str) -> DataFrame:
+    """The rows whose value occurs in more than one row; counts are combined before the shuffle."""
+    return df.join(df.groupBy(value).agg(F.count("*").alias("n")).where("n > 1").select(value), value, "left_semi")
 
 
 def repeats(docs: DataFrame, least: int = LEAST, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,18 +137,22 @@ def repeats(docs: DataFrame, least: int = LEAST, window: int = WINDOW, id_col: s
     """
     small_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    member = cut(named.select("id", F.xxhash64("text").alias("t1"), F.xxhash64(F.reverse("text"), F.lit(7)).alias("t2")))
-    classes = cut(member.groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    firsts = named.join(classes.select(F.col("rep").alias("id"), (F.col("n") > 1).alias("copied")), "id")
-    texts = cut(firsts.dropDuplicates(["id"]))
-    starts = repeated_starts(cut(suffixes(texts.select("id", "text"), least, window)))
-    by_id = starts.groupBy("id").agg(F.collect_list("start").alias("starts"))  # at most one text's words
+    named = named.select("id", F.xxhash64("text").alias("t1"), F.xxhash64(F.reverse("text"), F.lit(7)).alias("t2"), "text")
+    rows = named.select("id", "t1", "t2", F.xxhash64("id", "t1").alias("u"), "text")
+    member = cut(rows.select("id", "t1", "t2", "u"))
+    classes = cut(member.groupBy("t1", "t2").agg(F.min(F.struct("id", "u")).alias("rep"), F.count("*").alias("n")).select("t1", "t2", F.col("rep.u").alias("u"), (F.col("n") > 1).alias("copied")))
+    kept = cut(heads(rows.select("u", "text"), least, window).join(classes.select("u").distinct(), "u", "left_semi").distinct())
+    by_text = _repeated(kept, "key").groupBy("u").agg(F.collect_list("at").alias("ats"))  # at most one text's words
+    wanted = classes.select("u", "copied").join(by_text, "u", "left").where("copied OR ats IS NOT NULL")
+    texts = cut(rows.select("u", "text").join(wanted, "u").dropDuplicates(["u"]))
+    windows = cut(extended(texts.where("NOT copied OR ats IS NOT NULL").select("u", "text", "ats"), least, window))
+    starts = _repeated(windows, "h").groupBy("u").agg(F.collect_list("start").alias("starts"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            ids, sizes, hits, found = [], [], [], []
-            for doc, text, copied, at in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            us, sizes, hits, found = [], [], [], []
+            for u, text, copied, at in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if not copied and not at:
                     continue
                 words, begin, end = word_spans(text)
@@ -147,19 +162,19 @@ def repeats(docs: DataFrame, least: int = LEAST, window: int = WINDOW, id_col: s
                 if copied:
                     cover[0] += 1
                 else:
-                    for s in set(at):
-                        cover[s] += 1
-                        cover[s + least] -= 1
+                    s = np.unique(at)
+                    np.add.at(cover, s, 1)
+                    np.add.at(cover, s + least, -1)
                 inside = np.cumsum(cover)[:-1] > 0
                 edge = np.flatnonzero(np.diff(np.r_[0, inside.astype(np.int8), 0]))
-                ids.append(doc)
+                us.append(u)
                 sizes.append(len(words))
                 hits.append(int(inside.sum()))
                 found.append([{"start": int(begin[a]), "end": int(end[z - 1])} for a, z in zip(edge[::2], edge[1::2], strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), pa.array(found, kind)], names=["rep", "n_words", "repeated_words", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), pa.array(found, kind)], names=["u", "n_words", "repeated_words", "spans"])
 
-    per_text = texts.join(by_id, "id", "left").select("id", "text", "copied", "starts").mapInArrow(spans, "rep bigint, n_words bigint, repeated_words bigint, spans array<struct<start:bigint,end:bigint>>")
-    of_class = classes.select("t1", "t2", "rep").join(cut(per_text), "rep")
+    per_text = texts.join(starts, "u", "left").select("u", "text", "copied", "starts").mapInArrow(spans, "u bigint, n_words bigint, repeated_words bigint, spans array<struct<start:bigint,end:bigint>>")
+    of_class = classes.select("t1", "t2", "u").join(cut(per_text), "u").drop("u")
     return member.join(of_class, ["t1", "t2"]).select(F.col("id").alias(id_col), "n_words", "repeated_words", "spans")
 
 
