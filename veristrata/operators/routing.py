@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.period import shift_period
+from ..functions.period import let, shift_period
 
 # Fixed values of the vocabulary.
 OFFICIAL = "공식집계"
@@ -41,6 +41,10 @@ def comparison_basis(sentence: Column, measurement: Column) -> Column:
 
 def baseline_period(measured: Column, basis: Column) -> Column:
     """The period that a measured one is compared with: a year, a month or a quarter before; empty otherwise."""
+    return let(measured, lambda m: _baseline(m, basis))
+
+
+def _baseline(measured: Column, basis: Column) -> Column:
     by_unit = F.when(measured.rlike(r"^\d{4}-\d{2}$"), -12).when(measured.rlike(r"^\d{4}-Q\d$"), -4).otherwise(-1)
     out = (
         F.when(basis == "YOY", shift_period(measured, by_unit))

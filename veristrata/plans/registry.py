@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import facts, judging, language, ledgers, search, wording
+from . import facts, judging, language, ledgers, search, stack, wording
 
-_MODULES = (facts, search, ledgers, language, judging, wording)
+_MODULES = (facts, search, ledgers, language, judging, wording, stack)
 QUERIES: dict = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}
