@@ -20,7 +20,7 @@ from veristrata.llm.pii import mask
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some language; ids that language identification rejects go. Null and empty texts go."""
     kept = identify(docs).where("keep").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = leaks(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("leak_id"), "left_anti")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

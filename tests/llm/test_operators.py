@@ -378,3 +378,11 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in out.select("doc_id").distinct().collect()) == [0, 1, 2, 3, 4, 5]
     assert out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_null_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "word one", "en", "s", 1), (None, None, "en", "s", 1), (3, "word one", "en", "s", 1)], SCHEMA)
+    assert simhash.near_duplicates(docs).count() == 3 and packing.pack(docs).count() == 3
+    assert wordpiece.token_counts(docs).count() == pii.find_spans(docs).count() == langid.identify(docs).count() == 3
+    assert near_copies.keep_one(docs).count() == 3 and repeats.repeats(docs).count() == 0
+    assert quality.quality_scores(docs, spark.createDataFrame([(None, 1, 0), (3, None, 0)], "doc_id bigint, quality int, toxic int")).count() == 3

@@ -162,7 +162,7 @@ def _node(limit: int, slack: int, keep: int, level: int, last: bool):
             sizes = [sum(int(offsets[i + 1] - offsets[i]) for i in b) for b in part]
             column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values.take(pa.array(take)))
             ids = pa.array(base + np.arange(a, a + len(part)), mask=up[a : a + len(part)])
-            first = pa.array([min(values[int(offsets[i])]["doc_id"].as_py() for i in b) for b in part], pa.int64())
+            first = pa.array([min((x for i in b if (x := values[int(offsets[i])]["doc_id"].as_py()) is not None), default=None) for b in part], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(totals[a : a + len(part)]), first, column.cast(bin_type)], names=["sequence_id", "fill", "first", "items"])
 
     return rows

@@ -283,7 +283,7 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     """
     probe = plan_probe(nodes, radius)
     keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(probe.masks)])
-    probes = nodes.select("fp", "rep", F.explode(keys).alias("k")).select(F.col("k.part").alias("part"), F.col("k.key").alias("key"), "fp", "rep")
+    probes = nodes.where("rep IS NOT NULL").select("fp", "rep", F.explode(keys).alias("k")).select(F.col("k.part").alias("part"), F.col("k.key").alias("key"), "fp", "rep")
     mixed = F.xxhash64("part", "key")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
