@@ -102,6 +102,28 @@ def test_keep_one(odd, empty):
     assert near_copies.keep_one(empty).count() == 0
 
 
+def test_near_copies_in_chains(spark, monkeypatch):
+    rng = random.Random(21)
+    root = words(rng, 100)
+    chain = [root]
+    for i in range(30):  # each is like the one before it, and soon unlike the first
+        chain.append([*chain[-1][:3 * i], *words(rng, 3), *chain[-1][3 * i + 3 :]])
+    texts = [" ".join(w) for w in chain]
+    texts += texts[10:20] + [t + " end" for t in texts[10:20]]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    # Every row in one component: only the choice within it is tested.
+    monkeypatch.setattr(near_copies, "near_duplicates", lambda docs, **_: docs.select("doc_id", F.lit(0).cast("bigint").alias("fp"), F.lit(0).cast("bigint").alias("component_id")))
+    stays = []
+    for i, t in enumerate(texts):
+        if all(near_copies.similarity(t, texts[j]) < near_copies.SIMILARITY for j in stays):
+            stays.append(i)
+    for members in (500, 3):  # in one round, and in several
+        monkeypatch.setattr(near_copies, "MEMBERS", members)
+        assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == stays
+    assert 1 < len(stays) < 31
+
+
 def test_token_counts_match_greedy(spark, odd, empty):
     automaton = wordpiece._automaton(None)
     starting, continuing = (set(x) for x in wordpiece.load_vocabulary())

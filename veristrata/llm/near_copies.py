@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, maybe_broadcast, small_batches, texts_of
@@ -14,7 +15,7 @@ from .simhash import near_duplicates, shingle_hashes
 
 #: Shingle length and similarity by which a copy is confirmed.
 WORDS, SIMILARITY = 5, 0.8
-#: Members that meet a root's text in one part.
+#: Members of a component that are settled in one task in the first round, and that meet those that stay in one part.
 MEMBERS = 500
 
 
@@ -25,31 +26,141 @@ def similarity(a: str, b: str, words: int = WORDS) -> float:
     return common / (len(x) + len(y) - common) if len(x) or len(y) else 1.0
 
 
-def copies(docs: DataFrame, radius: int = 6, words: int = WORDS, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, kept_id)``: rows that are near copies of the smallest id of their SimHash component.
+class Kept:
+    """Shingle sets of kept texts, looked up by prefix filtering: of two sets that are similar enough,
+    the ``n - ceil(least * n) + 1`` smallest hashes of each have one in common, so none is missed."""
+
+    def __init__(self, words: int, least: float) -> None:
+        self.words, self.least = words, least
+        self.sets: list[tuple[int, np.ndarray]] = []
+        self.at: dict[int, list[int]] = {}
+        self.blank: int | None = None
+
+    def set_of(self, text: str) -> np.ndarray:
+        return np.unique(np.concatenate([*shingle_hashes(text, self.words), np.zeros(0, np.uint64)]))
+
+    def _prefix(self, x: np.ndarray) -> list[int]:
+        return x[: len(x) - math.ceil(self.least * len(x) - 1e-9) + 1].tolist()
+
+    def find(self, x: np.ndarray) -> int | None:
+        """The first kept id whose text is similar; None if there is none."""
+        if not len(x):
+            return self.blank
+        n = len(x)
+        for i in sorted({i for h in self._prefix(x) for i in self.at.get(h, ())}):
+            kept_id, y = self.sets[i]
+            if min(n, len(y)) >= self.least * max(n, len(y)) - 1e-9:
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if common / (n + len(y) - common) >= self.least:
+                    return kept_id
+        return None
 
-    A component joins fingerprints (of 4-word shingles) linked at ``radius`` bits; each member is
-    held against the component's smallest id by exact shingle similarity, and is a copy from
-    ``least`` on. Texts without words are copies of each other. Null counts as empty.
+    def add(self, kept_id: int, x: np.ndarray) -> None:
+        if not len(x):
+            self.blank = kept_id if self.blank is None else self.blank
+            return
+        for h in self._prefix(x):
+            self.at.setdefault(h, []).append(len(self.sets))
+        self.sets.append((kept_id, x))
+
+
+def _settle(words: int, least: float, grow: bool):
+    """Rows ``(group, part, ahead, id, text)``, sorted so, to ``(group, id, kept_id)``; kept_id is null for texts like none kept.
+
+    Rows ``ahead`` are kept unseen; if ``grow``, others are kept where no kept text is similar.
     """
-    small_batches(docs.sparkSession)
-    grouped = cut(near_duplicates(docs, words=4, radius=radius, id_col=id_col, text_col=text_col))
-    members = cut(grouped.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("member"), F.col("component_id").alias("root")))
-    # A root of many members is met in several parts, each with the root's text once.
-    parts = maybe_broadcast(cut(members.groupBy("root").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("at"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = members.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
-    own = own.join(texts, own.member == texts["at"]).select("member", "root", "part", F.col("text").alias("member_text"))
-    roots = texts.join(parts, texts["at"] == parts["root"]).select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("root_text"))
-    pairs = own.join(roots, ["root", "part"]).select("member", "root", "member_text", "root_text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, own, waits = None, Kept(words, least), None, []
+        hit: int | None = None
+
+        def settled():  # all texts of one id are judged together
+            if grow and hit is None:
+                for x in waits:
+                    kept.add(own[1], x)
+            return (own[0], own[1], hit)
+
         for b in batches:
-            ok = pa.array([x == y or similarity(x, y, words) >= least for x, y in zip(texts_of(b.column(2)), texts_of(b.column(3)), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["member", "root"])
+            out = []
+            for group, part, behind, at, text in zip(*(b.column(i).to_pylist() for i in range(4)), texts_of(b.column(4)), strict=True):
+                if own is not None and own != (group, at):
+                    out.append(settled())
+                    own, waits, hit = None, [], None
+                if now != (group, part):
+                    now, kept = (group, part), Kept(words, least)
+                x = kept.set_of(text)
+                if not behind:
+                    kept.add(at, x)
+                    continue
+                own = (group, at)
+                waits.append(x)
+                hit = kept.find(x) if hit is None else hit
+            yield _batch(out)
+        if own is not None:
+            yield _batch([settled()])
+
+    return rows
+
+
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["root", "member", "kept_id"])
+
+
+def copies(docs: DataFrame, radius: int = 6, words: int = WORDS, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, kept_id)``: rows that are near copies of a smaller id that stays.
+
+    A component joins fingerprints (of 4-word shingles) linked at ``radius`` bits. In a
+    component, by rising id, a row stays if no row that stays before it has an exact shingle
+    similarity of ``least`` or more; so no two that stay are similar, and each that goes is
+    similar to one that stays. Texts without words are copies of each other. Null counts as
+    empty.
+
+    The first ``MEMBERS`` ids of each component are settled in one task; the rest meets those
+    of them that stay in several parts, and what is like none goes on to the next round, in
+    which that number is four times as large.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    named = docs.where(F.col(id_col).isNotNull())
+    grouped = cut(near_duplicates(named, words=4, radius=radius, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("member"), F.col("component_id").alias("root")))
+    roots = maybe_broadcast(cut(grouped.where("root <> member").select("root").distinct()))
+    texts = named.select(F.col(id_col).cast("bigint").alias("at"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    members = grouped.join(roots, "root").distinct()
+    pending = cut(members.join(texts, members["member"] == texts["at"]).select("root", "member", "text").distinct())
+    schema = "root bigint, member bigint, kept_id bigint"
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found: list[DataFrame] = []
+    size = MEMBERS
+
+    def settle(rows: DataFrame, grow: bool) -> DataFrame:
+        dealt = rows.select("root", "part", "behind", "member", "text").repartition(width, "root", "part").sortWithinPartitions("root", "part", "behind", "member", "text")
+        return cut(dealt.mapInArrow(_settle(words, least, grow), schema))
 
-    found = pairs.mapInArrow(rows, "member bigint, root bigint")
-    return found.select(F.col("member").alias(id_col), F.col("root").alias("kept_id"))
+    while True:
+        # The first ids of each component: up to the id at that place, found without moving texts.
+        counts = pending.select("root", "member").distinct().groupBy("root").agg(F.count("*").alias("n"))
+        large = cut(counts.where(F.col("n") > size).select("root", F.ceil(F.col("n") / size).cast("int").alias("parts")))
+        if not large.head(1):
+            found.append(settle(pending.withColumns({"part": F.lit(0), "behind": F.lit(1)}), True).where("kept_id IS NOT NULL"))
+            break
+        place = F.row_number().over(Window.partitionBy("root").orderBy("member"))
+        first = pending.select("root", "member").distinct().join(maybe_broadcast(large), "root").withColumn("place", place).where(F.col("place") <= size)
+        ends = F.broadcast(cut(first.groupBy("root").agg(F.max("member").alias("end"), F.max("parts").alias("parts"))))
+        marked = pending.join(ends, "root", "left")
+        early = F.col("end").isNull() | (F.col("member") <= F.col("end"))
+        judged = settle(marked.where(early).withColumns({"part": F.lit(0), "behind": F.lit(1)}), True)
+        found.append(judged.where("kept_id IS NOT NULL"))
+        ahead = judged.where("kept_id IS NULL").select("root", "member")
+        stay = marked.where(F.col("end").isNotNull() & early).join(ahead, ["root", "member"]).select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("behind"), "member", "text")
+        rest = marked.where(~early).select("root", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("behind"), "member", "text")
+        met = settle(stay.unionByName(rest), False)
+        found.append(met.where("kept_id IS NOT NULL"))
+        pending = cut(rest.select("root", "member", "text").join(met.where("kept_id IS NULL").select("root", "member"), ["root", "member"]))
+        size *= 4
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select(F.col("member").alias(id_col), "kept_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
