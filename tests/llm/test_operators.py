@@ -124,6 +124,22 @@ def test_near_copies_in_chains(spark, monkeypatch):
     assert 1 < len(stays) < 31
 
 
+def test_lone_pairs_beyond_the_radius(spark):
+    rng = random.Random(22)
+    rows, pairs = [], 0
+    while pairs < 40:
+        a = words(rng, 200)
+        b = list(a)
+        for at in rng.sample(range(200), 3):
+            b[at] = "other"
+        x, y = " ".join(a), " ".join(b)
+        if near_copies.similarity(x, y) >= 0.8 and (simhash.fingerprint(x) ^ simhash.fingerprint(y)).bit_count() > 6:
+            rows += [(2 * pairs, x, "en", "s", 1), (2 * pairs + 1, y, "en", "s", 1)]
+            pairs += 1
+    got = near_copies.copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.kept_id) for r in got) == [(2 * i + 1, 2 * i) for i in range(40)]
+
+
 def test_token_counts_match_greedy(spark, odd, empty):
     automaton = wordpiece._automaton(None)
     starting, continuing = (set(x) for x in wordpiece.load_vocabulary())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, maybe_broadcast, small_batches, texts_of
-from .simhash import near_duplicates, shingle_hashes
+from .components import connected_components
+from .simhash import _mix, near_duplicates, shingle_hashes
 
 #: Shingle length and similarity by which a copy is confirmed.
 WORDS, SIMILARITY = 5, 0.8
+#: Bands of so many minima: a pair of similarity 0.8 agrees in one with probability 1 - (1 - 0.8 ** 5) ** 24 = 0.9999.
+BANDS, MINIMA = 24, 5
+#: Shingles whose hashes are permuted at a time.
+CHUNK = 2048
 #: Members of a component that are settled in one task in the first round, and that meet those that stay in one part.
 MEMBERS = 500
 
@@ -26,6 +32,50 @@ def similarity(a: str, b: str, words: int = WORDS) -> float:
     return common / (len(x) + len(y) - common) if len(x) or len(y) else 1.0
 
 
+@lru_cache(maxsize=1)
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(11)
+    a, b = rng.integers(0, 1 << 63, (2, BANDS * MINIMA), dtype=np.uint64)
+    return 2 * a + np.uint64(1), b
+
+
+def band_keys(text: str, words: int = WORDS) -> np.ndarray:
+    """A key for each band of minima of the permuted shingle hashes; a text without words has none."""
+    a, b = _permutations()
+    low = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    some = False
+    for hashes in shingle_hashes(text, words):
+        some = True
+        for i in range(0, len(hashes), CHUNK):
+            np.minimum(low, (hashes[i : i + CHUNK, None] * a + b).min(axis=0), out=low)
+    if not some:
+        return np.zeros(0, np.int64)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for x in low.reshape(BANDS, MINIMA).T:
+        key = _mix(key ^ x) + np.uint64(0x9E3779B97F4A7C15)
+    return key.view(np.int64)
+
+
+def band_links(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``(a, b)``: links of all rows that agree in a band, as stars around the smallest id of each band's key."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [band_keys(x, words) for x in texts_of(b.column(1))]
+            ends = np.cumsum([0, *map(len, keys)])
+            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([b.column(0), column], names=["id", "keys"])
+
+    signed = cut(docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(rows, "id bigint, keys array<bigint>").where(F.size("keys") > 0))
+    # Rows that agree in all bands are one node.
+    nodes = cut(signed.groupBy("keys").agg(F.min("id").alias("rep")))
+    same = signed.join(nodes, "keys").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    probes = nodes.select("rep", F.explode("keys").alias("key"))
+    first = probes.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    met = probes.join(first, "key").where("rep <> a").select("a", F.col("rep").alias("b"))
+    return same.unionByName(met).distinct()
+
+
 class Kept:
     """Shingle sets of kept texts, looked up by prefix filtering: of two sets that are similar enough,
     the ``n - ceil(least * n) + 1`` smallest hashes of each have one in common, so none is missed."""
@@ -109,8 +159,9 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
 def copies(docs: DataFrame, radius: int = 6, words: int = WORDS, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, kept_id)``: rows that are near copies of a smaller id that stays.
 
-    A component joins fingerprints (of 4-word shingles) linked at ``radius`` bits. In a
-    component, by rising id, a row stays if no row that stays before it has an exact shingle
+    A component joins fingerprints (of 4-word shingles) linked at ``radius`` bits, and texts
+    that agree in a band of minima of their shingle hashes, as nearly every pair of similarity
+    0.8 does, however far apart its fingerprints are. In a component, by rising id, a row stays if no row that stays before it has an exact shingle
     similarity of ``least`` or more; so no two that stay are similar, and each that goes is
     similar to one that stays. Texts without words are copies of each other. Null counts as
     empty.
@@ -123,6 +174,8 @@ def copies(docs: DataFrame, radius: int = 6, words: int = WORDS, least: float =
     small_batches(spark)
     named = docs.where(F.col(id_col).isNotNull())
     grouped = cut(near_duplicates(named, words=4, radius=radius, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("member"), F.col("component_id").alias("root")))
+    linked = band_links(named, words, id_col, text_col).unionByName(grouped.where("root <> member").select(F.col("root").alias("a"), F.col("member").alias("b")))
+    grouped = cut(connected_components(linked).select(F.col("node").alias("member"), F.col("component").alias("root")))
     roots = maybe_broadcast(cut(grouped.where("root <> member").select("root").distinct()))
     texts = named.select(F.col(id_col).cast("bigint").alias("at"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     members = grouped.join(roots, "root").distinct()
