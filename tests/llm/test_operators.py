@@ -244,6 +244,26 @@ def test_decontamination_by_brute_force(spark, odd, empty):
     assert decontaminate.leaks(empty, benchmark).count() == decontaminate.leaks(odd, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_cut_items(spark):
+    rng = random.Random(23)
+    items = [words(rng, n) for n in (25, 59)]
+    rows, want = [], set()
+    for k, item in enumerate(items):
+        most = (len(item) - 4) // 9  # shingles that may be missing
+        for cut in range(1, most + 1):
+            left_out = [w for i, w in enumerate(item) if i not in range(2, 2 + cut)], [w for i, w in enumerate(item) if i not in range(len(item) - 2 - cut, len(item) - 2)]
+            for text in (words(rng, 30) + item[:-cut], item[cut:] + words(rng, 30), left_out[0] + words(rng, 30), words(rng, 30) + left_out[0], left_out[1] + words(rng, 30), words(rng, 30) + left_out[1]):
+                own = Counter(zip(*(item[i:] for i in range(5))))
+                here = [Counter(zip(*(text[a : a + len(item)][i:] for i in range(5)))) for a in range(len(text) - len(item) + 1)]
+                best = max(sum((own & x).values()) / sum((own | x).values()) for x in here)
+                if best >= 0.8:
+                    want.add((len(rows), k, round(best, 6)))
+                rows.append((len(rows), " ".join(text), "en", "s", 1))
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.similarity) for r in decontaminate.leaks(spark.createDataFrame(rows, SCHEMA), benchmark).collect()}
+    assert got == want and len(want) > 10
+
+
 def test_repeats_by_brute_force(spark, odd, empty):
     rng = random.Random(7)
     shared = [words(rng, n) for n in (49, 50, 51, 90)]

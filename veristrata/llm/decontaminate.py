@@ -1,9 +1,9 @@
 """Benchmark decontamination with DataFrame functions only.
 
-A window of a document is as many words as the benchmark item it is held against. Windows
-are placed wherever a document's shingle equals an indexed shingle of an item; an item
-indexes just so many of its shingles that a window with the wanted similarity must hold one
-(prefix filtering), so no similar window that is aligned with the item goes unseen. Each
+A window of a document is as many words as the benchmark item it is held against. Where a
+document's shingle equals an indexed shingle of an item, all windows that hold it are tried;
+an item indexes just so many of its shingles that a window with the wanted similarity must
+hold one (prefix filtering), so none goes unseen, whatever is cut or left out of the item. Each
 window's SimHash is then looked up in a multi-index of the items' SimHashes: 64 bits in
 blocks, ``sum(1 + 1 bit tolerance) = radius + 1``, so that by the pigeonhole principle every
 item fingerprint within the radius is met in some block. The exact similarity of weighted
@@ -83,7 +83,8 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, item_id, similarity, start_word)``: for each document and item of which it holds a similar window, the best.
 
-    start_word counts from 0; of equally similar windows the first is named. Null, empty and
+    start_word counts from 0; of equally similar windows the first is named, those with a
+    shingle at the same place as in the item before others. Null, empty and
     blank texts and items hold nothing; items or documents shorter than a shingle are one
     shingle. Repeated rows with one id count as one document; empty tables give an empty result.
     """
@@ -94,15 +95,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     need = n - F.ceil(n * (2 * similarity / (1 + similarity)) - 1e-9).cast("int") + 1
     places = F.transform(F.sequence(F.lit(1), n), lambda q: F.struct((-F.length(F.element_at("item_words", q))).alias("long"), (q - 1).alias("q")))
     picked = items.select("item_words", F.size("item_words").alias("size"), F.explode(F.slice(F.array_sort(places), F.lit(1), need)).alias("x")).select("item_words", "size", "x.q")
-    index = picked.select(F.get("item_words", F.col("q")).alias("word"), F.slice("item_words", F.col("q") + 1, WORDS).alias("shingle"), "q", "size").distinct()
+    index = picked.select(F.get("item_words", F.col("q")).alias("word"), F.slice("item_words", F.col("q") + 1, WORDS).alias("shingle"), "size").distinct()
     index = maybe_broadcast(cut(index))
-    # 2. Windows at those places, as large as the item.
+    # 2. All windows as large as the item that hold the shingle.
     split = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     at = split.select("doc_id", "words", F.posexplode("words").alias("p", "word"))
-    start = F.col("p") - F.col("q")
-    fits = (start >= 0) & (start + F.col("size") <= F.size("words"))
-    hits = at.join(index, "word").where(fits & (F.slice("words", F.col("p") + 1, F.size("shingle")) == F.col("shingle")))
-    windows = hits.select("doc_id", start.alias("start_word"), "size", F.array_join(F.slice("words", start + 1, F.col("size")), " ").alias("window"))
+    hits = at.join(index, "word").where(F.slice("words", F.col("p") + 1, F.size("shingle")) == F.col("shingle"))
+    low, high = F.greatest(F.col("p") + F.size("shingle") - F.col("size"), F.lit(0)), F.least(F.col("p"), F.size("words") - F.col("size"))
+    starts = hits.where(low <= high).select("doc_id", "words", "size", F.explode(F.sequence(low, high)).alias("start_word"))
+    windows = starts.select("doc_id", "start_word", "size", F.array_join(F.slice("words", F.col("start_word") + 1, F.col("size")), " ").alias("window"))
     windows = cut(windows.distinct())
     # 3. Their fingerprints meet those of items in one block at least; equal windows are looked up once.
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -115,8 +116,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     met = met.dropDuplicates(["window", "item_id"])
     # 4. The exact similarity decides.
     similar = met.withColumn("similarity", F.round(weighted_similarity(F.col("hashes"), F.col("item_hashes")), 6)).where(F.col("similarity") >= similarity)
-    found = windows.join(similar.select("window", "item_id", "similarity"), "window")
-    best = F.max(F.struct("similarity", (-F.col("start_word")).alias("at"))).alias("best")
+    aligned = F.exists(F.zip_with("hashes", "item_hashes", lambda a, b: a == b), lambda x: x)
+    found = windows.join(similar.select("window", "item_id", "similarity", aligned.alias("aligned")), "window")
+    best = F.max(F.struct("similarity", "aligned", (-F.col("start_word")).alias("at"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.at")).alias("start_word"))
 
 
