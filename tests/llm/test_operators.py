@@ -161,6 +161,23 @@ def test_token_counts_match_greedy(spark, odd, empty):
     assert wordpiece.token_counts(empty).count() == 0
 
 
+def test_token_counts_match_greedy_over_bytes():
+    import json
+
+    from public_tokenizers import path
+
+    names = set(json.load(open(path("word_bpe_49k.json"), encoding="utf-8"))["model"]["vocab"])
+    letter = {b: c for c, b in wordpiece._byte_letters().items()}
+    counter = wordpiece.Counter(wordpiece._byte_automaton(None))
+    rng = random.Random(24)
+    for w in words(rng, 300, "abcdefghijklmnopqrstuvwxyzéüß") + words(rng, 300, "αβγδбгджз한中俄日本") + ["straße", "x" * 300, "日本", "12345", "ɐʘ", "😀", "a", "ß"]:
+        x, i, n = [letter[b] for b in w.encode()], 0, 0
+        while i < len(x):
+            i = next(j for j in range(len(x), i, -1) if "".join(x[i:j]) + "</w>" * (j == len(x)) in names)
+            n += 1
+        assert counter.word(w) == (n, 0)
+
+
 def test_automaton_on_random_vocabularies():
     rng = random.Random(2)
     for _ in range(300):

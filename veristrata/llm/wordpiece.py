@@ -51,6 +51,29 @@ def load_vocabulary(path: str | None = None) -> tuple[list[str], list[str]]:
     return sorted(pieces), sorted(pieces)
 
 
+def load_byte_pieces(path: str | None = None) -> list[str]:
+    """All pieces of the file over the symbols of ``symbols``: a piece with ``</w>`` has its last byte as a closing one."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        names = json.load(f)["model"]["vocab"]
+    back = _byte_letters()
+    pieces = set()
+    for name in names:
+        plain = name.removesuffix("</w>")
+        raw = bytes(back[c] for c in plain) if all(c in back for c in plain) else plain.encode()
+        if raw:
+            pieces.add(symbols(raw) if plain != name else raw.decode("latin-1"))
+    return sorted(pieces)
+
+
+def symbols(word: bytes) -> str:
+    """A letter for each byte of a word, another one for the byte that closes it."""
+    return word[:-1].decode("latin-1") + chr(256 + word[-1])
+
+
 @lru_cache(maxsize=1)
 def _byte_letters() -> dict[str, int]:
     """Visible stand-ins of byte-level vocabularies: printable Latin-1 bytes are themselves, the rest follow from U+0100."""
@@ -110,14 +133,14 @@ class Automaton:
 
 
 class Counter:
-    """Tokens and unknown words of texts; an unknown word is one token."""
+    """Tokens and unknown words of texts, by an automaton over ``symbols``; an unknown word is one token."""
 
     def __init__(self, automaton: Automaton) -> None:
         self.automaton, self.memory = automaton, {}
 
     def word(self, word: str) -> tuple[int, int]:
         if (found := self.memory.get(word)) is None:
-            n = self.automaton.count(word)
+            n = self.automaton.count(symbols(word.encode()))
             found = (1, 1) if n is None else (n, 0)
             if len(word) <= CACHE_LENGTH:
                 if len(self.memory) >= CACHE_WORDS:
@@ -141,7 +164,8 @@ class Counter:
 def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_words, n_tokens, n_unknown)`` of every row's whole lower-cased text.
 
-    Words are runs of letters and digits, and single other visible characters. Null text
+    Words are runs of letters and digits, and single other visible characters; they are matched
+    byte by byte, so a vocabulary with a piece for every byte leaves none unknown. Null text
     counts as empty and has none; repeated rows are counted alike; an empty table gives an
     empty result; other columns are not read. ``vocabulary`` is the path of the file, which
     must exist on every executor.
@@ -149,7 +173,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
     small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(_automaton(vocabulary))
+        counter = Counter(_byte_automaton(vocabulary))
         for b in batches:
             found = np.array([counter.text(x) for x in texts_of(b.column(1))], np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, i]) for i in range(3))], names=[id_col, "n_words", "n_tokens", "n_unknown"])
@@ -162,6 +186,11 @@ def _automaton(path: str | None) -> Automaton:
     return Automaton(*load_vocabulary(path))
 
 
+@lru_cache(maxsize=2)
+def _byte_automaton(path: str | None) -> Automaton:
+    return Automaton(*[load_byte_pieces(path)] * 2)
+
+
 def op1_token_counts(spark, sf_dir):
     """Words, tokens and unknown words of every document."""
     return token_counts(read(spark, sf_dir, "documents"))
