@@ -378,6 +378,20 @@ def test_ann_recall_and_odd_vectors(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_ann_isolated_groups_and_lengths(spark):
+    rng = np.random.default_rng(25)
+    x = np.abs(rng.normal(size=(1500, 16))) * np.r_[np.ones(8), np.zeros(8)]
+    for j in range(8):  # groups of one to four equal vectors, far from all others
+        x[50 * j : 50 * j + 1 + j % 4] = -np.eye(16)[8 + j]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000 + i, [1.0, float(i)]) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = Counter(r.query_id for r in ann.search(df, df.where("vec_id % 50 = 0")).collect())
+    assert got == {**{i: 5 for i in range(0, 1500, 50)}, 2000: 3}
+    index, held = ann.Lists(np.eye(4)), np.array([1, 2, 30, 40])
+    lists = ann._enough(index, np.array([1.0, 0.3, 0.2, 0.1]), np.array([0]), held, 24)
+    assert lists.tolist() == [0, 1, 2]
+
+
 def test_pii_base_spans_match_patterns():
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

@@ -4,7 +4,7 @@ Unit vectors are clustered by k-means on a bounded sample; every vector is then
 its nearest centroids: the first, and others nearly as near, so that vectors at a boundary
 lie in several lists. Centroids are found by best-first search in a neighbour graph that fits
 in memory. A query opens the lists whose centroid is at most ``open_ratio`` times as far as
-the nearest one. Lists are split into blocks of like size and every opened list is read in
+the nearest one, and further ones until they must hold k vectors besides itself. Lists are split into blocks of like size and every opened list is read in
 all its blocks, so no task holds a large list, and no vector is left out.
 """
 
@@ -96,6 +96,16 @@ class Lists:
         return np.array([i for _, i in found])[keep][:most]
 
 
+def _enough(index: Lists, v: np.ndarray, lists: np.ndarray, held: np.ndarray, rows: int) -> np.ndarray:
+    """``lists`` and, while these hold fewer than ``rows`` rows, the next nearest ones; a vector lies in ``COPIES`` lists at most."""
+    if held[lists].sum() >= rows:
+        return lists
+    order = np.argsort(-(index.centroids @ v), kind="stable")
+    order = order[~np.isin(order, lists)]
+    more = int(np.searchsorted(np.cumsum(held[order]), rows - held[lists].sum())) + 1
+    return np.concatenate([lists, order[:more]])
+
+
 def clean(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(id, v)`` as doubles; null, empty and zero vectors and those with null or non-finite components are left out."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
@@ -112,18 +122,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     """``(query_id, rank, vec_id, score)``: of each query the k nearest found by cosine, itself excluded.
 
     Ties go to the smaller id. Vectors that cannot be measured take no part, as rows or as
-    queries. Vectors of another length than the commonest are left out. Fewer than k rows
+    queries. Vectors of each length are searched by themselves. Fewer than k rows
     remain only if there are fewer candidates. Repeated ids are not expected. Few vectors
     make one list, which is exact search.
     """
     spark = vectors.sparkSession
     ship(spark)
-    sizes = clean(vectors, id_col, vector_col).groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    dim, n = sizes[0]["dim"], sizes[0]["count"]
-    rows = clean(vectors, id_col, vector_col).where(F.size("v") == dim)
+    sizes = clean(vectors, id_col, vector_col).groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect()  # one row a length
+    out = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for i, size in enumerate(sizes):
+        rows, asked = (clean(x, id_col, vector_col).where(F.size("v") == size["dim"]) for x in (vectors, queries))
+        found = _search(rows, asked, size["dim"], size["count"], k, open_ratio)
+        out = out.unionByName(found) if i else found
+    return out
+
+
+def _search(rows: DataFrame, queries: DataFrame, dim: int, n: int, k: int, open_ratio: float) -> DataFrame:
+    """``search`` among ``n`` vectors ``(id, v)`` of one length."""
+    spark = rows.sparkSession
     lists_wanted = int(min(MOST_LISTS, max(1, n // LIST_SIZE)))
     share = max(1, n // SAMPLE)
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).limit(2 * SAMPLE).toPandas() if lists_wanted > 1 else rows.limit(1).toPandas()
@@ -131,13 +147,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     index = Lists(kmeans(x, min(lists_wanted, max(1, len(x) // 4))))
     sent = spark.sparkContext.broadcast(index)
 
-    def file_under(ratio: float, most: int | None):
+    def file_under(ratio: float, most: int | None, held: np.ndarray | None = None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for b in batches:
                 unit = _unit(_matrix(b.column(1), dim))
                 if most is None:
-                    at = [index.search(v, ratio, most) for v in unit]
+                    at = [_enough(index, v, index.search(v, ratio, most), held, COPIES * (k + 1)) for v in unit]
                 else:  # filing: all centroids at once in blocks, as every list may be wanted
                     at = []
                     for i in range(0, len(unit), 1024):
@@ -152,9 +168,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         return run
 
     filed = cut(rows.mapInArrow(file_under(FILE_RATIO, COPIES), "list int, id bigint, v array<double>"))
-    blocks = filed.groupBy("list").count().select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))  # one row a list: at most MOST_LISTS
+    counts = cut(filed.groupBy("list").count())  # one row a list: at most MOST_LISTS
+    held = np.zeros(len(index.centroids), np.int64)
+    for r in counts.collect():
+        held[r["list"]] = r["count"]
+    blocks = counts.select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     blocks = F.broadcast(blocks)
-    asked = clean(queries, id_col, vector_col).where(F.size("v") == dim).mapInArrow(file_under(open_ratio, None), "list int, id bigint, v array<double>")
+    asked = queries.mapInArrow(file_under(open_ratio, None, held), "list int, id bigint, v array<double>")
     asked = asked.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v")
     postings = filed.join(blocks, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "v")
 
