@@ -12,13 +12,13 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch sent to Python; whole texts travel in them, so it is kept small.
-BATCH_ROWS = 1000
-#: A side of a join is broadcast only when it has at most so many rows (counted first).
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of one Arrow batch sent to Python; whole texts travel in them, so both are kept small.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: A side of a join is broadcast only when it has at most so many rows, of at most so many bytes (both counted first).
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 24 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -42,8 +42,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: few whole texts per Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the memory of Python workers: few whole texts per Arrow batch. Lower limits of the session stay as they are."""
+    for key, limit in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(f"spark.sql.execution.arrow.{key}")).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= limit):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(limit))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +68,20 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def mark() -> int:
+    """The number of tables written so far; ``tidy(spark, mark)`` removes those written since."""
+    return len(_written)
+
+
+def tidy(spark: SparkSession, since: int, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Remove the tables that ``cut`` wrote since ``mark``, but for those that ``keep`` still reads."""
+    wanted = {f.rsplit("/", 1)[0].rsplit(":", 1)[-1].lstrip("/") for df in keep for f in df.inputFiles()}
+    for entry in _written[since:]:
+        if entry[1].rsplit(":", 1)[-1].lstrip("/") not in wanted:
+            drop_table(spark, entry[1])
+            _written.remove(entry)
+
+
 def _remove_written() -> None:
     for spark, path in _written:
         try:
@@ -85,7 +102,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write a result to the shared folder and read it back, so that its lineage ends there.
 
     A lost executor then costs no recomputation of what came before. The table is
-    removed when the driver exits.
+    removed when the driver exits, or earlier by ``tidy``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veristrata-{uuid.uuid4().hex}"
@@ -94,9 +111,35 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if a count shows that the side is small; else leave it to a shuffle join."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """Hint a broadcast only if counts of rows and of their bytes (written as JSON) show that the side is small; else leave it to a shuffle join."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def is_small(df: DataFrame) -> bool:
+    rows = df.limit(BROADCAST_ROWS + 1).count()
+    if rows > BROADCAST_ROWS:
+        return False
+    size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))).cast("bigint")).alias("size")).first()["size"]
+    return (size or 0) <= BROADCAST_BYTES
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from ``names`` that ``df`` does not have, whatever the letter case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        n = 0
+        while (new := f"{name}_{n}").lower() in taken:
+            n += 1
+        taken.add(new.lower())
+        out.append(new)
+    return out
+
+
+def content_key(*columns: Column) -> Column:
+    """128 bits of hash as a struct: rows with equal values have equal keys; null differs from the empty text."""
+    marked = [x for c in columns for x in (c.isNull(), c)]
+    return F.struct(F.xxhash64(*marked).alias("a"), F.xxhash64(F.lit(7), *marked).alias("b"))
 
 
 def sum_arrays(df: DataFrame, partial: Callable[[Iterable[pa.RecordBatch]], np.ndarray], size: int, fan_in: int = 16) -> np.ndarray:

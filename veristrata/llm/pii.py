@@ -176,41 +176,46 @@ def _labelled() -> list[tuple[list[str], list[bool], list[int]]]:
 
 @lru_cache(maxsize=1)
 def train(rounds: int = 200, rate: float = 0.5, ridge: float = 0.002) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Feature numbers, emission weights and transition weights that maximise the ridge-penalised likelihood."""
+    """Feature numbers, emission weights and transition weights that maximise the ridge-penalised likelihood.
+
+    The labelled lines are padded to one length and go through forward and backward sums side by side.
+    """
     rows = _labelled()
     names: dict[str, int] = {}
-    coded = [([[names.setdefault(f, len(names)) for f in token_features(s, g, i)] for i in range(len(s))], y) for s, g, y in rows]
-    k = len(LABELS)
-    w, t = np.zeros((len(names), k)), np.zeros((k, k))
+    coded = [[[names.setdefault(f, len(names)) for f in token_features(s, g, i)] for i in range(len(s))] for s, g, _ in rows]
+    k, count, longest = len(LABELS), len(rows), max(len(x) for x in coded)
+    sizes = np.array([len(x) for x in coded])
+    width = len(coded[0][0])
+    f, y = np.full((count, longest, width), len(names)), np.zeros((count, longest), np.int64)
+    for r, (x, (_, _, labels)) in enumerate(zip(coded, rows, strict=True)):
+        f[r, : len(x)], y[r, : len(x)] = x, labels
+    live = np.arange(longest) < sizes[:, None]
+    truth = np.eye(k)[y] * live[:, :, None]
+    follows = np.zeros((k, k))
+    np.add.at(follows, (y[:, :-1][live[:, 1:]], y[:, 1:][live[:, 1:]]), 1)
+    w, t = np.zeros((len(names) + 1, k)), np.zeros((k, k))  # the last feature is the padding's
     gw, gt = np.zeros_like(w), np.zeros_like(t)
+    total = lambda x, axis: (top := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - top).sum(axis=axis))
     for _ in range(rounds):
-        dw, dt = -ridge * w, -ridge * t
-        for x, y in coded:
-            e = np.array([w[f].sum(axis=0) for f in x])
-            n = len(x)
-            alpha, beta = np.zeros((n, k)), np.zeros((n, k))
-            alpha[0] = e[0]
-            for i in range(1, n):
-                m = alpha[i - 1][:, None] + t
-                top = m.max(axis=0)
-                alpha[i] = e[i] + top + np.log(np.exp(m - top).sum(axis=0))
-            for i in range(n - 2, -1, -1):
-                m = t + (e[i + 1] + beta[i + 1])[None]
-                top = m.max(axis=1)
-                beta[i] = top + np.log(np.exp(m - top[:, None]).sum(axis=1))
-            z = alpha[-1].max() + np.log(np.exp(alpha[-1] - alpha[-1].max()).sum())
-            p = np.exp(alpha + beta - z)
-            for i, f in enumerate(x):
-                d = -p[i]
-                d[y[i]] += 1
-                dw[f] += d / len(coded)
-                if i:
-                    dt[y[i - 1], y[i]] += 1 / len(coded)
-                    dt -= np.exp(alpha[i - 1][:, None] + t + (e[i] + beta[i])[None] - z) / len(coded)
+        e = w[f].sum(axis=2)
+        alpha, beta = np.zeros((count, longest, k)), np.zeros((count, longest, k))
+        alpha[:, 0] = e[:, 0]
+        for i in range(1, longest):
+            alpha[:, i] = e[:, i] + total(alpha[:, i - 1, :, None] + t, 1)
+        for i in range(longest - 2, -1, -1):
+            beta[:, i] = np.where(live[:, i + 1, None], total(t + (e[:, i + 1] + beta[:, i + 1])[:, None], 2), 0)
+        z = total(alpha[np.arange(count), sizes - 1], 1)[:, None, None]
+        d = (truth - np.exp(alpha + beta - z) * live[:, :, None]) / count
+        dw = -ridge * w
+        np.add.at(dw, f.reshape(-1), np.repeat(d.reshape(-1, k), width, axis=0))
+        dw[-1] = 0
+        pairs = np.exp(alpha[:, :-1, :, None] + t + (e + beta)[:, 1:, None] - z[..., None]) * live[:, 1:, None, None]
+        dt = -ridge * t + (follows - pairs.sum(axis=(0, 1))) / count
         gw += dw**2
         gt += dt**2
         w += rate * dw / np.sqrt(gw + 1e-8)
         t += rate * dt / np.sqrt(gt + 1e-8)
+    w = w[:-1]
     # An inside label follows only its own kind.
     for b, label in enumerate(LABELS):
         if label[0] == "I":
@@ -220,34 +225,85 @@ def train(rounds: int = 200, rate: float = 0.5, ridge: float = 0.002) -> tuple[d
     return names, w, t
 
 
+#: Tokens of one padded batch, of one part of a long segment, and characters of the texts decoded together.
+CELLS, PART, CHARS = 1 << 17, 512, 1 << 21
+_START = np.array([-1e6 if x[0] == "I" else 0.0 for x in LABELS])
+
+
 def viterbi(emissions: list[np.ndarray], t: np.ndarray) -> list[np.ndarray]:
-    """Best label sequences of many segments at once, segments of like length padded together."""
+    """Best label sequences of many segments at once, segments of like length padded together.
+
+    A batch holds at most ``CELLS`` tokens, padding included; segments longer than ``PART`` go by themselves.
+    """
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(emissions)
     order = sorted(range(len(emissions)), key=lambda i: len(emissions[i]))
-    start = np.array([-1e6 if x[0] == "I" else 0.0 for x in LABELS])
-    for a in range(0, len(order), 512):
-        part = order[a : a + 512]
+    while order and len(emissions[order[-1]]) > PART:
+        i = order.pop()
+        out[i] = _long(emissions[i], t)
+    step = max(1, CELLS // PART)
+    for a in range(0, len(order), step):
+        part = order[a : a + step]
         sizes = np.array([len(emissions[i]) for i in part])
-        longest = int(sizes.max())
-        e = np.zeros((len(part), longest, t.shape[0]))
+        e = np.zeros((len(part), int(sizes.max()), t.shape[0]))
         for r, i in enumerate(part):
             e[r, : sizes[r]] = emissions[i]
-        score, back = e[:, 0] + start, np.zeros((longest, len(part), t.shape[0]), np.int8)
-        for k in range(1, longest):
-            m = score[:, :, None] + t[None]
-            back[k] = m.argmax(axis=1)
-            score = np.where((k < sizes)[:, None], m.max(axis=1) + e[:, k], score)
+        score, back = _forward(e[:, 0] + _START, e, sizes, t)
         label = score.argmax(axis=1)
-        path = np.zeros((len(part), longest), np.int64)
-        for k in range(longest - 1, -1, -1):
-            live = k < sizes
-            path[live, k] = label[live]
-            label = np.where(live & (k > 0), back[k][np.arange(len(part)), label], label)
+        path = _trace(back, sizes, label)
         for r, i in enumerate(part):
             out[i] = path[r, : sizes[r]]
     return out
 
 
+def _forward(score: np.ndarray, e: np.ndarray, sizes: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores by last label, and each label's best predecessor, of rows padded to one length."""
+    back = np.zeros((e.shape[1], len(e), t.shape[0]), np.int8)
+    for k in range(1, e.shape[1]):
+        m = score[:, :, None] + t[None]
+        back[k] = m.argmax(axis=1)
+        score = np.where((k < sizes)[:, None], m.max(axis=1) + e[:, k], score)
+    return score, back
+
+
+def _trace(back: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> np.ndarray:
+    path, rows = np.zeros((len(sizes), len(back)), np.int8), np.arange(len(sizes))
+    for k in range(len(back) - 1, -1, -1):
+        live = k < sizes
+        path[live, k] = label[live]
+        label = np.where(live & (k > 0), back[k][rows, label], label)
+    return path
+
+
+def _long(e: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """One long segment, in parts side by side: best scores from each first to each last label of every
+    part, then along the parts, then the labels within each, given those at its ends."""
+    k, parts = t.shape[0], -(-len(e) // PART)
+    sizes = np.full(parts, PART)
+    sizes[-1] = len(e) - PART * (parts - 1)
+    padded = np.zeros((parts, PART, k))
+    padded.reshape(-1, k)[: len(e)] = e
+    own = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)
+    through = np.empty((parts, k, k))  # from the first label to the last one
+    for a in range(k):
+        through[:, a] = _forward(padded[:, 0] + own[a], padded, sizes, t)[0]
+    enter, score = np.zeros((parts, k), np.int64), _START
+    first = np.zeros((parts, k), np.int64)
+    for p in range(parts):
+        if p:  # the label before each first label
+            m = score[:, None] + t
+            enter[p], score = m.argmax(axis=0), m.max(axis=0)
+        m = score[:, None] + through[p]
+        first[p], score = m.argmax(axis=0), m.max(axis=0)
+    begin, end = np.zeros(parts, np.int64), np.zeros(parts, np.int64)
+    label = int(score.argmax())
+    for p in range(parts - 1, -1, -1):
+        end[p], begin[p] = label, first[p, label]
+        label = int(enter[p, begin[p]])
+    _, back = _forward(padded[:, 0] + own[begin], padded, sizes, t)
+    path = _trace(back, sizes, end)
+    return path.reshape(-1)[: len(e)]
+
+
 _TRIGGER = re.compile(r"[0-9@]")
 
 
@@ -297,6 +353,17 @@ class Field:
         return found
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        """Spans of each text; texts are decoded some ``CHARS`` characters at a time."""
+        out: list[list[tuple[int, int, str]]] = []
+        held: list[str] = []
+        for text in texts:
+            if held and sum(map(len, held)) + len(text) > CHARS:
+                out += self._spans(held)
+                held = []
+            held.append(text)
+        return out + self._spans(held)
+
+    def _spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         owners, tokens, emissions = [], [], []
         for k, text in enumerate(texts):
