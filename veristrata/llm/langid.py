@@ -1,10 +1,10 @@
 """Language identification by Bayesian evidence fusion.
 
-For each text, log likelihoods under a byte-trigram model of each language; for each row the
-declared (markup) language and the address suffix, each by how often it goes with a language;
-for each host a prior from the texts of its other rows, smoothed towards that of its suffix
-and that towards the corpus. All models are counts over the whole table, made by grouped
-aggregation or partition sums, so no sample is taken and nothing large is collected.
+For each text, log likelihoods under a byte-trigram model of each declared language; for each row
+the declared (markup) language by how often it goes with each language; for each host a prior from
+the texts of its other rows, smoothed towards that of its suffix and that towards the corpus. All
+models are counts over the whole table, made by grouped aggregation or partition sums: no sample
+is taken, and the driver gets one row of counts for each language.
 """
 
 from __future__ import annotations
@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, read, small_batches, sum_arrays, texts_of
+from .common import cut, maybe_broadcast, read, small_batches, texts_of
 
 #: Hash buckets of byte trigrams.
 BUCKETS = 1 << 14
-#: The most declared languages that are modelled, by number of rows (a bound on the model, not on rows).
-LANGUAGES = 64
-#: Trigrams overlap and repeat, so their evidence is counted by a share of itself, up to a bound.
-TEMPER, MOST = 0.3, 300.0
+#: Trigrams overlap and repeat, so their evidence is counted by a share of itself.
+TEMPER = 0.3
+#: Languages so much less likely than the best, as a logarithm, are left out of a row: no prior or declaration makes up for it.
+FAR = 80.0
 #: Pseudo-counts by which a host's prior leans on its suffix's, and that on the corpus's.
 HOST_WEIGHT, SUFFIX_WEIGHT = 5.0, 20.0
 #: A text with fewer letters than this, and nothing declared, is undetermined.
@@ -50,59 +50,88 @@ def trigram_codes(text: str) -> np.ndarray:
 
 
 def _clean(name: Column) -> Column:
-    """A declared language's primary tag in lower case; null if blank."""
-    return F.nullif(F.lower(F.substring_index(F.trim(name.cast("string")), "-", 1)), F.lit(""))
+    """A declared language's primary tag in lower case; null unless it has two or three letters, as languages do."""
+    tag = F.lower(F.substring_index(F.trim(name.cast("string")), "-", 1))
+    return F.when(tag.rlike("^[a-z]{2,3}$"), tag)
 
 
-def language_evidence(rows: DataFrame, languages: list[str]) -> DataFrame:
-    """Adds ``ll`` (a log likelihood for each language), and ``letters``, to ``(id, text, declared, host, suffix)``."""
-    k = len(languages)
+def trigram_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
+    """A row of trigram counts for each language, over all texts that declare it: summed within partitions, then by language."""
     number = {x: i for i, x in enumerate(languages)}
 
-    def counted(batches):
-        out = np.zeros((k, BUCKETS))
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
         for b in batches:
             for text, name in zip(texts_of(b.column(0)), b.column(1).to_pylist(), strict=True):
                 if name in number:
-                    out[number[name]] += np.bincount(trigram_codes(text), minlength=BUCKETS)
-        return out.ravel()
+                    total = seen.setdefault(number[name], np.zeros(BUCKETS))
+                    total += np.bincount(trigram_codes(text), minlength=BUCKETS)
+        yield _vectors(seen)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                total = seen.setdefault(i, np.zeros(BUCKETS))
+                total += np.frombuffer(v.as_buffer(), "<f8")
+        yield _vectors(seen)
 
-    counts = sum_arrays(rows.where(F.col("declared").isin(languages)).select("text", "declared"), counted, k * BUCKETS, fan_in=8).reshape(k, BUCKETS)
+    def _vectors(seen: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([x.astype("<f8").tobytes() for x in seen.values()], pa.binary())], names=["i", "v"])
+
+    out = np.zeros((len(languages), BUCKETS))
+    for r in rows.where("declared IS NOT NULL").select("text", "declared").mapInArrow(first, "i int, v binary").repartition("i").mapInArrow(add, "i int, v binary").toLocalIterator():
+        out[r["i"]] += np.frombuffer(bytes(r["v"]), "<f8")
+    return out
+
+
+def trigram_model(counts: np.ndarray) -> np.ndarray:
+    """Smoothed log rates of each trigram bucket, a column a language."""
     both = counts.sum(axis=0) + 1
     smooth = counts + 0.5 * both / both.sum() * BUCKETS * 0.01
-    sent = rows.sparkSession.sparkContext.broadcast(np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32))
+    return np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32).T)
+
+
+def log_likelihoods(codes: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Tempered log likelihoods by language, the best being 0; memory does not grow with the text beyond its codes."""
+    if len(codes) > 2048:
+        total = np.bincount(codes, minlength=BUCKETS).astype(np.float64) @ model
+    else:
+        total = model[codes].sum(axis=0, dtype=np.float64)
+    total *= TEMPER
+    return total - total.max()
+
+
+def language_evidence(rows: DataFrame, languages: list[str]) -> DataFrame:
+    """``(id, declared, host, suffix, letters, langs, ll)`` of ``(id, text, declared, host, suffix)``: numbers of the likely languages and their log likelihoods."""
+    sent = rows.sparkSession.sparkContext.broadcast(trigram_model(trigram_counts(rows, languages)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
-            texts = texts_of(b.column(1))
-            out = np.zeros((len(texts), k))
-            letters = np.zeros(len(texts), np.int64)
-            for i, text in enumerate(texts):
+            letters, langs, lls, ends = [], [], [], [0]
+            for text in texts_of(b.column(1)):
                 codes = trigram_codes(text)
-                letters[i] = len(codes)
-                total = model[:, codes].sum(axis=1, dtype=np.float64) * TEMPER
-                total -= total.max()
-                out[i] = np.clip(total, -MOST, 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * k, pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(i) for i in range(2, 5)), pa.array(letters), lists], names=["id", "declared", "host", "suffix", "letters", "ll"])
+                ll = log_likelihoods(codes, model)
+                near = np.flatnonzero(ll > -FAR)
+                letters.append(len(codes))
+                langs.append(near)
+                lls.append(ll[near])
+                ends.append(ends[-1] + len(near))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*x, np.zeros(0)]).astype(t))) for x, t in ((langs, np.int32), (lls, np.float64))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(i) for i in range(2, 5)), pa.array(letters, pa.int64()), *lists], names=["id", "declared", "host", "suffix", "letters", "langs", "ll"])
 
-    return rows.select("id", "text", "declared", "host", "suffix").mapInArrow(scored, "id bigint, declared string, host string, suffix string, letters bigint, ll array<double>")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "text", "declared", "host", "suffix").mapInArrow(scored, f"id {kind}, declared string, host string, suffix string, letters bigint, langs array<int>, ll array<double>")
 
 
 def _soft(logs: Column) -> Column:
     """Probabilities from log weights."""
-    top = F.array_max(logs)
-    raised = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+    return F.transform(F.array(logs), lambda x: F.transform(x, lambda y: F.exp(y - F.array_max(x))))[0]
 
 
-def _sums(k: int) -> list[Column]:
-    return [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(k)]
-
-
-def _as_array(k: int) -> Column:
-    return F.array(*[F.col(f"s{i}") for i in range(k)])
+def _shares(weights: Column) -> Column:
+    return F.transform(F.array(F.aggregate(weights, F.lit(0.0), lambda a, b: a + b)), lambda total: F.transform(weights, lambda x: x / total))[0]
 
 
 def identify(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", suffix_col: str | None = None, least: float = 0.5) -> DataFrame:
@@ -110,52 +139,56 @@ def identify(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
     language is the most probable one (ties: the first by name) given text, declared language,
     suffix and host; ``und`` when there are no letters to go by. ``keep`` is false for ``und``
-    and for a probability under ``least``. Null text counts as empty; a null declaration, host
+    and for a probability under ``least``. All declared languages are modelled; a declaration that
+    is no tag of two or three letters is none. Null text counts as empty; a null declaration, host
     or suffix is no evidence; a table without any declared language is all ``und``; rows are
-    judged one by one, repeated ones alike; an empty table gives an empty result.
+    judged one by one, repeated ones alike, and each is among the others' evidence about its
+    host, not its own; an empty table gives an empty result; other columns are not read; ids may be of any type.
     """
-    small_batches(rows.sparkSession)
+    spark = rows.sparkSession
+    small_batches(spark)
     none = F.lit(None).cast("string")
     named = rows.select(
-        F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"),
-        _clean(F.col(declared_col)) .alias("declared") if declared_col else none.alias("declared"),
+        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
+        _clean(F.col(declared_col)).alias("declared") if declared_col else none.alias("declared"),
         F.col(host_col).cast("string").alias("host") if host_col else none.alias("host"),
         F.col(suffix_col).cast("string").alias("suffix") if suffix_col else none.alias("suffix"),
     )
-    found = named.where("declared IS NOT NULL").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()
-    languages = sorted(r["declared"] for r in found)
+    languages = sorted(r["declared"] for r in named.where("declared IS NOT NULL").select("declared").distinct().collect())  # tags of two or three letters
     if not languages:
         return named.select(F.col("id").alias(id_col), F.lit(UNDETERMINED).alias("language"), F.lit(0.0).alias("probability"), "declared", F.lit(False).alias("keep"))
     k = len(languages)
-    evidence = cut(language_evidence(named, languages).withColumn("p", _soft(F.col("ll"))))
-    spoken = evidence.where(F.col("letters") >= LEAST_LETTERS)
-    # Corpus, suffix and host counts of what the texts alone say, each smoothed by the one before.
-    total = spoken.agg(*_sums(k)).first()
-    corpus = np.array([total[i] or 0.0 for i in range(k)]) + 1.0
+    evidence = cut(language_evidence(named, languages).withColumn("p", _shares(_soft(F.col("ll")))))
+    spoken = evidence.where(F.col("letters") >= LEAST_LETTERS).select("declared", "host", "suffix", F.explode(F.arrays_zip("langs", "p")).alias("e")).select("declared", "host", "suffix", F.col("e.langs").alias("i"), F.col("e.p").alias("p"))
+    # What the texts alone say of each host; of each suffix and the corpus; and of each declaration.
+    by_host = cut(spoken.groupBy("host", "suffix", "i").agg(F.sum("p").alias("c")))
+    corpus = np.ones(k)
+    for r in by_host.groupBy("i").agg(F.sum("c").alias("c")).collect():
+        corpus[r["i"]] += r["c"]
     base = F.array(*[F.lit(float(x)) for x in corpus / corpus.sum()])
-    lean = lambda counts, prior, weight: F.zip_with(counts, prior, lambda c, q: (c + weight * q) / (F.aggregate(counts, F.lit(0.0), lambda a, b: a + b) + weight))
-    by_host = cut(spoken.groupBy("host", "suffix").agg(*_sums(k)).select("host", "suffix", _as_array(k).alias("c")))
-    split = F.transform("c", lambda x: x)
-    by_suffix = by_host.select("suffix", split.alias("p")).groupBy("suffix").agg(*_sums(k)).select(F.col("suffix").alias("suffix2"), lean(_as_array(k), base, SUFFIX_WEIGHT).alias("suffix_prior"))
-    hosts = by_host.join(by_suffix, F.col("suffix").eqNullSafe(F.col("suffix2"))).select(
-        F.col("host").alias("host2"), F.col("suffix").alias("suffix2"),
-        F.when(F.col("host").isNull(), F.col("suffix_prior")).otherwise(lean(F.col("c"), F.col("suffix_prior"), HOST_WEIGHT)).alias("prior"),
-    )
+    counts_of = lambda df, *by: df.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("counts"), F.sum("c").alias("total"))
+    by_suffix = counts_of(by_host.groupBy("suffix", "i").agg(F.sum("c").alias("c")), "suffix").select(F.col("suffix").alias("suffix2"), F.col("counts").alias("suffix_counts"), F.col("total").alias("suffix_total"))
+    hosts = counts_of(by_host, "host", "suffix").join(by_suffix, F.col("suffix").eqNullSafe(F.col("suffix2"))).select(F.col("host").alias("host2"), "suffix2", "counts", "total", "suffix_counts", "suffix_total")
     hosts = maybe_broadcast(cut(hosts))
-    # How often a declaration goes with each language: at most LANGUAGES rows, and one for all others.
-    known = F.when(F.col("declared").isin(languages), F.col("declared"))
-    told = {r["d"]: np.array([r[f"s{i}"] for i in range(k)]) for r in spoken.groupBy(known.alias("d")).agg(*_sums(k)).collect() if r["d"]}
-    per_language = sum(told.values()) + 1e-9 if told else np.ones(k)
-    rates = {d: np.log((told.get(d, np.zeros(k)) + 1) / (per_language + len(languages))) for d in languages}
-    table = F.create_map(*[x for d in languages for x in (F.lit(d), F.array(*[F.lit(float(v)) for v in rates[d]]))])
-    zero = F.array(*[F.lit(0.0)] * k)
-    joined = evidence.join(hosts, F.col("host").eqNullSafe(F.col("host2")) & F.col("suffix").eqNullSafe(F.col("suffix2")), "left")
-    prior = F.transform(F.coalesce("prior", base), lambda q: F.log(q))
-    said = F.coalesce(F.when(known.isNotNull(), F.element_at(table, F.col("declared"))), zero)
-    posterior = _soft(F.zip_with(F.zip_with(F.col("ll"), prior, lambda a, b: a + b), said, lambda a, b: a + b))
-    scored = joined.select("id", "declared", "letters", posterior.alias("post"))
+    told = np.zeros((k, k))
+    for r in spoken.where("declared IS NOT NULL").groupBy("declared", "i").agg(F.sum("p").alias("c")).collect():  # at most one row for two languages
+        told[languages.index(r["declared"]), r["i"]] = r["c"]
+    rates = np.log((told + 1) / (told.sum(axis=0) + k))
+    said = maybe_broadcast(spark.createDataFrame([(d, x.tolist()) for d, x in zip(languages, rates, strict=True)], "declared2 string, said array<double>"))
+    joined = evidence.join(hosts, F.col("host").eqNullSafe(F.col("host2")) & F.col("suffix").eqNullSafe(F.col("suffix2")), "left").join(said, F.col("declared") == F.col("declared2"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+
+    def weight(e: Column) -> Column:
+        i, own = e["langs"], e["p"]
+        of_suffix = (zero(F.col("suffix_counts")[i]) + SUFFIX_WEIGHT * F.get(base, i)) / (zero(F.col("suffix_total")) + SUFFIX_WEIGHT)
+        others = F.greatest(zero(F.col("counts")[i]) - own, F.lit(0.0))
+        of_host = (others + HOST_WEIGHT * of_suffix) / (F.greatest(zero(F.col("total")) - 1, F.lit(0.0)) + HOST_WEIGHT)
+        return e["ll"] + F.log(F.when(F.col("host").isNull(), of_suffix).otherwise(of_host)) + zero(F.get(F.col("said"), i))
+
+    posterior = _shares(_soft(F.transform(F.arrays_zip("langs", "ll", "p"), weight)))
+    scored = joined.select("id", "declared", "letters", "langs", posterior.alias("post"))
     best = F.array_max("post")
-    name = F.element_at(F.array(*map(F.lit, languages)), F.array_position("post", best).cast("int"))
+    name = F.get(F.array(*map(F.lit, languages)), F.get("langs", (F.array_position("post", best) - 1).cast("int")))
     mute = F.col("letters") < LEAST_LETTERS
     return scored.select(
         F.col("id").alias(id_col), F.when(mute, F.lit(UNDETERMINED)).otherwise(name).alias("language"), F.when(mute, F.lit(0.0)).otherwise(F.round(best, 6)).alias("probability"),
