@@ -1,4 +1,9 @@
-"""Near-duplicate removal on top of SimHash components: one document of each group stays."""
+"""Near-duplicate removal on top of SimHash links: one document of each group stays.
+
+Rows of equal text are one class, told by 128 bits of hash, so exact copies always go, whatever
+their ids. Classes are linked by fingerprints and by bands of minima; within a linked set exact
+similarity decides, by rising id. Rows are told apart by their text and id, never by id alone.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, small_batches, texts_of
+from .common import content_key, cut, fresh, maybe_broadcast, small_batches, texts_of
 from .components import connected_components
-from .simhash import _mix, near_duplicates, shingle_hashes
+from .simhash import _mix, fingerprint, links, shingle_hashes
 
 #: Shingle length and similarity by which a copy is confirmed.
 WORDS, SIMILARITY = 5, 0.8
@@ -56,24 +61,39 @@ def band_keys(text: str, words: int = WORDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def band_links(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(a, b)``: links of all rows that agree in a band, as stars around the smallest id of each band's key."""
+#: Stands for a null id: behind all others.
+NO_ID = (1 << 63) - 1
+
+
+def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``(a, b, id, fp, keys)`` of every row: hashes of its text, its id, its fingerprint (4-word shingles), its band keys."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [band_keys(x, words) for x in texts_of(b.column(1))]
+        for batch in batches:
+            texts = texts_of(batch.column(3))
+            fps = np.array([fingerprint(x, 4) for x in texts], np.uint64).view(np.int64)
+            keys = [band_keys(x, words) for x in texts]
             ends = np.cumsum([0, *map(len, keys)])
             column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), column], names=["id", "keys"])
-
-    signed = cut(docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(rows, "id bigint, keys array<bigint>").where(F.size("keys") > 0))
-    # Rows that agree in all bands are one node.
-    nodes = cut(signed.groupBy("keys").agg(F.min("id").alias("rep")))
-    same = signed.join(nodes, "keys").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    probes = nodes.select("rep", F.explode("keys").alias("key"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(fps), column], names=["a", "b", "id", "fp", "keys"])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    named = docs.select(content_key(text).alias("key"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), text.alias("text"))
+    return named.select("key.a", "key.b", "id", "text").mapInArrow(rows, "a bigint, b bigint, id bigint, fp bigint, keys array<bigint>")
+
+
+def node_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """``(a, b)``: links of ``nodes(node, fp, keys)``, as stars: equal fingerprints, fingerprints within the radius, and equal keys of a band."""
+    fps = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    out = nodes.join(fps, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    out = out.unionByName(links(fps, radius)) if fps.head(1) else out
+    # Nodes that agree in all bands probe once.
+    alike = cut(nodes.where(F.size("keys") > 0).groupBy("keys").agg(F.min("node").alias("rep")))
+    same = nodes.join(alike, "keys").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    probes = alike.select("rep", F.explode("keys").alias("key"))
     first = probes.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     met = probes.join(first, "key").where("rep <> a").select("a", F.col("rep").alias("b"))
-    return same.unionByName(met).distinct()
+    return out.unionByName(same).unionByName(met).distinct()
 
 
 class Kept:
@@ -156,30 +176,21 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["root", "member", "kept_id"])
 
 
-def copies(docs: DataFrame, radius: int = 6, words: int = WORDS, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, kept_id)``: rows that are near copies of a smaller id that stays.
-
-    A component joins fingerprints (of 4-word shingles) linked at ``radius`` bits, and texts
-    that agree in a band of minima of their shingle hashes, as nearly every pair of similarity
-    0.8 does, however far apart its fingerprints are. In a component, by rising id, a row stays if no row that stays before it has an exact shingle
-    similarity of ``least`` or more; so no two that stay are similar, and each that goes is
-    similar to one that stays. Texts without words are copies of each other. Null counts as
-    empty.
-
-    The first ``MEMBERS`` ids of each component are settled in one task; the rest meets those
-    of them that stay in several parts, and what is like none goes on to the next round, in
-    which that number is four times as large.
-    """
+def _settled(docs: DataFrame, radius: int, words: int, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows; classes ``(a, b, rep, node)``, numbered by rising ``rep``, their smallest id; ``(member, kept_id)``: nodes that go, and for which."""
     spark = docs.sparkSession
     small_batches(spark)
-    named = docs.where(F.col(id_col).isNotNull())
-    grouped = cut(near_duplicates(named, words=4, radius=radius, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("member"), F.col("component_id").alias("root")))
-    linked = band_links(named, words, id_col, text_col).unionByName(grouped.where("root <> member").select(F.col("root").alias("a"), F.col("member").alias("b")))
-    grouped = cut(connected_components(linked).select(F.col("node").alias("member"), F.col("component").alias("root")))
+    signed = cut(signatures(docs, words, id_col, text_col))
+    classes = signed.groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    ordered = classes.repartitionByRange("rep", "a", "b").sortWithinPartitions("rep", "a", "b")
+    nodes = cut(ordered.withColumn("node", F.monotonically_increasing_id()))
+    grouped = cut(connected_components(node_links(nodes.select("node", "fp", "keys"), radius)).select(F.col("node").alias("member"), F.col("component").alias("root")))
     roots = maybe_broadcast(cut(grouped.where("root <> member").select("root").distinct()))
-    texts = named.select(F.col(id_col).cast("bigint").alias("at"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     members = grouped.join(roots, "root").distinct()
-    pending = cut(members.join(texts, members["member"] == texts["at"]).select("root", "member", "text").distinct())
+    of_class = members.join(nodes.select("a", "b", "rep", "node"), members["member"] == nodes["node"]).select("a", "b", F.col("rep").alias("id"), "root", "member")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(content_key(text).alias("key"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), text.alias("text")).select("key.a", "key.b", "id", "text")
+    pending = cut(texts.join(of_class, ["a", "b", "id"]).select("root", "member", "text").dropDuplicates(["member"]))
     schema = "root bigint, member bigint, kept_id bigint"
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found: list[DataFrame] = []
@@ -198,7 +209,7 @@ def copies(docs: DataFrame, radius: int = 6, words: int = WORDS, least: float =
             break
         place = F.row_number().over(Window.partitionBy("root").orderBy("member"))
         first = pending.select("root", "member").distinct().join(maybe_broadcast(large), "root").withColumn("place", place).where(F.col("place") <= size)
-        ends = F.broadcast(cut(first.groupBy("root").agg(F.max("member").alias("end"), F.max("parts").alias("parts"))))
+        ends = maybe_broadcast(cut(first.groupBy("root").agg(F.max("member").alias("end"), F.max("parts").alias("parts"))))
         marked = pending.join(ends, "root", "left")
         early = F.col("end").isNull() | (F.col("member") <= F.col("end"))
         judged = settle(marked.where(early).withColumns({"part": F.lit(0), "behind": F.lit(1)}), True)
@@ -213,10 +224,45 @@ def copies(docs: DataFrame, radius: int = 6, words: int = WORDS, least: float =
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.select(F.col("member").alias(id_col), "kept_id")
+    return signed, nodes.select("a", "b", "rep", "node"), cut(out.select("member", "kept_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows that ``copies`` finds; all columns stay. Rows with a null id stay."""
-    gone = cut(copies(docs, id_col=id_col, **options)).select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+def copies(docs: DataFrame, radius: int = 6, words: int = WORDS, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, kept_id)``: rows that are exact or near copies of a row with a smaller id that stays.
+
+    Rows of equal text are one class, which has its smallest id. A linked set joins classes whose
+    fingerprints (of 4-word shingles) lie within ``radius`` bits, and those that agree in a band of
+    minima of their shingle hashes, as nearly every pair of similarity 0.8 does, however far apart
+    its fingerprints are. In it, by rising id, a class stays if no class that stays before it has an
+    exact shingle similarity of ``least`` or more; so no two that stay are similar, and each that
+    goes is similar to one that stays. Texts without words are copies of each other. Null text counts
+    as empty. A null id comes behind all others. Rows that repeat text and id are not listed.
+
+    The first ``MEMBERS`` classes of each set are settled in one task; the rest meets those
+    of them that stay in several parts, and what is like none goes on to the next round, in
+    which that number is four times as large.
+    """
+    signed, nodes, gone = _settled(docs, radius, words, least, id_col, text_col)
+    kept = nodes.select(F.col("node").alias("kept_id"), F.col("rep").alias("kept_rep"))
+    fate = nodes.join(gone, nodes["node"] == gone["member"], "left").join(kept, "kept_id", "left").select("a", "b", "rep", F.coalesce("kept_rep", "rep").alias("kept_id"), F.col("kept_rep").isNotNull().alias("goes"))
+    out = signed.select("a", "b", "id").join(fate, ["a", "b"]).where("goes OR id <> rep")
+    return out.select(F.nullif("id", F.lit(NO_ID)).alias(id_col), F.nullif("kept_id", F.lit(NO_ID)).alias("kept_id"))
+
+
+def keep_one(docs: DataFrame, radius: int = 6, words: int = WORDS, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without exact and near copies (see ``copies``): one row of each group stays, with all its columns.
+
+    Of rows that repeat text and id, one stays, whichever. Input columns may have any names.
+    An empty table stays empty.
+    """
+    signed, nodes, gone = _settled(docs, radius, words, least, id_col, text_col)
+    names = fresh(docs, "text_a", "text_b", "row_id")
+    keyed = docs.withColumn(names[0], content_key(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    keyed = keyed.withColumns({names[1]: F.col(f"{names[0]}.b"), names[2]: F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))}).withColumn(names[0], F.col(f"{names[0]}.a"))
+    kept = nodes.join(gone, nodes["node"] == gone["member"], "left_anti").select(*[F.col(x).alias(y) for x, y in zip(("a", "b", "rep"), names, strict=True)])
+    stay = keyed.join(kept, names, "left_semi")
+    tied = cut(signed.groupBy("a", "b", "id").count().where("count > 1").select(*[F.col(x).alias(y) for x, y in zip(("a", "b", "id"), names, strict=True)]))
+    if tied.head(1):
+        tied = maybe_broadcast(tied)
+        stay = stay.join(tied, names, "left_anti").unionByName(stay.join(tied, names, "left_semi").dropDuplicates(names))
+    return stay.drop(*names)
