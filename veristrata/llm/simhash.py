@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, sum_arrays, texts_of
+from .common import cut, maybe_broadcast, small_batches, sum_arrays, texts_of
 from .components import connected_components
 
 BITS = 64
@@ -37,7 +37,7 @@ BITS = 64
 CHUNK = 1 << 15
 #: Rows of sorted keys that are verified together.
 RUN_ROWS = 1 << 17
-#: Runs of one key beyond this are split by five disjoint bit blocks once more.
+#: Keys of more fingerprints than this are split by ``radius + 1`` disjoint bit blocks once more, before the shuffle.
 LONG_RUN = 4096
 #: Buckets of one count sketch, by which pairs that share a key are estimated.
 SKETCH = 1024
@@ -254,36 +254,27 @@ def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
-def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    hot = sizes > LONG_RUN
-    if hot.any():
-        keep = np.ones(len(key), bool)
-        for s, n in zip(starts[hot].tolist(), sizes[hot].tolist(), strict=True):
-            keep[s : s + n] = False
-            f, r = fp[s : s + n], rep[s : s + n]
-            for block in np.array_split(np.arange(BITS), radius + 1):  # pigeonhole again: one block is equal
-                sub = f & np.uint64(sum(1 << int(x) for x in block))
-                order = np.argsort(sub, kind="stable")
-                i, j = _run_links(sub[order], f[order], radius)
-                pairs.append(star(r[order][i], r[order][j]))
-        key, fp, rep = key[keep], fp[keep], rep[keep]
-    if len(key) > 1:
-        i, j = _run_links(key, fp, radius)
-        pairs.append((rep[i], rep[j]))
-    return star(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])) if pairs else (rep[:0], rep[:0])
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def links(nodes: DataFrame, radius: int) -> DataFrame:
     """``(a, b)``: for fingerprints ``nodes(fp, rep)``, distinct in fp, pairs of rep that join all linked sets.
 
-    No linked set is lost: each task reports, for its candidates, every set as a star.
+    No linked set is lost: each task reports, for its candidates, every set as a star. A key that
+    more than ``LONG_RUN`` fingerprints share is dealt to several tasks by the pigeonhole principle
+    again: of ``radius + 1`` blocks of bits, fingerprints within the radius are equal in one.
     """
     probe = plan_probe(nodes, radius)
-    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(probe.masks)])
+    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(probe.masks)])
     probes = nodes.where("rep IS NOT NULL").select("fp", "rep", F.explode(keys).alias("k")).select(F.col("k.part").alias("part"), F.col("k.key").alias("key"), "fp", "rep")
+    hot = cut(probes.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > LONG_RUN).drop("n"))
+    if hot.head(1):
+        masks = [sum(1 << int(x) for x in block) for block in np.array_split(np.arange(BITS), radius + 1)]
+        blocks = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])
+        own = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("bigint").alias("bits")))
+        marked = probes.join(maybe_broadcast(hot.withColumn("hot", F.lit(True))), ["part", "key"], "left")
+        probes = marked.select("part", "key", "fp", "rep", F.explode(F.when(F.col("hot"), blocks).otherwise(own)).alias("s")).select(F.struct("part", "s.i").alias("part"), F.struct("key", "s.bits").alias("key"), "fp", "rep")
     mixed = F.xxhash64("part", "key")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +290,8 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
                 end = int(changes[-1]) + 1 if len(changes) else 0
             now, rest = table[:, :end], [table[:, end:]]
             held = table.shape[1] - end
-            a, b = _links(now[0], now[1].view(np.uint64), now[2], radius)
+            i, j = _run_links(now[0], now[1].view(np.uint64), radius)
+            a, b = star(now[2][i], now[2][j])
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         limit = RUN_ROWS
