@@ -19,7 +19,7 @@ from .common import cut, maybe_broadcast, read, ship
 
 #: (action, host and path). A rule fits its host and all subdomains, if the path starts with its own; the longest wins.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: The most labelled URLs that the trees are fitted on; a hash of the URL picks them.
+#: The most different labelled URLs that the trees are fitted on, each weighted by its rows; a hash of the URL picks them.
 SAMPLE = 40_000
 TREES, DEPTH, RATE, CELLS = 40, 3, 0.2, 32
 
@@ -66,17 +66,18 @@ def lexical(url: Column, host: Column, path: Column) -> list[Column]:
 class Trees:
     """Gradient-boosted regression trees for a yes-or-no label, on features cut into cells."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> None:
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, CELLS + 1)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
         self.rate, self.depth = rate, depth
-        p = (y.sum() + 1) / (len(y) + 2)
+        weight = np.ones(len(y)) if weight is None else weight
+        p = ((y * weight).sum() + 1) / (weight.sum() + 2)
         self.base = float(np.log(p / (1 - p)))
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         cells = self._cells(x)
         score = np.full(len(y), self.base)
         for _ in range(trees if len(np.unique(y)) > 1 else 0):
             chance = 1 / (1 + np.exp(-score))
-            grad, curve = y - chance, chance * (1 - chance) + 1e-9
+            grad, curve = weight * (y - chance), weight * chance * (1 - chance) + 1e-9
             feature, limit, value = np.zeros(2**depth - 1, int), np.full(2**depth - 1, CELLS), np.zeros(2**depth)
             node = np.zeros(len(y), int)
             for level in range(depth):
@@ -115,7 +116,8 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     """``(id_col, host, path, rule, verdict, block_chance)`` of every row.
 
     verdict is that of the longest fitting rule, else block if the trees find blocking at least
-    as likely as not. A null URL, and one without ``://``, has empty host and path and is judged
+    as likely as not. They learn from at most ``sample`` different URLs that a rule decides (those of the
+    smallest hashes), each weighted by its number of rows. A null URL, and one without ``://``, has empty host and path and is judged
     by the trees. With no labelled URL the chance is one half. Repeated rows are judged alike; an
     empty table gives an empty result; other columns are not read.
     """
@@ -142,9 +144,12 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
         suffix_rate = (zero(F.col("suffix_b")) - zero(own) + 10 * base) / (zero(F.col("suffix_n")) - seen + 10)
         return [suffix_rate, (zero(F.col("host_b")) - zero(own) + 5 * suffix_rate) / (zero(F.col("host_n")) - seen + 5)]
 
-    share = max(1, -(-total["n"] // sample))
-    learn = rated.where((F.col("action").isNotNull()) & (F.pmod("h", F.lit(share)) == 0)).select(F.concat("x", F.array(*rates(label))).alias("x"), label.alias("y")).toPandas()
-    trees = Trees(np.stack(learn["x"].to_numpy()) if len(learn) else np.zeros((0, len(NUMBERS))), learn["y"].to_numpy(float))
+    # Rows of one URL are one example, so a common URL is one row here; a hard limit bounds what the driver gets.
+    urls = told.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("of"))
+    picked = maybe_broadcast(cut(urls.orderBy("h").limit(sample)))
+    examples = rated.where(F.col("action").isNotNull()).join(picked.withColumnRenamed("h", "picked"), (F.col("h") == F.col("picked")) & F.col("id").eqNullSafe(F.col("of")))
+    learn = examples.select("h", F.concat("x", F.array(*rates(label))).alias("x"), label.alias("y"), "n").dropDuplicates(["h"]).orderBy("h").limit(sample).toPandas()
+    trees = Trees(np.stack(learn["x"].to_numpy()) if len(learn) else np.zeros((0, len(NUMBERS))), learn["y"].to_numpy(float), learn["n"].to_numpy(float))
     sent = spark.sparkContext.broadcast(trees)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
