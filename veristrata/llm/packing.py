@@ -4,8 +4,11 @@ Documents are tokenized where they lie. Pieces of full length are sequences at o
 others are dealt to partitions, which pack them by best fit, longest first. Bins that are
 nearly full are emitted. The others go, as items of their fill, to a coarser level of the
 tree, where they are packed again, until one node is left. A node hands at most ``keep``
-bins upwards, the emptiest ones, so memory at every node is bounded and no piece is lost:
-bins beyond that are emitted as they are.
+bins upwards, the emptiest ones; the others are sequences as they are, so memory at every
+node is bounded and no piece is lost. Nothing is gained by more: best fit leaves at most one
+bin of a node half full or less, for of two such bins the pieces of the later one would have
+gone to the earlier. Higher up, bins over half full never fit together, so a join takes one
+of the at most ``fan_in`` bins that are not, and the emptiest partners have the most room.
 """
 
 from __future__ import annotations
@@ -187,7 +190,8 @@ def pack(docs: DataFrame, limit: int = 2048, slack: int = 8, keep: int = 20_000,
     level = 0
     while True:
         last = parts == 1
-        dealt = level_bins.repartition(parts, F.xxhash64("first")).sortWithinPartitions("fill", "first", F.col("items")[0]["piece"], F.col("items")[0]["ids_crc32"])
+        # Dealt in turn, not by a key: ids that are null or repeated do not meet in one node.
+        dealt = level_bins.repartition(parts).sortWithinPartitions("fill", "first", F.col("items")[0]["piece"], F.col("items")[0]["ids_crc32"])
         out = cut(dealt.mapInArrow(_node(limit, slack, keep, level, last), f"sequence_id bigint, {BIN}"))
         done.append(out.where("sequence_id IS NOT NULL").select("sequence_id", "items"))
         if last:
