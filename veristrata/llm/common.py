@@ -145,8 +145,8 @@ def content_key(*columns: Column) -> Column:
 def sum_arrays(df: DataFrame, partial: Callable[[Iterable[pa.RecordBatch]], np.ndarray], size: int, fan_in: int = 16) -> np.ndarray:
     """Sum, over all partitions, the float64 vector of ``size`` that ``partial`` makes of each.
 
-    Partial sums meet in at most ``fan_in`` tasks first; the driver gets one vector from each
-    of those, so what it receives does not grow with the input.
+    Partial sums meet in at most ``fan_in`` tasks first and then in one, so the driver gets one
+    vector, whatever the size of the input.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,17 +156,16 @@ def sum_arrays(df: DataFrame, partial: Callable[[Iterable[pa.RecordBatch]], np.n
             yield pa.RecordBatch.from_arrays([pa.array([vector.tobytes()], pa.binary())], names=["v"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total, some = np.zeros(size), False
         for batch in batches:
             for value in batch.column(0):
                 total += np.frombuffer(value.as_buffer(), "<f8")
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+                some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
-    rows = df.mapInArrow(first, "v binary").repartition(fan_in).mapInArrow(add, "v binary").collect()
-    total = np.zeros(size)
-    for row in rows:
-        total += np.frombuffer(bytes(row["v"]), "<f8")
-    return total
+    row = df.mapInArrow(first, "v binary").repartition(fan_in).mapInArrow(add, "v binary").coalesce(1).mapInArrow(add, "v binary").first()
+    return np.frombuffer(bytes(row["v"]), "<f8").copy() if row else np.zeros(size)
 
 
 def texts_of(column: pa.Array) -> list[str]:
