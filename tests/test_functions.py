@@ -43,7 +43,7 @@ def test_shift_inverse(spark):
 def test_exact_cell(spark):
     plans = spark.createDataFrame([("a", "x", "1"), ("b", "x", None), ("c", "y", "9")], "t string, k string, l string")
     facts = spark.createDataFrame([("x", "1", 5.0), ("x", "2", 6.0)], "k string, l string, v double")
-    got = {r.t: (r.cell_status, r.cell_value) for r in cells.exact_cell(plans, facts, "t", ["k", "l"], "v").collect()}
+    got = {r.t: (r.cell_status, r.cell_value) for r in cells.exact_cell(plans, facts, ["k", "l"], "v").collect()}
     assert got == {"a": ("CELL_RESOLVED", 5.0), "b": ("MULTIPLE_CELLS", None), "c": ("NO_CELL", None)}
 
 
@@ -56,7 +56,7 @@ def test_range_cells(spark):
 
 def test_region_chain_cycles_and_gaps(spark):
     rows = [("a", 1, True, None), ("a", 2, False, 1), ("a", 3, False, 2), ("a", 4, False, 5), ("a", 5, False, 4), ("a", 6, False, 99)]
-    got = {r.sid: r.region for r in context.region_chain(spark, spark.createDataFrame(rows, "article string, sid int, opens boolean, governing int")).collect()}
+    got = {r.sid: r.region for r in context.region_chain(spark.createDataFrame(rows, "article string, sid int, opens boolean, governing int")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: None, 5: None, 6: None}
 
 

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_cell(plans: DataFrame, cells: DataFrame, target: str, keys: list[str], value: str) -> DataFrame:
+def exact_cell(plans: DataFrame, cells: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Each plan with the one cell at its coordinates: CELL_RESOLVED, NO_CELL or MULTIPLE_CELLS (and no value).
 
-    A null coordinate in a plan leaves that axis open. The first key must be given, so the
-    join is an equi-join with the other axes as its residual; cells are summed up by the
-    join's own aggregation, so many matches of one plan stay one row.
+    A null coordinate in a plan leaves that axis open. Plans are split by which axes they leave
+    open (at most ``2 ** len(keys)`` ways, of which the driver reads the ones met); each part is an
+    equi-join on all given axes with cells counted by these axes, so no join multiplies rows.
     """
-    first, *rest = keys
-    on = plans[first] == cells[first]
-    for k in rest:
-        on = on & (plans[k].isNull() | (plans[k] == cells[k]))
-    own = [plans[c] for c in plans.columns]
-    found = plans.join(cells, on, "left").groupBy(*own).agg(F.count(cells[value]).alias("n_cells"), F.min(cells[value]).alias("cell_value"))
-    status = F.when(F.col("n_cells") == 0, "NO_CELL").when(F.col("n_cells") > 1, "MULTIPLE_CELLS").otherwise("CELL_RESOLVED")
-    return found.select(*plans.columns, "n_cells", F.when(F.col("n_cells") == 1, F.col("cell_value")).alias("cell_value"), status.alias("cell_status"))
+    settled = []
+    for way in plans.select(*[F.col(k).isNull().alias(k) for k in keys]).distinct().collect():
+        given = [k for k in keys if not way[k]]
+        mine = plans.where(reduce(lambda a, b: a & b, [F.col(k).isNull() == F.lit(bool(way[k])) for k in keys]))
+        counts = cells.groupBy(*given).agg(F.count(value).alias("n_cells"), F.min(value).alias("cell_value"))
+        settled.append(mine.join(counts, given, "left") if given else mine.crossJoin(counts))  # without any axis: one row of counts
+    if not settled:
+        settled = [plans.join(cells.groupBy(*keys).agg(F.count(value).alias("n_cells"), F.min(value).alias("cell_value")), keys, "left")]
+    n = F.coalesce("n_cells", F.lit(0))
+    status = F.when(n == 0, "NO_CELL").when(n > 1, "MULTIPLE_CELLS").otherwise("CELL_RESOLVED")
+    done = [x.select(*plans.columns, n.cast("bigint").alias("n_cells"), F.when(n == 1, F.col("cell_value")).alias("cell_value"), status.alias("cell_status")) for x in settled]
+    return reduce(lambda a, b: a.unionByName(b), done)
 
 
 def month_periods(first: Column, last: Column, step: int = 1) -> Column:

@@ -81,6 +81,13 @@ def iso_date(text: str | None) -> str | None:
     return f"{int(m[1]):04d}-{int(m[2]):02d}-{int(m[3]):02d}" if m and 1 <= int(m[2]) <= 12 and 1 <= int(m[3]) <= 31 else None
 
 
+def iso_date_column(text: Column) -> Column:
+    """``iso_date`` as an expression."""
+    p = r"(20\d{2})\s*[./년-]\s*(\d{1,2})\s*[./월-]\s*(\d{1,2})"
+    y, m, d = (F.regexp_extract(text, p, i).try_cast("int") for i in (1, 2, 3))
+    return F.when(m.between(1, 12) & d.between(1, 31), F.format_string("%04d-%02d-%02d", y, m, d))
+
+
 def good(paragraphs: list[str], least: int = 100) -> bool:
     text = re.sub(r"\s+", "", "".join(paragraphs))
     return len(text) >= least and len(re.findall(r"[A-Za-z가-힣]", text)) >= 30
@@ -132,11 +139,11 @@ def url_host(url: Column) -> Column:
 
 
 def nfkc(text: Column, form: str = "NFKC") -> Column:
-    """Unicode normal form and case folding, which have no built-in function."""
+    """A Unicode normal form, which has no built-in function."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else unicodedata.normalize(form, x).casefold())
+        return texts.map(lambda x: None if x is None else unicodedata.normalize(form, x))
 
     return run(text)
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, RRF = 1.2, 0.75, 60
+#: The most different terms of queries that are scored together, and the most query vectors.
+QUERY_TERMS, QUERY_VECTORS = 1000, 1000
 
 
 def terms(text: Column) -> Column:
@@ -30,23 +32,28 @@ def top(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -
 def bm25(records: DataFrame, queries: DataFrame, record_id: str, text: str, carry: list[str], match_all: bool) -> DataFrame:
     """``(query_id, record_id, …, score)`` of every record that holds all (or, else, any) of a query's terms.
 
-    Only records' terms that some query asks for are kept past the scan: the postings are met
-    by the query terms (a handful, counted by the caller's table) in a broadcast join before
-    they are grouped. Lengths and counts cover all records.
+    Queries are a stated handful (at most ``QUERY_TERMS`` different terms, checked); their terms
+    filter each record's tokens where they lie, so only tokens that some query asks for are
+    exploded. Lengths and counts cover all records.
     """
+    spark = records.sparkSession
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     wanted = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
+    listed = [r["term"] for r in asked.select("term").distinct().limit(QUERY_TERMS + 1).collect()]
+    if len(listed) > QUERY_TERMS:
+        raise ValueError(f"more than {QUERY_TERMS} query terms: join a table of postings instead")
     split = records.select(record_id, *carry, terms(F.col(text)).alias("t"))
     size = split.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
-    hits = split.select(record_id, *carry, F.size("t").alias("len"), F.explode("t").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    hits = split.select(record_id, *carry, F.size("t").alias("len"), F.explode(F.filter("t", lambda x: x.isin(listed))).alias("term"))
     post = hits.groupBy(record_id, *carry, "len", "term").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
+    weights = asked.join(df, "term").crossJoin(size)  # one row a query term, and one row of sizes
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = post.join(F.broadcast(df), "term").join(F.broadcast(asked), "term").crossJoin(F.broadcast(size))  # size: one row
+    scored = post.join(F.broadcast(weights), "term")
     out = scored.groupBy("query_id", record_id, *carry).agg(F.sum(gain).alias("score"), F.count("*").alias("met"))
     if match_all:
-        out = out.join(F.broadcast(wanted), "query_id").where(F.col("met") == F.col("n_terms"))
+        out = out.join(wanted, "query_id").where(F.col("met") == F.col("n_terms"))
     return out.select("query_id", record_id, *carry, F.round("score", 6).alias("score"))
 
 
@@ -63,10 +70,15 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine_hits(corpus: DataFrame, queries: DataFrame, id_col: str, vector: str, carry: list[str]) -> DataFrame:
-    """Scores of every record for each of a stated handful of query vectors, which are sent to the corpus."""
-    q = queries.select("query_id", F.col("query_vector"))
-    score = dot(F.col(vector), F.col("query_vector")) / F.sqrt(dot(F.col(vector), F.col(vector)) * dot(F.col("query_vector"), F.col("query_vector")))
-    return corpus.select(id_col, vector, *carry).join(F.broadcast(q)).select("query_id", id_col, *carry, F.round(score, 6).alias("score"))
+    """Scores of every record for each of a stated handful of query vectors (at most ``QUERY_VECTORS``, checked), which are sent to the corpus."""
+    q = queries.select("query_id", F.col("query_vector"), F.sqrt(dot(F.col("query_vector"), F.col("query_vector"))).alias("query_norm"))
+    asked = q.limit(QUERY_VECTORS + 1).collect()
+    if len(asked) > QUERY_VECTORS:
+        raise ValueError(f"more than {QUERY_VECTORS} query vectors: use an index instead")
+    listed = F.broadcast(corpus.sparkSession.createDataFrame(asked, q.schema).agg(F.collect_list(F.struct("*")).alias("qs")))  # one row
+    normed = corpus.select(id_col, *carry, F.col(vector).alias("v"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("norm"))
+    each = normed.crossJoin(listed).select(id_col, *carry, "v", "norm", F.explode("qs").alias("q"))
+    return each.select("q.query_id", id_col, *carry, F.round(dot(F.col("v"), F.col("q.query_vector")) / (F.col("norm") * F.col("q.query_norm")), 6).alias("score"))
 
 
 def grouped_cutoff(hits: DataFrame, group: str, limit: int) -> DataFrame:
@@ -132,4 +144,52 @@ def facets(df: DataFrame, keys: list[str]) -> DataFrame:
 def hydrate_ordered(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows for an ordered array of keys, in that order (column ``pos``); unknown keys are left out."""
     listed = keys.select(F.posexplode("keys").alias("pos", key))
-    return df.join(F.broadcast(listed), key)
+    return df.join(listed, key)
+
+
+def hybrid_rrf(hits: DataFrame, release: str, limit: int = 100, k: int = RRF) -> tuple[DataFrame, DataFrame]:
+    """Two channels fused by rank, and the faults that make a query's fusion void.
+
+    ``hits(query_id, channel, table_key, release_id, rank, relation)``. Faults ``(query_id, fault)``: a
+    channel other than bm25 and dense, a key twice in one channel, more hits than ``limit`` in one,
+    another release. The fused rows have ``total_relation``: gte if a channel says so.
+    """
+    per_key = hits.groupBy("query_id", "channel", "table_key").agg(F.count("*").alias("n"))
+    per_channel = hits.groupBy("query_id", "channel").agg(F.count("*").alias("n"), F.count_if(F.col("release_id") != release).alias("other"))
+    fault = lambda df, cond, name: df.where(cond).select("query_id", F.lit(name).alias("fault"))
+    known = F.col("channel").isin("bm25", "dense")
+    faults = reduce(lambda a, b: a.unionByName(b), [
+        fault(per_channel, ~known, "SOURCE_MISMATCH"), fault(per_channel, F.col("n") > limit, "WINDOW_TOO_LONG"), fault(per_channel, F.col("other") > 0, "RELEASE_MISMATCH"), fault(per_key, F.col("n") > 1, "KEY_TWICE"),
+    ]).distinct()
+    sound = hits.join(faults.select("query_id").distinct(), "query_id", "left_anti")
+    fused = sound.groupBy("query_id", "table_key").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("rrf_score"), F.min("rank").alias("best_rank"))
+    relation = sound.groupBy("query_id").agg(F.max("relation").alias("total_relation"))  # gte comes after eq
+    return top(fused, ["query_id"], [F.desc("rrf_score"), "best_rank", "table_key"], limit, "fused_rank").join(relation, "query_id"), faults
+
+
+def rrf_only(fused: DataFrame, key: str, k: int = 50) -> DataFrame:
+    """Without re-ranking: the fused order, its first ``k``."""
+    return fused.where(F.col("fused_rank") <= k).select("target_id", key, F.col("fused_rank").alias("rank"))
+
+
+def sigmoid(logit: Column) -> Column:
+    return 1 / (1 + F.exp(-logit))
+
+
+#: Fields that context and corrective paths look in (fixed values).
+CONTEXT_FIELDS = ("TITLE", "CATEGORY", "ITEM", "DIMENSION_AXIS")
+
+
+def extra_register(targets: DataFrame, terms_col: str, kind: str) -> DataFrame:
+    """Search paths ``(target_id, query_id, role, channel, query)`` for terms ``array<struct<role, text>>``, beside the six default paths.
+
+    ``kind`` source: on the official and lexical channels; corrective: on all three. White space is
+    collapsed, blank texts are left out, and of one role and text the first place counts.
+    """
+    channels = ["official", "bm25"] if kind == "source" else ["official", "bm25", "dense"]
+    role = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("t.role", F.lit("context" if kind == "source" else "corrective"))), "[^a-z0-9_]+", "_"), "^_+|_+$", "")
+    text = F.trim(F.regexp_replace(F.coalesce("t.text", F.lit("")), r"\s+", " "))
+    rows = targets.select("target_id", F.posexplode(terms_col).alias("at", "t")).select("target_id", "at", role.alias("role"), text.alias("query")).where("query <> ''")
+    once = rows.groupBy("target_id", "role", "query").agg(F.min("at").alias("at"))
+    named = once.select("target_id", F.concat_ws("_", F.lit(kind), "role", "at").alias("query_id"), F.concat(F.lit(f"{kind}_"), "role").alias("role") if kind == "source" else F.col("role"), "query")
+    return named.select("target_id", "query_id", "role", F.explode(F.array(*map(F.lit, channels))).alias("channel"), "query")

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pages import nfkc
+
 # Fixed values of the vocabulary.
 TIME_UNITS = ("년", "개월", "월", "분기", "일", "주", "시간", "분", "초")
 NO_SOURCE = ("", "불명", "없음", "미상", "null", "none", "nan", "보고서", "자료", "통계", "결과", "조사", "발표", "보도자료", "관련 기관", "관련 기관 보도자료", "관련 통계자료", "알려짐")
 FOREIGN = r"(?i)미국|미 정부|미 노동부|영국|중국|일본|독일|프랑스|캐나다|러시아|유럽연합|EU|연준|FOMC|IMF|OECD|UN|세계은행|국제통화기금|국제에너지기구|국제원자력기구|IAEA|해외|국제기구"
-PUBLIC = r"정부|위원회|부처|공단|공사|청|부|원|지자체|시청|도청|구청|군청"
+#: A domestic public body by the end of its name.
+PUBLIC = ("정부", "위원회", "부처", "공단", "공사", "청", "부", "원", "지자체", "시청", "도청", "구청", "군청", "국책연구기관", "연구원", "대학교", "대학", "법원", "국회")
 
 
 def plain_name(name: Column) -> Column:
-    """A name without white space and light punctuation; null and its spellings are empty."""
-    t = F.trim(F.coalesce(name, F.lit("")))
+    """A name in compatible form (NFKC), without white space and light punctuation; null and its spellings are empty."""
+    t = F.trim(nfkc(F.coalesce(name, F.lit(""))))
     return F.when(F.lower(t).isin("nan", "none", "null"), "").otherwise(F.regexp_replace(t, r"[\s·ㆍ,.'\"`]+", ""))
 
 
@@ -33,11 +36,17 @@ def source_scope(claims: DataFrame, orgs: DataFrame, aliases: DataFrame, name: s
     none = (F.col("_p") == "") | F.lower(raw).isin(*NO_SOURCE) | F.lower("_p").isin(*NO_SOURCE)
     hit = F.coalesce("org_id", "_alias_id")
     scope = (
-        F.when(none, "불명").when(hit.isNotNull(), "KOSIS등재").when(raw.rlike(FOREIGN), "해외기관").when(raw.rlike(PUBLIC), "공식기관_비KOSIS").otherwise("민간기관")
+        F.when(none, "불명").when(hit.isNotNull(), "KOSIS등재").when(raw.rlike(FOREIGN), "해외기관").when(raw.rlike(f"(?:{'|'.join(PUBLIC)})$"), "공식기관_비KOSIS").otherwise("민간기관")
     )
     return found.select(*claims.columns, scope.alias("scope"), F.when(~none, hit).alias("org_id"))
 
 
+def org_candidates(scoped: DataFrame) -> DataFrame:
+    """Of rows with ``scope`` and ``org_id`` the one sure candidate, with its confidence; rows without one stay, with none."""
+    sure = (F.col("scope") == "KOSIS등재") & F.col("org_id").isNotNull()
+    return scoped.withColumn("candidates", F.when(sure, F.array(F.struct("org_id", F.lit(1.0).alias("confidence")))).otherwise(F.array().cast("array<struct<org_id:string,confidence:double>>")))
+
+
 def prefilter(is_claim: Column, claim_class: Column, scope: Column) -> Column:
     """검증시도 (try), 강등 (demote) or 제외 (drop) by claim, class and source; null is undecided, not false."""
     s = F.coalesce(scope, F.lit(""))

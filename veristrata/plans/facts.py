@@ -40,7 +40,7 @@ def verify_cells(spark: SparkSession, d: str) -> DataFrame:
     """Verify claims about revenue: value and unit text against the one official cell."""
     cells = nation_monthly(spark, d)
     claims = spark.createDataFrame(CLAIMS, "claim_id string, nation string, period string, how string")
-    found = ops.exact_cell(claims, cells, "claim_id", ["period", "nation"], "v")
+    found = ops.exact_cell(claims, cells, ["period", "nation"], "v")
     # What each claim says, made from the fact so that every outcome is met.
     base = F.coalesce(F.col("cell_value"), F.lit(0)).cast("decimal(28,2)")
     text = (

@@ -229,14 +229,12 @@ def cell_cache(s: SparkSession, d: str) -> DataFrame:
     o = table(s, d, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
     cache = o.unionByName(o).dropDuplicates(["o_custkey", "day", "o_totalprice"])
     plans = table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit(None).cast("date").alias("day"))
-    return cells.exact_cell(plans, cache, "o_custkey", ["o_custkey", "day"], "o_totalprice").groupBy("cell_status").agg(F.count("*").alias("n"))
+    return cells.exact_cell(plans, cache, ["o_custkey", "day"], "o_totalprice").groupBy("cell_status").agg(F.count("*").alias("n"))
 
 
 QUERIES["cell_cache_match"] = cell_cache
 SQL["cell_cache_match"] = """WITH c AS (SELECT DISTINCT o_custkey, o_orderdate::DATE AS day, o_totalprice FROM orders), n AS (SELECT c_custkey, count(o_totalprice) AS k FROM customer LEFT JOIN c ON c_custkey = o_custkey GROUP BY 1)
 SELECT CASE WHEN k = 0 THEN 'NO_CELL' WHEN k > 1 THEN 'MULTIPLE_CELLS' ELSE 'CELL_RESOLVED' END AS cell_status, count(*) AS n FROM n GROUP BY 1"""
 
-QUERIES["input_route"] = lambda s, d: table(s, d, "documents").groupBy(routing.input_route(F.col("text")).alias("route")).agg(F.count("*").alias("n"))
-SQL["input_route"] = r"""SELECT CASE WHEN regexp_matches(trim(text), '^https?://\S+$') THEN 'URL' WHEN regexp_matches(text, '\?\s*$|얼마|몇') AND length(text) < 200 THEN 'STATISTIC_QUESTION' WHEN length(text) >= 200 THEN 'ARTICLE' ELSE 'OUT_OF_SCOPE' END AS route, count(*) AS n FROM documents GROUP BY 1"""
 QUERIES["retrieval_cache"] = lambda s, d: retrieval.facets(table(s, d, "conversations").select("role", F.sha2(F.lower(F.trim("text")).cast("binary"), 256).alias("h")).distinct(), ["role"])
 SQL["retrieval_cache"] = "SELECT role, count(DISTINCT lower(trim(text))) AS n FROM conversations GROUP BY 1"

@@ -78,7 +78,7 @@ SELECT conv_id, turn, CASE WHEN len(s) = 1 THEN s[1] END AS context, CASE WHEN l
 def region_chain(spark: SparkSession, d: str) -> DataFrame:
     """Turns point at the turn before; those of a user at even fives open a region."""
     c = table(spark, d, "conversations")
-    return context.region_chain(spark, c.select(F.col("conv_id").alias("article"), F.col("turn").alias("sid"), (F.col("turn") % 5 == 2).alias("opens"), (F.col("turn") - 1).alias("governing")))
+    return context.region_chain(c.select(F.col("conv_id").alias("article"), F.col("turn").alias("sid"), (F.col("turn") % 5 == 2).alias("opens"), (F.col("turn") - 1).alias("governing")))
 
 
 QUERIES["region_chain"] = region_chain

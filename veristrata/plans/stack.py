@@ -25,7 +25,7 @@ def articles(s: SparkSession) -> DataFrame:
 
 def stacked(s: SparkSession) -> DataFrame:
     layout = s.createDataFrame(LAYOUT, "article_idx string, sentence_id int, opens boolean, governing int, subtype string, indicator string, period_raw string")
-    return layers.run_stack(s, articles(s), layout)
+    return layers.run_stack(articles(s), layout)
 
 
 QUERIES["run_stack"] = lambda s, d: stacked(s).select("article_idx", "sentence_id", "value", "unit", "indicator", "indicator_source", "source_subtype", "measurement", "period", "basis", "baseline", "routing_class", "reason")
@@ -44,9 +44,9 @@ def verify_articles(s: SparkSession, d: str) -> DataFrame:
     facts = s.createDataFrame(CELLS, "indicator string, period string, dt string, unit string")
     v = stacked(s).withColumn("target_id", F.concat_ws(":", "article_idx", "span_id")).persist()  # used for plans, baselines and the result
     plans = v.where("routing_class = 'KOSIS_CANDIDATE'").select("target_id", "indicator", "period", "baseline", "value", "unit", "measurement")
-    now = cells.exact_cell(plans, facts.select("indicator", "period", "dt"), "target_id", ["indicator", "period"], "dt").select("target_id", F.col("cell_value").alias("now"), F.col("cell_status").alias("now_status"))
+    now = cells.exact_cell(plans, facts.select("indicator", "period", "dt"), ["indicator", "period"], "dt").select("target_id", F.col("cell_value").alias("now"), F.col("cell_status").alias("now_status"))
     past_plans = plans.where("baseline <> ''").select("target_id", "indicator", F.col("baseline").alias("period"))
-    past = cells.exact_cell(past_plans, facts.select("indicator", "period", "dt"), "target_id", ["indicator", "period"], "dt").select("target_id", F.col("cell_value").alias("past"))
+    past = cells.exact_cell(past_plans, facts.select("indicator", "period", "dt"), ["indicator", "period"], "dt").select("target_id", F.col("cell_value").alias("past"))
     both = plans.join(now, "target_id").join(past, "target_id", "left")
     difference = (F.col("now").try_cast("decimal(20,6)") - F.col("past").try_cast("decimal(20,6)")).cast("string")
     official = F.when(F.col("measurement") == "CHANGE_POINT", difference).otherwise(F.col("now"))
