@@ -98,3 +98,49 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def article_summary(answers: DataFrame, numbers: DataFrame, values: DataFrame, article: str) -> DataFrame:
+    """``(article, answers, verdicts, blockers, numbers, covered)``: counts by verdict and by reason of a hold, and how many numbers of the text some value covers.
+
+    ``answers(article, verdict, blocker)``, ``numbers(article, surface)``, ``values(article, value_text)``;
+    a number is covered if it holds a value of its article, or a value holds it, commas aside. Counts
+    only: nothing is said about the article as a whole.
+    """
+    tally = lambda c: answers.where(F.col(c).isNotNull()).groupBy(article, c).agg(F.count("*").alias("n")).groupBy(article).agg(F.array_sort(F.collect_list(F.struct(c, "n"))).alias(f"{c}s"))
+    plain = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit(","), F.lit(""))
+    held = values.groupBy(article).agg(F.collect_set(F.nullif(plain(F.col("value_text")), F.lit(""))).alias("held"))  # one article's values
+    near = lambda v: F.contains(v, plain(F.col("surface"))) | F.contains(plain(F.col("surface")), v)
+    told = numbers.join(held, article, "left").withColumn("c", F.coalesce(F.exists("held", near), F.lit(False)))
+    coverage = told.groupBy(article).agg(F.count("*").alias("numbers"), F.count_if("c").alias("covered"))
+    total = answers.groupBy(article).agg(F.count("*").alias("answers"))
+    out = total.join(tally("verdict"), article, "left").join(tally("blocker"), article, "left").join(coverage, article, "full_outer")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select(article, zero("answers"), "verdicts", "blockers", zero("numbers"), zero("covered"))
+
+
+def routing_eval(gold: DataFrame, routed: DataFrame, key: list[str], positive: str) -> DataFrame:
+    """One row: counts of ``gold(…, judged_class)`` held against ``routed(…, routing_class)``, precision, recall, F1, and how many of the blocked were rightly so.
+
+    Gold rows without a class do not count; a missing prediction is a miss if gold is positive.
+    """
+    rows = gold.where(F.coalesce(F.trim("judged_class"), F.lit("")) != "").join(routed.select(*key, "routing_class"), key, "left")
+    g, p, there = F.col("judged_class") == positive, F.coalesce(F.col("routing_class") == positive, F.lit(False)), F.col("routing_class").isNotNull()
+    counted = rows.agg(F.count_if(g & p).alias("tp"), F.count_if(~g & p).alias("fp"), F.count_if(g & ~p).alias("fn"), F.count_if(~g & ~p & there).alias("tn"), F.count_if(~there).alias("missing"))
+    return _with_prf(counted).withColumn("abstention_precision", F.round(_ratio(F.col("tn"), F.col("tn") + F.col("fn")), 6))
+
+
+def metrics_all(rows: DataFrame) -> DataFrame:
+    """One row over ``(status, gold_*, pred_*, latency_ms, tokens)``: detection, class accuracy and macro scores, exact rates, units with a denominator of at least one, latency and tokens.
+
+    Scores count rows that are ok, sums of cost all rows.
+    """
+    ok = rows.where("status = 'ok'")
+    same = lambda f: F.coalesce(F.col(f"gold_{f}").eqNullSafe(F.col(f"pred_{f}")), F.lit(False))
+    named = (F.coalesce("gold_unit", F.lit("")) != "") | (F.coalesce("pred_unit", F.lit("")) != "")
+    rate = lambda c: F.round(_ratio(F.count_if(c), F.count("*")), 6)
+    exact = ok.agg(F.count("*").alias("rows_ok"), rate(same("claim_class")).alias("class_accuracy"), rate(same("source_scope")).alias("scope_exact"), rate(same("source_role")).alias("role_exact"), F.round(F.count_if(named & same("unit")) / F.greatest(F.count_if(named), F.lit(1)), 6).alias("unit_exact"))
+    detection = binary_prf(ok, F.col("gold_is_claim"), F.col("pred_is_claim")).select(*[F.col(c).alias(f"claim_{c}") for c in ("precision", "recall", "f1")])
+    macro = macro_prf(per_label_prf(ok, "gold_claim_class", "pred_claim_class")).select(*[F.col(c).alias(f"class_macro_{c}") for c in ("precision", "recall", "f1")])
+    cost = rows.agg(F.count("*").alias("rows_total"), F.round(F.sum("latency_ms"), 3).alias("total_latency_ms"), F.sum("tokens").alias("total_tokens"))
+    return cost.crossJoin(exact).crossJoin(detection).crossJoin(macro)  # one row each

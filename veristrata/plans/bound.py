@@ -442,3 +442,71 @@ def answer_guard(s: SparkSession, d: str) -> DataFrame:
         F.when(k == 2, "{name}는 7이다").when(k == 3, "{name}는 {other}이다").otherwise("{name}는 {segment}이다").alias("template"), F.create_map(F.lit("name"), C("c_name"), F.lit("segment"), C("c_mktsegment")).alias("values"),
     )
     return validation.answer_guard(rows)
+
+
+# ---- sentences, questions, rules
+_BODY = ["{n}% 늘었다.다음", "끝났다.”그는 {n}명", "값은 {n}.5다.다음", "a.b@c.co.kr로 보내라.끝", "U.S.의 값.\"인용", "한 문장. 두 문장", "www.a.kr.가나 {n}"]
+_PARTS = ["{n}% 늘었다.|다음", "끝났다.”|그는 {n}명", "값은 {n}.5다.|다음", "a.b@c.co.kr로 보내라.|끝", "U.S.의 값.|\"인용", "한 문장.|두 문장", "www.a.kr.가나 {n}"]
+
+
+def _form(templates: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN p_partkey % {len(templates)} = {i} THEN replace('{t}', '{{n}}', CAST(p_size AS STRING))" for i, t in enumerate(templates)) + " END"
+
+
+@query(f"SELECT p_partkey, {_form(_PARTS)} AS parts FROM part")
+def sentence_split_v1(s: SparkSession, d: str) -> DataFrame:
+    """Bodies without white space between sentences, with quotations, addresses, decimals and abbreviations."""
+    out = text.sentences_v1(table(s, d, "part").select("p_partkey", F.expr(_form(_BODY)).alias("t")), "t")
+    return out.groupBy("p_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sentence_id", "text"))), lambda x: x["text"]), "|").alias("parts"))
+
+
+@query("SELECT p_partkey, CAST(CASE p_partkey % 3 WHEN 0 THEN 3 WHEN 2 THEN NULL END AS INTEGER) AS a, CAST(CASE p_partkey % 3 WHEN 0 THEN length(p_name) + 4 END AS INTEGER) AS b FROM part")
+def ws_insensitive_span(s: SparkSession, d: str) -> DataFrame:
+    """A name with other spaces and case: found once, twice, or not."""
+    k, name = C("p_partkey") % 3, C("p_name")
+    body = F.when(k == 0, F.concat(F.lit("z  "), F.replace(name, F.lit(" "), F.lit("  ")), F.lit(" z"))).when(k == 1, F.concat(name, F.lit(" "), F.upper(name))).otherwise("zz")
+    x = text.unspaced_span(body, F.upper(F.replace(name, F.lit(" "), F.lit(""))))
+    return table(s, d, "part").select("p_partkey", x["start"].alias("a"), x["end"].alias("b"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'EMPTY_QUERY' WHEN 1 THEN 'MULTI_SENTENCE' WHEN 2 THEN 'VALUE_UNIT_COUNT' WHEN 3 THEN 'INDICATOR_PARTICLE_REQUIRED' END AS error, CASE WHEN p_size % 6 >= 4 THEN CAST(p_size AS VARCHAR) END AS value, CASE WHEN p_size % 6 >= 4 THEN '%' END AS unit,
+  CASE WHEN p_size % 6 >= 4 THEN '실업률' END AS indicator, CASE WHEN p_size % 6 = 4 THEN '2024년' END AS year FROM part""")
+def query_claim_front(s: SparkSession, d: str) -> DataFrame:
+    k, n = C("p_size") % 6, C("p_size").cast("string")
+    q = F.when(k == 0, " ").when(k == 1, F.concat(F.lit("실업률은 "), n, F.lit("%다. 맞나?"))).when(k == 2, "실업률은 높다").when(k == 3, F.concat(F.lit("실업률 "), n, F.lit("%"))).when(k == 4, F.concat(F.lit("2024년 실업률은 "), n, F.lit("%다"))).otherwise(F.concat(F.lit("실업률이 "), n, F.lit("%인가?")))
+    return table(s, d, "part").select("p_partkey", text.query_front(q).alias("x")).select("p_partkey", "x.*")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 IN (1, 3) OR (p_size % 2 = 1 AND p_size % 5 <> 0) THEN 'CLARIFICATION_REQUIRED' WHEN p_size % 5 = 0 THEN 'VERIFY_ARTICLE' WHEN p_size % 5 = 2 THEN 'COMPARE_PERIODS' ELSE 'LOOKUP_VALUE' END AS task,
+  CASE p_size % 5 WHEN 1 THEN 'CHANGE_UNSPECIFIED' WHEN 2 THEN 'CHANGE_RATE' WHEN 3 THEN 'DIFFERENCE' ELSE 'LEVEL' END AS measurement,
+  concat_ws(',', CASE WHEN p_size % 2 = 1 AND p_size % 5 <> 0 THEN 'indicator' END, CASE WHEN p_size % 5 IN (1, 3) THEN 'period' END, CASE WHEN p_size % 5 = 1 THEN 'change_measure' END) AS missing FROM part""")
+def user_intent(s: SparkSession, d: str) -> DataFrame:
+    asked = F.get(F.array(*map(F.lit, ["기사 전체를 봐줘", "출생이 감소했나", "2023년과 2024년의 증가율 비교", "작년과 인구 차이는", "실업률은 얼마"])), C("p_size") % 5)
+    out = table(s, d, "part").select("p_partkey", text.user_intent(asked, C("p_size") % 2 == 0).alias("x"))
+    return out.select("p_partkey", "x.task", "x.measurement", F.array_join("x.missing", ",").alias("missing"))
+
+
+@query("SELECT p_partkey, 'brand' AS rule, regexp_extract(p_brand, '[0-9]+', 0) AS found FROM part UNION ALL SELECT p_partkey, 'widget', 'widget' FROM part WHERE contains(p_name, 'widget')")
+def lexical_rules(s: SparkSession, d: str) -> DataFrame:
+    """A registry of three rules, one switched off."""
+    rules = {"brand": (r"\d+", "numbers of brands"), "widget": ("widget", "names"), "off": (".*", "everything")}
+    rows = table(s, d, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_name").alias("t"))
+    return text.rule_hits(rows, "p_partkey", "t", rules, ("off",)).select("p_partkey", "rule", "found")
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN concat('YOY_STREAK:', p_size, ':2024-03:explicit') WHEN 1 THEN 'YOY_RATE_MAX:2019:2024-02:adjacent_inherited' WHEN 2 THEN 'MONTH_MAX_SINCE:2001:2024-03:explicit' ELSE '' END AS specs FROM part""")
+def range_specs(s: SparkSession, d: str) -> DataFrame:
+    from ..operators import cells
+
+    k = C("p_size") % 4
+    said = F.when(k == 0, F.format_string("3월 출생은 %d개월 연속 증가했다", C("p_size"))).when(k == 1, "증가율은 2019년 이후 가장 높다").when(k == 2, "3월 값은 2001년 이래 최대다").otherwise("2001년 이후 최대")
+    month = F.when(k.isin(0, 2), "2024-03")
+    found = cells.range_specs(said, month, F.when(k == 1, "2024-02"))
+    return table(s, d, "part").select("p_partkey", F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["operator"], x["number"], x["period"], x["from"])), "|").alias("specs"))
+
+
+@query("""SELECT p_partkey, '지난해' AS time_ref, '2023' AS time_abs, '연' AS time_span, CAST(p_size AS VARCHAR) AS value_list FROM part""")
+def article_extract(s: SparkSession, d: str) -> DataFrame:
+    """Articles of two sentences, of which one holds a value."""
+    p = table(s, d, "part").select("p_partkey", F.format_string("값이 없다. 지난해 실업률은 %d%%였다.", C("p_size")).alias("body"), F.lit("2024-05-01").alias("published"))
+    return text.article_extract(p, "body", "published").select("p_partkey", "time_ref", "time_abs", "time_span", "value_list")

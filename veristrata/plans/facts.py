@@ -98,23 +98,60 @@ SELECT month, change, change > max(change) OVER (ORDER BY month ROWS BETWEEN UNB
 
 
 def range_cells_status(spark: SparkSession, d: str) -> DataFrame:
-    """Is there revenue of each nation in every month of 1996 to 1998?"""
-    cells = nation_monthly(spark, d).where("period BETWEEN '1996-01' AND '1998-12'")
-    months = F.transform(ops.month_periods(F.lit("1996-01-01").cast("date"), F.lit("1998-12-01").cast("date")), lambda m: F.date_format(m, "yyyy-MM"))
+    """Has each nation its revenue of every month of 1996, once? Some nations' months are twice there, some are gone, and some have months of other years."""
+    cells = nation_monthly(spark, d).withColumn("k", F.regexp_extract("nation", r"(\d+)", 1).cast("int"))
+    of_year = F.col("period").between("1996-01", "1996-12")
+    held = cells.where((of_year | (F.col("k") % 4 == 1)) & ~((F.col("k") % 5 == 2) & (F.col("period") == "1996-07")))
+    twice = held.where("k % 3 = 0 AND period = '1996-05'")
+    months = F.transform(ops.month_periods(F.lit("1996-01-01").cast("date"), F.lit("1996-12-01").cast("date")), lambda m: F.date_format(m, "yyyy-MM"))
     wanted = table(spark, d, "nation").select(F.col("n_name").alias("nation"), F.explode(months).alias("period"))
-    return ops.range_cells(wanted, cells, "nation", "period")
+    return ops.range_cells(wanted, held.unionByName(twice), "nation", "period")
 
 
 QUERIES["range_cells_status"] = range_cells_status
 SQL["range_cells_status"] = """
-WITH c AS (SELECT DISTINCT n_name AS nation, strftime(o_orderdate, '%Y-%m') AS period FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  WHERE strftime(o_orderdate, '%Y-%m') BETWEEN '1996-01' AND '1998-12'),
-w AS (SELECT n_name AS nation, strftime(m, '%Y-%m') AS period FROM nation, generate_series(DATE '1996-01-01', DATE '1998-12-01', INTERVAL 1 MONTH) t(m)),
-s AS (SELECT w.nation, count(*) FILTER (c.period IS NULL) AS missing FROM w LEFT JOIN c ON c.nation = w.nation AND c.period = w.period GROUP BY 1)
-SELECT nation, missing, 0::BIGINT AS duplicated, 0::BIGINT AS unexpected, CASE WHEN missing > 0 THEN 'RANGE_CELLS_MISSING' ELSE 'RANGE_RESOLVED' END AS status FROM s
+WITH m AS (SELECT DISTINCT n_name AS nation, regexp_extract(n_name, '([0-9]+)', 1)::INTEGER AS k, strftime(o_orderdate, '%Y-%m') AS period FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+h AS (SELECT * FROM m WHERE (period BETWEEN '1996-01' AND '1996-12' OR k % 4 = 1) AND NOT (k % 5 = 2 AND period = '1996-07')), a AS (SELECT * FROM h UNION ALL SELECT * FROM h WHERE k % 3 = 0 AND period = '1996-05'),
+c AS (SELECT nation, period, count(*) AS n FROM a GROUP BY 1, 2), w AS (SELECT n_name AS nation, concat('1996-', lpad(x::VARCHAR, 2, '0')) AS period, true AS wanted FROM nation, range(1, 13) t(x)),
+j AS (SELECT coalesce(w.nation, c.nation) AS nation, wanted, n FROM w FULL JOIN c ON c.nation = w.nation AND c.period = w.period),
+s AS (SELECT nation, count(*) FILTER (wanted AND n IS NULL) AS missing, count(*) FILTER (wanted AND n > 1) AS duplicated, count(*) FILTER (wanted IS NULL) AS unexpected FROM j GROUP BY 1)
+SELECT *, CASE WHEN duplicated > 0 THEN 'RANGE_CELLS_DUPLICATED' WHEN missing > 0 THEN 'RANGE_CELLS_MISSING' WHEN unexpected > 0 THEN 'RANGE_CELLS_UNEXPECTED' ELSE 'RANGE_RESOLVED' END AS status FROM s
 """
 
 
+def verify_every_cell(spark: SparkSession, d: str) -> DataFrame:
+    """A claim about every nation and month, in ten thousands with one place, moved by up to two places; held against its cell to half the last place."""
+    cells = nation_monthly(spark, d)
+    tenths = F.floor(F.col("v") / 1000).cast("bigint") + F.substring("period", 6, 2).cast("int") % 3
+    claims = cells.select("nation", "period", F.concat((tenths / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("만")).alias("said"))
+    found = ops.exact_cell(claims, cells, ["nation", "period"], "v")
+    read = found.withColumn("c", normalize_quantity(F.col("said"), F.lit("원"))).withColumn("o", normalize_quantity(F.col("cell_value").cast("string"), F.lit("원")))
+    status = F.coalesce(F.col("c.error"), F.col("o.error"), compare_canonical(F.col("c"), F.col("o")))
+    return read.select("nation", "period", "said", status.alias("status"), verdict(status).alias("verdict"))
+
+
+QUERIES["verify_every_cell"] = verify_every_cell
+SQL["verify_every_cell"] = """WITH c AS (SELECT n_name AS nation, strftime(o_orderdate, '%Y-%m') AS period, sum(o_totalprice::DECIMAL(18,2))::DECIMAL(28,2) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+t AS (SELECT *, floor(v / 1000)::BIGINT + period[6:7]::INTEGER % 3 AS t FROM c), x AS (SELECT *, abs(t * 1000 - v) * 2 <= 1000 AS ok FROM t)
+SELECT nation, period, concat(t // 10, '.', t % 10, '만') AS said, CASE WHEN ok THEN 'MATCH' ELSE 'VALUE_MISMATCH' END AS status, CASE WHEN ok THEN 'VERIFIED' ELSE 'REFUTED' END AS verdict FROM x"""
+
+
+def same_series(spark: SparkSession, d: str) -> DataFrame:
+    """Claims about every month of all revenue: streaks of one to three months, and maxima since 1995."""
+    m = monthly(spark, d)
+    claims = m.select("series", "month", F.explode(F.array(*[F.struct(F.lit(o).alias("operator"), F.lit(n).alias("number")) for o, n in (("YOY_STREAK", 1), ("YOY_STREAK", 2), ("MONTH_MAX_SINCE", 1995), ("YOY_DIFF_MAX", 1996), ("YOY_RATE_MAX", 1996))])).alias("x"))
+    claims = claims.select("series", "month", "x.operator", "x.number", F.concat_ws(":", F.col("month").cast("string"), "x.operator", F.col("x.number").cast("string")).alias("claim_id"))
+    return ops.same_series(m, ["series"], "month", "revenue", claims).select("claim_id", "holds")
+
+
+QUERIES["same_series"] = same_series
+SQL["same_series"] = f"""WITH m AS ({_MONTHLY}), y AS (SELECT a.month, a.revenue AS v, a.revenue - b.revenue AS d, (a.revenue::DOUBLE - b.revenue::DOUBLE) / abs(b.revenue::DOUBLE) AS r FROM m a LEFT JOIN m b ON b.month = a.month - INTERVAL 12 MONTH),
+u AS (SELECT month, coalesce(d > 0, false) AS up, sum(CASE WHEN coalesce(d > 0, false) THEN 0 ELSE 1 END) OVER (ORDER BY month) AS run FROM y), k AS (SELECT month, CASE WHEN up THEN count(*) FILTER (up) OVER (PARTITION BY run ORDER BY month) ELSE 0 END AS streak FROM u),
+c(operator, number) AS (VALUES ('YOY_STREAK', 1), ('YOY_STREAK', 2), ('MONTH_MAX_SINCE', 1995), ('YOY_DIFF_MAX', 1996), ('YOY_RATE_MAX', 1996))
+SELECT concat(y.month, ':', operator, ':', number) AS claim_id, CASE operator WHEN 'YOY_STREAK' THEN streak = number WHEN 'MONTH_MAX_SINCE' THEN y.v > (SELECT max(p.v) FROM y p WHERE p.month < y.month AND month(p.month) = month(y.month) AND p.month >= make_date(number, 1, 1))
+  WHEN 'YOY_DIFF_MAX' THEN y.d > (SELECT max(p.d) FROM y p WHERE p.month < y.month AND p.month >= make_date(number, 1, 1)) ELSE y.r > (SELECT max(p.r) FROM y p WHERE p.month < y.month AND p.month >= make_date(number, 1, 1)) END AS holds FROM y JOIN k USING (month), c"""
+
+
 def annual_requery(spark: SparkSession, d: str) -> DataFrame:
     """Yearly revenue of each nation against the year before, and whether a claimed rise holds."""
     yearly = nation_monthly(spark, d).groupBy("nation", F.substring("period", 1, 4).cast("int").alias("year")).agg(F.sum("v").cast("decimal(28,2)").alias("v"))

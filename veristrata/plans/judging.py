@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import compare, quantity
-from ..operators import binding, cells, pages, retrieval, routing, scope, text
+from ..operators import binding, cells, context, ledger, pages, retrieval, routing, scope, text
 from ..sources.tables import table
 from .language import _literal
 
@@ -169,8 +169,7 @@ def tree_crawl(s: SparkSession, d: str) -> DataFrame:
         .unionByName(table(s, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("child")))
         .unionByName(table(s, d, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("parent"), F.concat(F.lit("s"), "s_suppkey").alias("child")))
     )
-    walked = s.sql("WITH RECURSIVE t(node, depth) AS (SELECT child, 0 FROM {e} WHERE parent IS NULL UNION ALL SELECT e.child, t.depth + 1 FROM t JOIN {e} e ON e.parent = t.node WHERE t.depth < 20) SELECT node, min(depth) AS depth FROM t GROUP BY node", e=edges)
-    return walked
+    return context.walk_tree(edges)
 
 
 QUERIES["src_tree_crawl"] = tree_crawl
@@ -205,23 +204,38 @@ SQL["json_object_parse"] = "SELECT event_id, json_extract(props, '$.k')::INTEGER
 
 
 def article_summary(s: SparkSession, d: str) -> DataFrame:
-    """Customers as articles: counts of their orders by status."""
-    o = table(s, d, "orders")
-    return o.groupBy("o_custkey").agg(*[F.count_if(F.col("o_orderstatus") == x).alias(f"n_{x.lower()}") for x in "FOP"], F.count("*").alias("n"))
+    """Customers as articles: verdicts and reasons of their orders, and which of their prices another order's digits cover."""
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("article"), "o_orderkey", "o_orderstatus", "o_orderpriority")
+    answers = o.select("article", F.when(F.col("o_orderstatus") == "F", "VERIFIED").when(F.col("o_orderstatus") == "O", "REFUTED").otherwise("UNVERIFIABLE").alias("verdict"), F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).alias("blocker"))
+    numbers = o.select("article", F.format_string("%,d", F.col("o_orderkey")).alias("surface"))
+    values = o.where("o_orderkey % 2 = 0").select("article", (F.col("o_orderkey") * 10).cast("string").alias("value_text"))
+    shown = lambda c, f: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[f], x["n"])), ",")
+    out = ledger.article_summary(answers, numbers, values, "article")
+    return out.select("article", "answers", shown("verdicts", "verdict").alias("verdicts"), shown("blockers", "blocker").alias("blockers"), "numbers", "covered")
 
 
 QUERIES["article_summary"] = article_summary
-SQL["article_summary"] = "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p, count(*) AS n FROM orders GROUP BY 1"
+SQL["article_summary"] = """WITH a AS (SELECT o_custkey AS article, o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'VERIFIED' WHEN 'O' THEN 'REFUTED' ELSE 'UNVERIFIABLE' END AS v, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS b FROM orders),
+vs AS (SELECT article, string_agg(concat(v, ':', n), ',' ORDER BY v) AS verdicts FROM (SELECT article, v, count(*) AS n FROM a GROUP BY 1, 2) GROUP BY 1), bs AS (SELECT article, string_agg(concat(b, ':', n), ',' ORDER BY b) AS blockers FROM (SELECT article, b, count(*) AS n FROM a WHERE b IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+c AS (SELECT article, count(*) AS numbers, count(*) FILTER (EXISTS (SELECT 1 FROM a o WHERE o.article = a.article AND o.k % 2 = 0 AND (contains((o.k * 10)::VARCHAR, a.k::VARCHAR) OR contains(a.k::VARCHAR, (o.k * 10)::VARCHAR)))) AS covered FROM a GROUP BY 1)
+SELECT article, numbers AS answers, verdicts, blockers, numbers, covered FROM c JOIN vs USING (article) LEFT JOIN bs USING (article)"""
 
 
 def primary_target(s: SparkSession, d: str) -> DataFrame:
-    """Orders with exactly one returned line and at least one other, all by one supplier nation of two."""
-    g = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("levels"), F.count_if(F.col("l_returnflag") != "R").alias("changes"), F.count_distinct("l_linestatus").alias("bases"))
-    return g.where("levels = 1 AND changes >= 1 AND bases = 1").select("l_orderkey", "changes")
+    """Orders as articles: lines by ship month and supplier parity as series, returned ones as levels, others as changes from the line status."""
+    li = table(s, d, "lineitem")
+    rows = li.select(
+        F.col("l_orderkey").alias("article"), F.lit(0).alias("sentence"), (F.col("l_suppkey") % 2).alias("family"), F.lit("p").alias("period"), F.when(F.col("l_returnflag") == "R", "LEVEL").when(F.col("l_returnflag") == "A", "CHANGE_RATE").otherwise("CHANGE_POINT").alias("measurement"),
+        F.when(F.col("l_linestatus") == "O", "2023").otherwise(F.when(F.col("l_linenumber") > 1, "2022")).alias("baseline"), F.concat_ws(":", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("target_id"),
+    )
+    return cells.primary_target(rows, ["article"])
 
 
 QUERIES["primary_target"] = primary_target
-SQL["primary_target"] = "SELECT l_orderkey, count(*) FILTER (l_returnflag <> 'R') AS changes FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'R') = 1 AND count(*) FILTER (l_returnflag <> 'R') >= 1 AND count(DISTINCT l_linestatus) = 1"
+SQL["primary_target"] = """WITH r AS (SELECT l_orderkey AS article, l_suppkey % 2 AS family, l_returnflag = 'R' AS lv, CASE WHEN l_linestatus = 'O' THEN '2023' WHEN l_linenumber > 1 THEN '2022' ELSE '' END AS b, concat_ws(':', l_linenumber, l_partkey, l_suppkey) AS t FROM lineitem),
+g AS (SELECT article, family, min(t) FILTER (lv) AS t, count(*) FILTER (NOT lv) AS n, min(b) FILTER (NOT lv) AS b FROM r GROUP BY 1, 2 HAVING count(*) FILTER (lv) = 1 AND count(*) FILTER (NOT lv) > 0 AND count(DISTINCT b) FILTER (NOT lv) = 1 AND min(b) FILTER (NOT lv) <> ''),
+o AS (SELECT article, count(*) AS k, min(t) AS t, min(n) AS n, min(b) AS b FROM g GROUP BY 1), a AS (SELECT DISTINCT article FROM r)
+SELECT a.article, CASE WHEN k = 1 THEN t END AS target_id, CASE WHEN k = 1 THEN n END AS siblings, CASE WHEN k = 1 THEN b END AS baseline, CASE WHEN k IS NULL OR k > 1 THEN 'PRIMARY_TARGET_AMBIGUOUS' END AS error FROM a LEFT JOIN o ON o.article = a.article"""
 
 
 def cell_cache(s: SparkSession, d: str) -> DataFrame:

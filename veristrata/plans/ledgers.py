@@ -144,40 +144,52 @@ SQL["routing_summary"] = "SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS
 
 
 def routing_eval(spark: SparkSession, d: str) -> DataFrame:
-    """Gold labels left-joined to predictions; a missing prediction counts against."""
-    return judged(spark, d).groupBy("quality", "predicted").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars").isNull()).alias("unmatched"))
+    """Orders as gold by status, and a routing by priority that misses every ninth."""
+    o = table(spark, d, "orders")
+    gold = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "KOSIS_CANDIDATE").when(F.col("o_orderkey") % 10 == 0, " ").otherwise("NOT_CLAIM").alias("judged_class"))
+    routed = o.where("o_orderkey % 9 <> 4").select("o_orderkey", F.when(F.substring("o_orderpriority", 1, 1) < "3", "KOSIS_CANDIDATE").otherwise("OUT_OF_SCOPE").alias("routing_class"))
+    return ledger.routing_eval(gold, routed, ["o_orderkey"], "KOSIS_CANDIDATE")
 
 
 QUERIES["routing_eval"] = routing_eval
-SQL["routing_eval"] = _JUDGED + " SELECT quality, predicted, count(*) AS n, count(*) FILTER (n_chars IS NULL) AS unmatched FROM j GROUP BY 1, 2"
+SQL["routing_eval"] = f"""WITH r AS (SELECT o_orderstatus = 'F' AS g, o_orderkey % 9 <> 4 AS there, o_orderkey % 9 <> 4 AND o_orderpriority[1] < '3' AS p FROM orders WHERE o_orderstatus = 'F' OR o_orderkey % 10 <> 0),
+c AS (SELECT count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g AND p) AS fp, count(*) FILTER (g AND NOT p) AS fn, count(*) FILTER (NOT g AND NOT p AND there) AS tn, count(*) FILTER (NOT there) AS missing FROM r) SELECT *, {_PRF}, round(coalesce(tn / nullif(tn + fn, 0), 0), 6) AS abstention_precision FROM c"""
 
 
 def metrics_all(spark: SparkSession, d: str) -> DataFrame:
-    """Accuracy, exact rate with a denominator of one at least, and the combined score of recall, time and size."""
+    """Labels as gold, a stand-in prediction by length, language against source's number as classes; toxic rows failed."""
     j = judged(spark, d)
-    right = F.count_if((F.col("quality") == 1) == F.col("predicted"))
-    recall = F.count_if((F.col("quality") == 1) & F.col("predicted")) / F.greatest(F.count_if(F.col("quality") == 1), F.lit(1))
-    size = F.avg("n_chars")
-    score = F.when((recall > 0) & (size > 0), F.pow(recall, 0.6) * F.pow(1000 / size, 0.2))
-    return j.agg(F.count("*").alias("n"), F.round(right / F.greatest(F.count("*"), F.lit(1)), 6).alias("accuracy"), F.round(recall, 6).alias("recall"), F.round(score, 6).alias("score"))
+    names = F.array(*map(F.lit, ["de", "en", "es", "fr"]))
+    guess = F.get(names, F.pmod(F.regexp_extract("source", r"(\d+)", 1).try_cast("int"), F.lit(4)))
+    return ledger.metrics_all(j.select(
+        F.when(F.col("toxic") == 1, "failed").otherwise("ok").alias("status"), (F.col("quality") == 1).alias("gold_is_claim"), F.col("predicted").alias("pred_is_claim"), F.col("lang").alias("gold_claim_class"), guess.alias("pred_claim_class"),
+        F.col("lang").alias("gold_source_scope"), F.lit("en").alias("pred_source_scope"), F.col("source").alias("gold_source_role"), F.lit("src0").alias("pred_source_role"), F.when(F.col("doc_id") % 2 == 0, "명").alias("gold_unit"), F.when(F.col("doc_id") % 3 == 0, "명").alias("pred_unit"),
+        F.col("n_chars").cast("double").alias("latency_ms"), F.col("doc_id").alias("tokens"),
+    ))
 
 
 QUERIES["metrics_all"] = metrics_all
-SQL["metrics_all"] = _JUDGED + """, m AS (SELECT count(*) AS n, count(*) FILTER ((quality = 1) = predicted) AS r, count(*) FILTER (quality = 1 AND predicted) / greatest(count(*) FILTER (quality = 1), 1) AS recall, avg(n_chars) AS size FROM j)
-SELECT n, round(r / greatest(n, 1), 6) AS accuracy, round(recall, 6) AS recall, CASE WHEN recall > 0 AND size > 0 THEN round(pow(recall, 0.6) * pow(1000 / size, 0.2), 6) END AS score FROM m"""
+SQL["metrics_all"] = f"""{_JUDGED}, g AS (SELECT *, ['de','en','es','fr'][regexp_extract(source, '(\\d+)', 1)::INTEGER % 4 + 1] AS guess FROM j), k AS (SELECT * FROM g WHERE toxic <> 1),
+x AS (SELECT lang AS label, 'tp' AS k FROM k WHERE lang = guess UNION ALL SELECT lang, 'fn' FROM k WHERE lang <> guess OR guess IS NULL UNION ALL SELECT guess, 'fp' FROM k WHERE lang <> guess),
+cl AS (SELECT label, count(*) FILTER (k = 'tp') AS tp, count(*) FILTER (k = 'fp') AS fp, count(*) FILTER (k = 'fn') AS fn FROM x WHERE label IS NOT NULL GROUP BY 1), m AS (SELECT {_PRF} FROM cl),
+b AS (SELECT count(*) FILTER (quality = 1 AND predicted) AS tp, count(*) FILTER (quality <> 1 AND predicted) AS fp, count(*) FILTER (quality = 1 AND NOT predicted) AS fn FROM k), bp AS (SELECT {_PRF} FROM b),
+e AS (SELECT count(*) AS rows_ok, round(coalesce(count(*) FILTER (lang IS NOT DISTINCT FROM guess) / nullif(count(*), 0), 0), 6) AS class_accuracy, round(coalesce(count(*) FILTER (lang = 'en') / nullif(count(*), 0), 0), 6) AS scope_exact, round(coalesce(count(*) FILTER (source = 'src0') / nullif(count(*), 0), 0), 6) AS role_exact,
+  round(count(*) FILTER (doc_id % 6 = 0) / greatest(count(*) FILTER (doc_id % 2 = 0 OR doc_id % 3 = 0), 1), 6) AS unit_exact FROM k)
+SELECT (SELECT count(*) FROM j) AS rows_total, (SELECT round(sum(n_chars::DOUBLE), 3) FROM j) AS total_latency_ms, (SELECT sum(doc_id)::BIGINT FROM j) AS total_tokens, e.*, bp.precision AS claim_precision, bp.recall AS claim_recall, bp.f1 AS claim_f1,
+  (SELECT round(avg(precision), 6) FROM m) AS class_macro_precision, (SELECT round(avg(recall), 6) FROM m) AS class_macro_recall, (SELECT round(avg(f1), 6) FROM m) AS class_macro_f1 FROM e, bp"""
 
 
 def terminal_partition(spark: SparkSession, d: str) -> DataFrame:
     """Customers as targets, orders as terminal rows: the most final status of each."""
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("target"), "o_orderstatus")
-    targets = table(spark, d, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("target"))
+    targets = table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("target"))
     order = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
     name = F.when(F.col("o_orderstatus") == "F", "ANSWERED").when(F.col("o_orderstatus") == "P", "HELD").otherwise("OPEN")
     return ledger.terminal_partition(targets, orders, "target", order, name)
 
 
 QUERIES["terminal_partition"] = terminal_partition
-SQL["terminal_partition"] = """WITH t AS (SELECT c_custkey AS target FROM customer WHERE c_custkey % 7 <> 0), b AS (SELECT o_custkey AS target, min(CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END) AS p, count(*) AS n FROM orders GROUP BY 1)
+SQL["terminal_partition"] = """WITH t AS (SELECT c_custkey AS target FROM customer WHERE c_mktsegment <> 'BUILDING'), b AS (SELECT o_custkey AS target, min(CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END) AS p, count(*) AS n FROM orders GROUP BY 1)
 SELECT coalesce(t.target, b.target) AS target, CASE WHEN t.target IS NULL THEN 'ORPHAN' WHEN p IS NULL THEN 'MISSING' WHEN p = 0 THEN 'ANSWERED' WHEN p = 1 THEN 'HELD' ELSE 'OPEN' END AS terminal, coalesce(n, 0) AS n FROM t FULL JOIN b ON t.target = b.target"""
 
 
@@ -192,12 +204,13 @@ SQL["validate_rows"] = "SELECT concat_ws(',', CASE WHEN l_quantity > 45 THEN 'QU
 
 
 def except_inventory(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_orderstatus", "o_orderpriority")
-    return ledger.inventory_difference(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 3 = 1"))
+    """Orders before 1996 against those since, by status and priority."""
+    o, names = table(spark, d, "orders"), ("o_orderstatus", "o_orderpriority")
+    return ledger.inventory_difference(o.where("o_orderdate < '1996-01-01'").select(*names), o.where("o_orderdate >= '1996-01-01'").select(*names))
 
 
 QUERIES["except_inventory"] = except_inventory
-SQL["except_inventory"] = """WITH n AS (SELECT o_orderstatus, o_orderpriority, sum(CASE WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 3 = 1 THEN -1 ELSE 0 END)::BIGINT AS w FROM orders GROUP BY 1, 2)
+SQL["except_inventory"] = """WITH n AS (SELECT o_orderstatus, o_orderpriority, sum(CASE WHEN o_orderdate < '1996-01-01' THEN 1 ELSE -1 END)::BIGINT AS w FROM orders GROUP BY 1, 2)
 SELECT o_orderstatus, o_orderpriority, CASE WHEN w > 0 THEN 'EXTRA' ELSE 'MISSING' END AS side, abs(w) AS n FROM n WHERE w <> 0"""
 
 

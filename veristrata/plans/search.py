@@ -95,13 +95,15 @@ SQL["path_normalize"] = _CHANNELS + "SELECT target_id, query_id, channel, source
 
 
 def merge_rounds(spark: SparkSession, d: str) -> DataFrame:
-    """A second round that only repeats hits of the first, at worse ranks, changes nothing."""
+    """A first round of lexical hits; a second one that repeats them at worse ranks and brings the other channel's."""
     hits = channel_hits(spark, d)
-    return ops.merge_rounds([hits, hits.withColumn("rank", F.col("rank") + 7)], "source", "doc_id")
+    return ops.merge_rounds([hits.where("channel = 'bm25'"), hits.withColumn("rank", F.col("rank") + 7)], "source", "doc_id")
 
 
 QUERIES["merge_rounds"] = merge_rounds
-SQL["merge_rounds"] = SQL["rrf_fuse"]
+SQL["merge_rounds"] = _CHANNELS.replace("n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, query_id, channel, source ORDER BY rank, doc_id) AS pos FROM h) WHERE pos = 1)", """r AS (SELECT *, 0 AS round FROM h WHERE channel = 'bm25' UNION ALL SELECT target_id, query_id, channel, source, doc_id, rank + 7, 1 FROM h),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, query_id, channel, doc_id ORDER BY round) AS first FROM r) WHERE first = 1),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, query_id, channel, source ORDER BY rank, doc_id) AS pos FROM o) WHERE pos = 1)""") + _FUSED
 
 
 def rrf_path_audit(spark: SparkSession, d: str) -> DataFrame:
