@@ -117,11 +117,8 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
 
 
 def is_small(df: DataFrame) -> bool:
-    rows = df.limit(BROADCAST_ROWS + 1).count()
-    if rows > BROADCAST_ROWS:
-        return False
-    size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))).cast("bigint")).alias("size")).first()["size"]
-    return (size or 0) <= BROADCAST_BYTES
+    seen = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*"))).cast("bigint")), F.lit(0)).alias("size")).first()
+    return seen["rows"] <= BROADCAST_ROWS and seen["size"] <= BROADCAST_BYTES
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
