@@ -124,3 +124,51 @@ def test_stream_equals_batch(spark, tmp_path):
     run.stop()
     got = sorted((r.user_id, r.event_id) for r in spark.table("latest").collect())
     assert got == sorted((r.user_id, r.event_id) for r in registry.QUERIES["latest_state"](spark, "/root/testdata/sf0.001").collect())
+
+
+def test_region_chain_of_many_articles(spark):
+    """Two million sentences: chains of 8 behind one that opens, and one of 52 links, which is too long."""
+    rows = spark.range(2_000_000).selectExpr("id div 8 AS article", "id % 8 AS sid", "id % 8 = 0 AS opens", "CASE WHEN id % 8 > 0 THEN id % 8 - 1 END AS governing")
+    out = context.region_chain(rows)
+    assert out.where("region = 0").count() == 2_000_000
+    long = spark.range(60).selectExpr("0 AS article", "id AS sid", "id = 0 AS opens", "CASE WHEN id > 0 THEN id - 1 END AS governing")
+    got = {r.sid: r.region for r in context.region_chain(long).collect()}
+    assert all(got[i] == 0 for i in range(51)) and all(got[i] is None for i in range(51, 60))
+
+
+def test_walk_tree_is_deep_and_stops_at_cycles(spark):
+    edges = [(None, "n0")] + [(f"n{i}", f"n{i + 1}") for i in range(30)] + [("n30", "n3"), ("x", "y"), ("n0", "n1")]
+    got = {r.node: r.depth for r in context.walk_tree(spark.createDataFrame(edges, "parent string, child string")).collect()}
+    assert got == {f"n{i}": i for i in range(31)}
+
+
+def test_exact_cell_without_any_axis(spark):
+    plans = spark.createDataFrame([(1, None), (2, "x")], "t int, k string")
+    facts = spark.createDataFrame([("x", 5.0), ("y", 6.0)], "k string, v double")
+    got = {r.t: r.cell_status for r in cells.exact_cell(plans, facts, ["k"], "v").collect()}
+    assert got == {1: "MULTIPLE_CELLS", 2: "CELL_RESOLVED"}
+    assert cells.exact_cell(plans.limit(0), facts, ["k"], "v").count() == 0
+
+
+def test_pairs_keep_ranges_ages_and_signs():
+    pairs = lambda s: [(p["value"], p["unit"]) for p in text.find_pairs(s)]
+    assert pairs("1조 2000~3000억원 규모") == [("2000", "원"), ("3000억", "원")]
+    assert pairs("15~29세 고용률은 46.2%") == [("15", "세"), ("29", "세"), ("46.2", "%")]
+    assert pairs("자동차부품(-7.6%)") == [("-7.6", "%")]
+    assert pairs("1조 8000억 원과 3만 명") == [("1조 8000억", "원"), ("3만", "명")]
+    assert pairs("2023년 1분기") == [("1", "분기")] and pairs("") == [] and pairs(None) == []
+
+
+@settings(max_examples=300)
+@given(st.text(alphabet="a가.!?\"”( 1@", max_size=30))
+def test_body_sentences_cover_the_text(s):
+    out = text.split_body(s)
+    assert all(s[x["char_start"] : x["char_end"]] == x["text"] for x in out)
+    assert "".join("".join(x["text"].split()) for x in out) == "".join(s.split())
+
+
+def test_query_limits_are_checked(spark):
+    docs = spark.createDataFrame([(1, "a b")], "id int, t string")
+    many = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(retrieval.QUERY_TERMS + 1)))], "query_id int, query string")
+    with pytest.raises(ValueError, match="query terms"):
+        retrieval.bm25(docs, many, "id", "t", [], False)
