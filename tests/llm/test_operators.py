@@ -164,6 +164,21 @@ def test_lone_pairs_beyond_the_radius(spark):
     assert sorted((r.doc_id, r.kept_id) for r in got) == [(2 * i + 1, 2 * i) for i in range(40)]
 
 
+def test_walk_finds_linked_sets():
+    rng = random.Random(42)
+    centre = rng.getrandbits(64)
+    dense = [centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 2))) for _ in range(300)]
+    fps = list(dict.fromkeys(dense + [rng.getrandbits(64) for _ in range(100)]))
+    rng.shuffle(fps)
+    root = simhash._walk(np.array(fps, np.uint64), 4)
+    key = np.zeros(len(fps), np.int64)
+    i, j = simhash._run_links(key, np.array(fps, np.uint64), 4)
+    member, low = simhash.star(i, j)
+    want = np.arange(len(fps))
+    want[member] = low
+    assert (root == want).all()
+
+
 def test_simhash_links_in_hot_keys(spark, monkeypatch):
     rng = random.Random(33)
     low = rng.getrandbits(40)
@@ -172,6 +187,7 @@ def test_simhash_links_in_hot_keys(spark, monkeypatch):
     fps = list(dict.fromkeys(fps))
     nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp bigint, rep bigint")
     monkeypatch.setattr(simhash, "LONG_RUN", 20)
+    monkeypatch.setattr(simhash, "WALKED", 3)
     got = {r.node: r.component for r in components.connected_components(simhash.links(nodes, 4)).collect()}
     root = list(range(len(fps)))
 

@@ -39,6 +39,8 @@ CHUNK = 1 << 15
 RUN_ROWS = 1 << 17
 #: Keys of more fingerprints than this are split by ``radius + 1`` disjoint bit blocks once more, before the shuffle.
 LONG_RUN = 4096
+#: Keys of more fingerprints than this are walked instead of compared pair by pair.
+WALKED = 128
 #: Buckets of one count sketch, by which pairs that share a key are estimated.
 SKETCH = 1024
 
@@ -254,6 +256,41 @@ def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
+def _walk(fp: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint of one key the first of its linked set, by walking from one to the next among those not met yet.
+
+    A dense set is met in few steps, and no pairs are kept, so memory is that of the key's rows.
+    """
+    root, left = np.arange(len(fp)), np.arange(len(fp))
+    while len(left):
+        first, queue, left = left[0], [left[0]], left[1:]
+        while queue and len(left):
+            hit = _close(fp[left], fp[queue.pop()], radius)
+            if hit.any():
+                root[left[hit]] = first
+                queue += left[hit].tolist()
+                left = left[~hit]
+    return root
+
+
+def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (member, smallest member) of the linked sets of each key; keys are sorted. Short keys are compared pair by pair, side by side, long ones are walked."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    short = np.repeat(sizes <= WALKED, sizes)
+    a, b = [], []
+    for s, n in zip(starts[sizes > WALKED].tolist(), sizes[sizes > WALKED].tolist(), strict=True):
+        root = _walk(fp[s : s + n], radius)
+        own = np.flatnonzero(root != np.arange(n))
+        a.append(rep[s : s + n][own])
+        b.append(rep[s : s + n][root[own]])
+    if short.sum() > 1:
+        i, j = _run_links(key[short], fp[short], radius)
+        a.append(rep[short][i])
+        b.append(rep[short][j])
+    return star(np.concatenate(a), np.concatenate(b)) if a else (rep[:0], rep[:0])
+
+
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
@@ -290,8 +327,7 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
                 end = int(changes[-1]) + 1 if len(changes) else 0
             now, rest = table[:, :end], [table[:, end:]]
             held = table.shape[1] - end
-            i, j = _run_links(now[0], now[1].view(np.uint64), radius)
-            a, b = star(now[2][i], now[2][j])
+            a, b = _links(now[0], now[1].view(np.uint64), now[2], radius)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         limit = RUN_ROWS
