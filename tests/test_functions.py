@@ -101,7 +101,7 @@ def test_sentences_keep_offsets(s):
 
 def test_page_extraction():
     body = "<p>" + "word " * 40 + "</p>"
-    html = f"""<html><head><meta property="og:title" content="T2"><script type="application/ld+json">{{"@graph":[{{"headline":"T1","datePublished":"2024-03-05T10:00"}}]}}</script></head>
+    html = f"""<html><head><meta property="og:title" content="T2"><script type="application/ld+json">{{"@graph":[{{"headline":"no article"}},{{"@type":"NewsArticle","headline":"T1","datePublished":"2024-03-05T10:00"}}]}}</script></head>
     <body><nav><p>skip me</p></nav><article><h1>T3</h1>{body}</article><footer><p>no</p></footer></body></html>"""
     out = pages.extract(html)
     assert (out["title"], out["title_from"], out["published"], out["date_from"], out["status"], out["paragraphs"]) == ("T1", "jsonld", "2024-03-05", "jsonld", "OK", 1)
@@ -172,3 +172,27 @@ def test_query_limits_are_checked(spark):
     many = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(retrieval.QUERY_TERMS + 1)))], "query_id int, query string")
     with pytest.raises(ValueError, match="query terms"):
         retrieval.bm25(docs, many, "id", "t", [], False)
+
+
+def test_body_by_selectors():
+    long = "한국은행은 지난해 값이 늘었다고 밝혔다. " * 5
+    page = f"""<html><body><nav><p>{long}</p></nav><div id="articleBody"><p class="x">{long}</p><div class="ad"><p>{long}</p></div><div class="content_text"><p>{long}<br>둘</p></div></div><article>{long * 4}</article></body></html>"""
+    body, selector, adapter, n = pages.body_of(page, "www.khan.co.kr")
+    assert (selector, adapter, n) == ("#articleBody .content_text", "KHAN_ARTICLE_V1", 1) and body.endswith("둘")
+    body, selector, adapter, n = pages.body_of(page, "example.org")
+    assert (selector, adapter, n) == ("article", "GENERIC", 1)
+    assert pages.body_of(f"<div id='articleBody'><p>{long * 2}</p></div>", None)[1:] == ("#articleBody", "GENERIC", 1)
+    assert pages.body_of(None, None) == (None, None, None, 0) and pages.body_of("<p>kurz</p></div></p>", "x")[0] is None
+
+
+def test_text_is_normalized(spark):
+    raw = "# 제목\r\n\r\n\r\n\r\n**굵은** 글 [이미지: 표]  \n---\n끝\n"
+    assert spark.createDataFrame([(raw,)], "t string").select(pages.normalize_text(F.col("t"))).first()[0] == "제목\n\n굵은 글\n\n끝"
+
+
+def test_span_candidates():
+    got = [(c["kind"], c["text"], c["unit"]) for c in text.candidates_of("서울 고용률은 3개월 연속 62.5%로, 15~29세는 제외. 경기를 경유한 지난해 1분기~올해 2분기 지수는 103.2로 올랐다")]
+    assert ("dimension", "서울", None) in got and ("value_unit", "62.5%", "%") in got and ("dimension", "15~29세", None) in got
+    assert ("value_unit", "103.2", "지수") in got and ("value_unit", "지난해 1분기~올해 2분기", "기간") in got and ("time", "지난해 1분기", None) in got
+    assert not any(k == "dimension" and t == "경기" for k, t, _ in got) and not any(u == "개월 연속" for _, _, u in got)
+    assert [c["unit"] for c in text.candidates_of("물가는 4개월 연속 올랐다") if c["kind"] == "value_unit"] == ["개월 연속"]

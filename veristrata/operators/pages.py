@@ -105,7 +105,9 @@ def extract(html: str | None) -> dict:
         except ValueError:
             continue
     pick = lambda *choices: next(((v.strip(), n) for n, v in choices if isinstance(v, str) and v.strip()), (None, None))
-    first = lambda key: next((o[key] for o in objects if isinstance(o.get(key), str)), None)
+    kinds = lambda o: o["@type"] if isinstance(o.get("@type"), list) else [o.get("@type")]
+    told = [o for o in objects if any(str(k).lower() in ("article", "newsarticle", "reportagenewsarticle") for k in kinds(o))]
+    first = lambda key: next((o[key] for o in told if isinstance(o.get(key), str)), None)
     title, title_from = pick(("jsonld", first("headline")), ("og", reader.meta.get("og:title")), ("h1", next(iter(reader.found["h1"]), None)))
     dates = (("jsonld", first("datePublished")), ("meta", reader.meta.get("article:published_time")), ("time", next(iter(reader.found["time"]), None)))
     day, date_from = next(((iso_date(v), n) for n, v in dates if iso_date(v)), (None, None))
@@ -125,7 +127,7 @@ def html_extract(html: Column) -> Column:
 def html_paragraphs(html: Column) -> Column:
     """Texts of ``<p>`` by regular expressions alone: blocks that hold no article text first go."""
     bare = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|aside|noscript|form)\b.*?</\1>", " ")
-    inner = F.regexp_extract_all(bare, F.lit(r"(?is)<p>(.*?)</p>"), 1)
+    inner = F.regexp_extract_all(bare, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), 1)
     clean = F.transform(inner, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"(?s)<[^>]*>", " "), r"\s+", " ")))
     return F.filter(clean, lambda p: p != "")
 
@@ -170,3 +172,143 @@ def near_dup_paragraphs(paragraphs: Column) -> Column:
 def json_object(text: Column, schema: str) -> Column:
     """The object from the first brace to the last, read by a schema; null if it cannot be."""
     return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")), schema)
+
+
+# What is no article text, where publishers keep theirs, and where articles are found in general.
+UNWANTED = {"script", "style", "noscript", "nav", "footer", "aside"}
+UNWANTED_CLASSES = {"advertisement", "ad", "ads", "related", "recommend", "subscription", "comment", "reply", "share"}
+PUBLISHERS = {
+    "KHAN_ARTICLE_V1": (("khan.co.kr", "www.khan.co.kr"), ("#articleBody .content_text", "#articleBody", "article")),
+    "CHOSUN_ARTICLE_V1": (("chosun.com", "www.chosun.com"), ("#news-body", ".article-body", ".article_body", ".article_txt", ".article_content", "article")),
+    "JOONGANG_ARTICLE_V1": (("joongang.co.kr", "www.joongang.co.kr"), ("#article_body", ".article_body", ".article-body", ".article-content", ".article_content", "article")),
+    "DONGA_ARTICLE_V1": (("donga.com", "www.donga.com"), ("#article_body", ".article_txt", ".article-body", ".article_body", ".article_view", ".view_body", "article")),
+    "NAVER_NEWS_ARTICLE_V1": (("n.news.naver.com", "news.naver.com"), ("#dic_area", "#newsct_article", "#newsEndContents", "#articeBody", "article")),
+}
+GENERIC = (
+    "article[itemprop='articleBody']", "[itemprop='articleBody']", "article", "main article", ".article-body", ".article_body", ".article-content", ".article_content",
+    "#articleBody", "#article_body", "#newsct_article", "#dic_area", "#newsEndContents", "#articeBody",
+)
+BODY = "body string, selector string, adapter string, paragraphs int"
+
+
+class _Node:
+    __slots__ = ("tag", "attrs", "children", "parent")
+
+    def __init__(self, tag: str, attrs: dict, parent) -> None:
+        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+
+    def wanted(self) -> bool:
+        return self.tag not in UNWANTED and not UNWANTED_CLASSES & set((self.attrs.get("class") or "").split())
+
+    def walk(self):
+        """This node and all under it, in order, without unwanted ones."""
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack += [c for c in reversed(node.children) if isinstance(c, _Node) and c.wanted()]
+
+    def text(self) -> str:
+        parts, stack = [], [self]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, str):
+                parts.append(node)
+            elif node.wanted():
+                stack += reversed(node.children)
+        return " ".join(" ".join(parts).split())
+
+
+class _Tree(HTMLParser):
+    """A page as nodes; an end tag closes the nearest open node of its name, or nothing."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.at = self.root = _Node("", {}, None)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "p" and self.at.tag == "p":
+            self.at = self.at.parent
+        node = _Node(tag, dict(attrs), self.at)
+        self.at.children.append(node)
+        if tag not in _VOID:
+            self.at = node
+
+    def handle_endtag(self, tag):
+        node = self.at
+        while node.parent is not None and node.tag != tag:
+            node = node.parent
+        if node.parent is not None:
+            self.at = node.parent
+
+    def handle_data(self, data):
+        self.at.children.append(data)
+
+
+def _fits(node: _Node, simple: tuple[str, str, str, str, str]) -> bool:
+    tag, ident, cls, key, value = simple
+    return (
+        (not tag or node.tag == tag) and (not ident or node.attrs.get("id") == ident) and (not cls or cls in (node.attrs.get("class") or "").split())
+        and (not key or node.attrs.get(key) == value)
+    )
+
+
+def select(root: _Node, selector: str) -> list[_Node]:
+    """Nodes that fit a selector of tags, ids, classes and attributes, with spaces for "somewhere under"."""
+    steps = [re.fullmatch(r"([a-z0-9]*)(?:#([\w-]+))?(?:\.([\w-]+))?(?:\[(\w+)='([^']*)'\])?", s).groups("") for s in selector.split()]
+    found = []
+    for node in root.walk():
+        if not _fits(node, steps[-1]):
+            continue
+        up, left = node.parent, steps[:-1]
+        while up is not None and left:
+            if _fits(up, left[-1]):
+                left = left[:-1]
+            up = up.parent
+        if not left:
+            found.append(node)
+    return found
+
+
+def body_of(html: str | None, host: str | None) -> tuple:
+    """(body, selector, adapter, paragraphs): by the publisher's selectors the first that gives enough text; else of the general ones that which gives most.
+
+    All nodes of a selector count together: their paragraphs, or, without any, a node's whole text.
+    """
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.close()
+
+    def paragraphs(selector: str) -> list[str]:
+        out = []
+        for node in select(tree.root, selector):
+            own = [t for p in node.walk() if p.tag == "p" and (t := p.text())]
+            out += own or [t for t in [node.text()] if t]
+        return out
+
+    plain = (host or "").lower().rstrip(".")
+    for name, (hosts, selectors) in PUBLISHERS.items():
+        if plain in hosts:
+            for selector in selectors:
+                if good(ps := paragraphs(selector), 80):
+                    return "\n\n".join(ps), selector, name, len(ps)
+    best = max(((len("\n\n".join(ps)), -i, selector, ps) for i, selector in enumerate(GENERIC) if good(ps := paragraphs(selector))), default=None, key=lambda x: x[:2])
+    return ("\n\n".join(best[3]), best[2], "GENERIC", len(best[3])) if best else (None, None, None, 0)
+
+
+def html_body(html: Column, host: Column) -> Column:
+    """struct of ``BODY``."""
+
+    @F.pandas_udf(BODY)
+    def run(pages: pd.Series, hosts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([body_of(x, h) for x, h in zip(pages, hosts, strict=True)], columns=["body", "selector", "adapter", "paragraphs"])
+
+    return run(html, host)
+
+
+def normalize_text(raw: Column) -> Column:
+    """NFC, without markdown marks and bracketed notes on pictures; line ends as one, at most one blank line."""
+    t = F.regexp_replace(nfkc(F.coalesce(raw, F.lit("")), "NFC"), r"\r\n?", "\n")
+    for pattern, new in ((r"(?m)^\s{0,3}#{1,6}\s+", ""), (r"(?m)^\s*(?:```.*|[-*_]{3,})\s*$", ""), (r"\*\*([^*\n]+)\*\*", "$1"), (r"\[(?:이미지|사진|그림|image|photo)[^\]\n]*\]", ""), (r"(?m)[ \t]+$", ""), (r"\n{3,}", "\n\n")):
+        t = F.regexp_replace(t, pattern, new)
+    return F.trim(F.regexp_replace(t, r"^\s+|\s+$", ""))

@@ -183,7 +183,7 @@ def html_strip(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["html_strip"] = html_strip
 SQL["html_strip"] = r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style\b.*?</style>|<script\b.*?</script>', ' ', 'g'), '(?is)<nav\b.*?</nav>', ' ', 'g'), '(?is)<footer\b.*?</footer>', ' ', 'g'), '(?is)<aside\b.*?</aside>', ' ', 'g'), '(?is)<form\b.*?</form>', ' ', 'g') AS h FROM pages),
-p AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(h, '(?is)<p>(.*?)</p>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS ps FROM b),
+p AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(h, '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS ps FROM b),
 j AS (SELECT page_id, ps, array_to_string(ps, chr(10)) AS t FROM p)
 SELECT page_id, len(ps) AS n, sha256(t) AS sha, length(regexp_replace(t, '\s+', '', 'g')) >= 100 AND len(regexp_extract_all(t, '[A-Za-z가-힣]')) >= 30 AS good FROM j"""
 
