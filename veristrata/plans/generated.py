@@ -257,3 +257,56 @@ def clarify_merge(s: SparkSession, d: str) -> DataFrame:
 QUERIES["clarify_merge"] = clarify_merge
 SQL["clarify_merge"] = """WITH a AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS k, min(o_orderpriority) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
 SELECT c_custkey AS target_id, CASE WHEN k = 1 THEN v ELSE 'old' END AS item, c_mktsegment AS period, CASE WHEN k > 1 THEN 'CLARIFICATION_CONFLICT' END AS error FROM customer LEFT JOIN a ON o_custkey = c_custkey"""
+
+
+# ---- the layers end to end, an article a part
+_A, _B, _D = "p_size % 5 + 1", "p_partkey % 10", "p_partkey % 9 + 1"
+
+
+def _stacked(s: SparkSession, d: str) -> DataFrame:
+    """Three sentences an article: who says it, a rate, and its change from the year before; every seventh article is a private survey's."""
+    p = table(s, d, "part")
+    body = F.concat(F.lit("국가데이터처가 2025년 3월 고용동향을 발표했다. 실업률은 "), F.expr(f"concat({_A}, '.', {_B})"), F.lit("%를 기록했다. 전년 동월보다 0."), F.expr(f"cast({_D} as string)"), F.lit("%p 올랐다."))
+    articles = p.select(F.col("p_partkey").cast("string").alias("article_idx"), F.lit("t").alias("title"), body.alias("article_text"), F.lit("2025-04-10").alias("date"))
+    whose = F.when(F.col("p_partkey") % 7 == 3, "민간조사").otherwise("공식집계")
+    row = lambda sid, opens, governing, subtype, indicator, raw: F.struct(F.lit(sid).alias("sentence_id"), F.lit(opens).alias("opens"), F.lit(governing).cast("int").alias("governing"), subtype.alias("subtype"), F.lit(indicator).alias("indicator"), F.lit(raw).alias("period_raw"))
+    layout = p.select(F.col("p_partkey").cast("string").alias("article_idx"), F.explode(F.array(row(0, True, None, whose, "", "2025년 3월"), row(1, False, 0, F.lit(""), "실업률", ""), row(2, False, 1, F.lit(""), "", ""))).alias("r")).select("article_idx", "r.*")
+    return layers.run_stack(articles, layout)
+
+
+_SAID = f"""s AS (SELECT p_partkey::VARCHAR AS article_idx, 1 AS sentence_id, concat({_A}, '.', {_B}) AS value, '%' AS unit, p_partkey % 7 = 3 AS private, ({_A}) * 10 + {_B} = 31 AS right_one FROM part
+UNION ALL SELECT p_partkey::VARCHAR, 2, concat('0.', {_D}), '%p', p_partkey % 7 = 3, {_D} = 2 FROM part)"""
+QUERIES["run_stack"] = lambda s, d: _stacked(s, d).select("article_idx", "sentence_id", "value", "unit", "indicator", "indicator_source", "source_subtype", "measurement", "period", "basis", "baseline", "routing_class", "reason")
+SQL["run_stack"] = f"""WITH {_SAID} SELECT article_idx, sentence_id, value, unit, '실업률' AS indicator, CASE sentence_id WHEN 1 THEN 'LOCAL' ELSE 'INHERITED' END AS indicator_source, CASE WHEN private THEN '민간조사' ELSE '공식집계' END AS source_subtype, CASE sentence_id WHEN 1 THEN 'LEVEL' ELSE 'CHANGE_POINT' END AS measurement,
+  '2025-03' AS period, CASE sentence_id WHEN 1 THEN 'NONE' ELSE 'YOY' END AS basis, CASE sentence_id WHEN 1 THEN '' ELSE '2024-03' END AS baseline, CASE WHEN private THEN 'OUT_OF_SCOPE' ELSE 'KOSIS_CANDIDATE' END AS routing_class, CASE WHEN private THEN 'SOURCE_SUBTYPE_민간조사' ELSE 'OFFICIAL_AGGREGATE_REGION' END AS reason FROM s"""
+
+
+def verify_articles(s: SparkSession, d: str) -> DataFrame:
+    """Every article's rate and change against two official cells, from text to verdict."""
+    from .stack import judge_values
+
+    facts = s.createDataFrame([("실업률", "2025-03", "3.1"), ("실업률", "2024-03", "2.9")], "indicator string, period string, dt string")
+    return judge_values(_stacked(s, d), facts).select("article_idx", "sentence_id", "value", "status", "verdict")
+
+
+QUERIES["verify_articles"] = verify_articles
+SQL["verify_articles"] = f"""WITH {_SAID} SELECT article_idx, sentence_id, value, CASE WHEN private THEN 'SOURCE_SUBTYPE_민간조사' WHEN right_one THEN 'MATCH' ELSE 'VALUE_MISMATCH' END AS status, CASE WHEN private THEN 'UNVERIFIABLE' WHEN right_one THEN 'VERIFIED' ELSE 'REFUTED' END AS verdict FROM s"""
+
+
+def plan_inventory(s: SparkSession, d: str) -> DataFrame:
+    """A plan a part on its brand's profile: sound, with an unknown item, a period out of range, a wrong value, or of an unknown table."""
+    p = table(s, d, "part").withColumn("k", F.col("p_partkey") % 5)
+    key = F.col("p_brand").alias("key")
+    items = p.select(key, F.col("p_partkey").alias("itm_id"), F.col("p_name").alias("itm_nm"), F.lit("원").alias("unit"))
+    values = p.select(key, F.lit("T").alias("obj_id"), F.lit(1).alias("level"), F.col("p_type").alias("value_id"), F.col("p_type").alias("value_name")).distinct()
+    periods = p.select(key, F.lit("Y").alias("freq"), F.lit(1995).alias("lo"), F.lit(2001).alias("hi")).distinct()
+    profile = binding.hydrate_profile(p.select(key).distinct(), items, values, periods, "key").withColumnRenamed("key", "table_key")
+    plans = p.select(
+        F.col("p_partkey").alias("target_id"), F.when(F.col("k") == 4, "none").otherwise(F.col("p_brand")).alias("table_key"), F.when(F.col("k") == 1, -1).otherwise(F.col("p_partkey")).alias("itm_id"), F.lit("Y").alias("freq"),
+        F.when(F.col("k") == 2, 2005).otherwise(1996).alias("ord"), F.when(F.col("k") == 4, F.array().cast("array<string>")).when(F.col("k") == 3, F.array(F.lit("zz"))).otherwise(F.array("p_type")).alias("levels"),
+    )
+    return scope.plan_inventory(plans, profile).select("target_id", F.array_join("errors", ",").alias("errors"))
+
+
+QUERIES["plan_inventory"] = plan_inventory
+SQL["plan_inventory"] = "SELECT p_partkey AS target_id, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'ITEM_ID_OR_UNIT' WHEN 2 THEN 'PERIOD_RANGE' WHEN 3 THEN 'OBJ_LEVEL_VALUE' ELSE 'TABLE_ID_MISMATCH,ITEM_ID_OR_UNIT,PERIOD_RANGE' END AS errors FROM part"

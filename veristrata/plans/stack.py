@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.compare import compare_canonical, verdict
 from ..functions.quantity import normalize_quantity
 from ..operators import cells, layers
+from ..operators.context import checkpointed
 from .language import _literal
 
 QUERIES: dict = {}
@@ -39,23 +40,30 @@ SQL["run_stack"] = _literal(
 )
 
 
-def verify_articles(s: SparkSession, d: str) -> DataFrame:
-    """Levels against their cell, changes against the difference of two cells; other values stay unverifiable, with the reason."""
-    facts = s.createDataFrame(CELLS, "indicator string, period string, dt string, unit string")
-    v = stacked(s).withColumn("target_id", F.concat_ws(":", "article_idx", "span_id")).persist()  # used for plans, baselines and the result
+def judge_values(stack: DataFrame, facts: DataFrame) -> DataFrame:
+    """``(target_id, article_idx, sentence_id, value, status, verdict)``: levels against their cell, changes against the difference of two cells; other values stay unverifiable, with the reason.
+
+    ``facts(indicator, period, dt)``. The stack is used for plans, baselines and the result, so it is checkpointed once.
+    """
+    v = checkpointed(stack.withColumn("target_id", F.concat_ws(":", "article_idx", "span_id")))
     plans = v.where("routing_class = 'KOSIS_CANDIDATE'").select("target_id", "indicator", "period", "baseline", "value", "unit", "measurement")
-    now = cells.exact_cell(plans, facts.select("indicator", "period", "dt"), ["indicator", "period"], "dt").select("target_id", F.col("cell_value").alias("now"), F.col("cell_status").alias("now_status"))
+    now = cells.exact_cell(plans, facts, ["indicator", "period"], "dt").select("target_id", F.col("cell_value").alias("now"), F.col("cell_status").alias("now_status"))
     past_plans = plans.where("baseline <> ''").select("target_id", "indicator", F.col("baseline").alias("period"))
-    past = cells.exact_cell(past_plans, facts.select("indicator", "period", "dt"), ["indicator", "period"], "dt").select("target_id", F.col("cell_value").alias("past"))
+    past = cells.exact_cell(past_plans, facts, ["indicator", "period"], "dt").select("target_id", F.col("cell_value").alias("past"))
     both = plans.join(now, "target_id").join(past, "target_id", "left")
     difference = (F.col("now").try_cast("decimal(20,6)") - F.col("past").try_cast("decimal(20,6)")).cast("string")
     official = F.when(F.col("measurement") == "CHANGE_POINT", difference).otherwise(F.col("now"))
     read = both.withColumn("c", normalize_quantity(F.col("value"), F.col("unit"))).withColumn("o", normalize_quantity(official, F.col("unit")))
     status = F.when(F.col("now_status") != "CELL_RESOLVED", F.col("now_status")).otherwise(F.coalesce(F.col("c.error"), F.col("o.error"), compare_canonical(F.col("c"), F.col("o"))))
     judged = read.select("target_id", status.alias("status"))
-    out = v.select("target_id", "value", "reason").join(judged, "target_id", "left")
+    out = v.select("target_id", "article_idx", "sentence_id", "value", "reason").join(judged, "target_id", "left")
     why = F.coalesce("status", "reason")
-    return out.select("target_id", "value", why.alias("status"), verdict(why).alias("verdict"))
+    return out.select("target_id", "article_idx", "sentence_id", "value", why.alias("status"), verdict(why).alias("verdict"))
+
+
+def verify_articles(s: SparkSession, d: str) -> DataFrame:
+    facts = s.createDataFrame(CELLS, "indicator string, period string, dt string, unit string").drop("unit")
+    return judge_values(stacked(s), facts).select("target_id", "value", "status", "verdict")
 
 
 QUERIES["verify_articles"] = verify_articles
