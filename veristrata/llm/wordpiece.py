@@ -23,6 +23,8 @@ from .common import read, small_batches, texts_of
 
 #: Words whose counts a worker remembers, and the longest word remembered.
 CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+#: Characters from which a text's words are met one by one.
+LONG_TEXT = 1 << 20
 _WORD = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
@@ -153,7 +155,8 @@ class Counter:
         words = tokens = unknown = 0
         get = self.word
         memory = self.memory
-        for m in _WORD.findall(text.lower()):
+        low = text.lower()
+        for m in _WORD.findall(low) if len(low) < LONG_TEXT else (m[0] for m in _WORD.finditer(low)):  # the words of a long text are not held together
             n, u = memory.get(m) or get(m)
             words += 1
             tokens += n
