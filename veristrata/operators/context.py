@@ -26,6 +26,14 @@ def look_back(df: DataFrame, by: list[str], order: str, term: Column, rows: int
     return out.withColumn("context", F.when(F.size("_s") == 1, F.col("_s")[0])).withColumn("context_status", status).drop("_s")
 
 
+def resolve_context(df: DataFrame, by: list[str], order: str, own: Column, term: Column, title: Column, rows: int = 3) -> DataFrame:
+    """Adds ``context`` and ``context_status``: a row's own term (EXPLICIT); else the only term of the last rows (RESOLVED), or several (AMBIGUOUS); else the title's (REFERENT_CANDIDATE); else MISSING."""
+    marked = look_back(df.withColumns({"_own": own, "_title": title}), by, order, term, rows)
+    status = F.when(F.col("_own").isNotNull(), "EXPLICIT").when(F.col("context_status") != "MISSING", F.col("context_status")).when(F.col("_title").isNotNull(), "REFERENT_CANDIDATE").otherwise("MISSING")
+    context = F.when(status == "EXPLICIT", F.col("_own")).when(status == "REFERENT_CANDIDATE", F.col("_title")).otherwise(F.col("context"))
+    return marked.withColumns({"context": context, "context_status": status}).drop("_own", "_title")
+
+
 def region_chain(layout: DataFrame, depth: int = 50) -> DataFrame:
     """For each sentence the sentence that opens its region, found along pointers; null for a cycle, a gap or more than 50 hops.
 

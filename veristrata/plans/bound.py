@@ -531,6 +531,61 @@ def claim_core(s: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", C("value_atom.status").alias("value"), C("indicator_atom.status").alias("indicator"), C("period_atom.status").alias("period"), C("value_atom.start").alias("value_start"), C("unit_atom.start").alias("unit_start"))
 
 
+@query("""SELECT p_partkey, p_size % 4 IN (0, 3) AS kept FROM part""")
+def dim_filter(s: SparkSession, d: str) -> DataFrame:
+    """Facets and words that only look like them."""
+    k = C("p_size") % 4
+    facet = F.when(k == 2, "산업").otherwise("지역")
+    found = F.when(k == 0, "부산").when(k == 1, F.when(C("p_partkey") % 2 == 0, "따르면").otherwise("국제기구")).when(k == 2, "공업제품").otherwise("경기")
+    return table(s, d, "part").select("p_partkey", text.keep_facet(facet, found, F.lit(" 남부")).alias("kept"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '자동차보험료' WHEN 1 THEN '고용률' WHEN 2 THEN '수출 가격' END AS indicator, CASE WHEN p_size % 4 = 1 THEN '청년층' END AS population, CASE p_size % 4 WHEN 0 THEN '자동' WHEN 1 THEN '서울' ELSE '' END AS region FROM part""")
+def structured_context(s: SparkSession, d: str) -> DataFrame:
+    """Hints of a sentence: the longest premium, a listed indicator, a run that ends like one, or a word that only points. Regions go by their ending alone here."""
+    k = C("p_size") % 4
+    said = F.when(k == 0, "자동차보험료와 보험료가 올랐다").when(k == 1, "서울 청년층 고용률은 3%").when(k == 2, "수출 가격이 3% 올랐다").otherwise("이 수")
+    x = text.sentence_context(said)
+    return table(s, d, "part").select("p_partkey", x["indicator"].alias("indicator"), x["population"].alias("population"), F.array_join(x["facets"]["지역"], ",").alias("region"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN role END AS own, CASE WHEN turn % 2 = 0 THEN role END AS term, CASE WHEN conv_id % 2 = 0 THEN 'title' END AS title FROM conversations),
+w AS (SELECT *, list_distinct(list_filter(list(term) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL)) AS s FROM c)
+SELECT conv_id, turn, CASE WHEN own IS NOT NULL THEN own WHEN len(s) = 1 THEN s[1] WHEN len(s) > 1 THEN NULL ELSE title END AS context, CASE WHEN own IS NOT NULL THEN 'EXPLICIT' WHEN len(s) = 1 THEN 'RESOLVED' WHEN len(s) > 1 THEN 'AMBIGUOUS' WHEN title IS NOT NULL THEN 'REFERENT_CANDIDATE' ELSE 'MISSING' END AS context_status FROM w""")
+def context_resolve(s: SparkSession, d: str) -> DataFrame:
+    """Turns with a term of their own, of the last three turns, or of their conversation."""
+    t, c = C("turn"), table(s, d, "conversations")
+    out = context.resolve_context(c, ["conv_id"], "turn", F.when(t % 4 == 3, C("role")), F.when(t % 2 == 0, C("role")), F.when(C("conv_id") % 2 == 0, "title"))
+    return out.select("conv_id", "turn", "context", "context_status")
+
+
+@query("""SELECT p_brand AS table_key, count(*) FILTER (p_size % 2 = 0) AS n_items, count(*) FILTER (p_size % 2 = 1) AS n_values FROM part WHERE p_partkey % 6 <> 0 GROUP BY 1 HAVING count(*) > 0""")
+def src_meta_api(s: SparkSession, d: str) -> DataFrame:
+    """Answers of the metadata service, one a part, every sixth an error: items and axis values by table."""
+    rows = F.to_json(F.array(F.struct(F.when(C("p_size") % 2 == 0, "ITEM").otherwise(C("p_type")).alias("OBJ_ID"), C("p_partkey").cast("string").alias("ITM_ID"), C("p_name").alias("ITM_NM"))))
+    payload = F.when(C("p_partkey") % 6 == 0, '{"err":"20"}').otherwise(rows)
+    schema = "OBJ_ID string, OBJ_NM string, OBJ_ID_SN int, ITM_ID string, ITM_NM string, UNIT_NM string"
+    told = table(s, d, "part").select(C("p_brand").alias("table_key"), F.explode(catalog.service_rows(payload, schema)["rows"]).alias("r")).select("table_key", "r.*")
+    i, v = catalog.split_itm(told)
+    count = lambda df, name: df.groupBy("table_key").agg(F.count("*").alias(name))
+    both = count(i, "n_items").join(count(v, "n_values"), "table_key", "full_outer")
+    return both.select("table_key", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("n_values", F.lit(0)).alias("n_values"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'EMPTY' WHEN 1 THEN 'SERVICE_ERROR_31' ELSE 'OK' END AS status, CASE WHEN o_orderkey % 5 = 2 THEN 'MULTIPLE_CELLS' WHEN o_orderkey % 5 IN (0, 1) THEN 'NO_CELL' ELSE 'CELL_RESOLVED' END AS cell_status, CASE WHEN o_orderkey % 5 > 2 THEN o_orderstatus END AS value FROM orders""")
+def src_cell_api(s: SparkSession, d: str) -> DataFrame:
+    """Answers of the cell service to a plan an order: none, an error, two cells, or one."""
+    from ..operators import cells
+
+    k = C("o_orderkey") % 5
+    one = F.struct(C("o_orderkey").cast("string").alias("C1"), C("o_orderstatus").alias("DT"))
+    payload = F.when(k == 0, '{"err":"30"}').when(k == 1, '{"err":"31"}').when(k == 2, F.to_json(F.array(one, one))).otherwise(F.to_json(F.array(one)))
+    told = table(s, d, "orders").select("o_orderkey", catalog.service_rows(payload, "C1 string, DT string").alias("x"))
+    found = told.select(F.explode("x.rows").alias("r")).select(C("r.C1").cast("bigint").alias("o_orderkey"), C("r.DT").alias("DT"))
+    settled = cells.exact_cell(told.select("o_orderkey"), found, ["o_orderkey"], "DT")
+    return told.select("o_orderkey", "x.status").join(settled, "o_orderkey").select("o_orderkey", "status", "cell_status", C("cell_value").alias("value"))
+
+
 @query("")
 def html_body_select(s: SparkSession, d: str) -> DataFrame:
     """Bodies of all pages by selectors."""
