@@ -272,6 +272,31 @@ def test_trees_learn():
     assert ((trees.chance(x[1500:]) >= 0.5) == y[1500:]).mean() > 0.9
 
 
+def test_url_rules_by_definition(spark):
+    rng = random.Random(43)
+    hosts = ["com", "EXAMPLE.com", "a.example.com", "net", "b.NET", "example.net", "x.example.net", "org", "notorg", "É.org", "", "u@example.com", "com:80"]
+    paths = ["", "/en/", "/en/7", "/en/70/x", "/de/", "/de/8", "/de/8/9", "/es/1", "/EN/7", "//en/", "/a\nb"]
+    urls_ = [None, "", "x", "://", "a://b://c/en/"] + [rng.choice(["http://", "HTTPS://", "//", "x:", "ftp://"]) + rng.choice(hosts) + rng.choice(paths) + rng.choice(["", "?q=/en/", "#/de/", "?a?b#c"]) for _ in range(600)]
+
+    def by_hand(url):
+        at = (url or "").find("://")
+        if at < 0:
+            return "", "", None, None
+        rest = url[at + 3 :]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(t), t, act) for act, t in urls.RULES for name, _, p in [t.partition("/")] if (host == name or host.endswith("." + name)) and path.startswith("/" + p)]
+        return host, path, *(max(fits)[1:] if fits else (None, None))
+
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(list(enumerate(urls_)), "page_id bigint, url string")).collect()}
+    for i, u in enumerate(urls_):
+        host, path, rule, action = by_hand(u)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule), u
+        assert action is None or got[i].verdict == action
+    assert len({r.rule for r in got.values()}) == 6
+
+
 def test_url_examples_are_bounded(spark):
     rows = [(i, f"http://a{i % 7}.com/en/{i % 40}") for i in range(300)] + [(1000 + i, "http://hot.org/es/1") for i in range(3000)] + [(5000, "http://b.info/x1"), (None, None), (None, "http://c.com/en/")]
     df = spark.createDataFrame(rows, "page_id bigint, url string")
