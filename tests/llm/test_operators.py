@@ -37,9 +37,11 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [500, 2])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB", hub)
     rng = random.Random(4)
-    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)]
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)] + [(200, 201 + i) for i in range(40)]
     parent = {n: n for e in edges for n in e}
 
     def root(x):

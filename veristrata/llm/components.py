@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, maybe_broadcast
+
+#: Edges of one node that are joined in one task.
+HUB = 500
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,10 +28,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         seen = now
         both = table.select("u", "v").unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
+        lowest = cut(both.groupBy("u").agg(F.min("v").alias("w"), F.count("*").alias("n")).select("u", F.least("u", "w").alias("w"), F.ceil(F.col("n") / HUB).cast("int").alias("parts")))
         # An edge (u, v) with u > v: v's star sends u to v's lowest neighbour; u itself goes to u's.
         large = _pairs(
-            table.join(lowest.withColumnRenamed("u", "v"), "v").select("u", F.col("w").alias("v")).unionByName(lowest.select("u", F.col("w").alias("v")))
+            _lowered(table, lowest).unionByName(lowest.select("u", F.col("w").alias("v")))
         )
         lower = large.groupBy("u").agg(F.min("v").alias("w"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(lower.select("u", F.col("w").alias("v")))
@@ -40,5 +43,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
+def _lowered(table: DataFrame, lowest: DataFrame) -> DataFrame:
+    """Each edge (u, v) to v's lowest neighbour. The edges of a hub, of which there are few, are dealt to as many tasks as ``lowest`` says."""
+    hubs = lowest.where("parts > 1").select(F.col("u").alias("v"), "parts")
+    if not hubs.head(1):
+        return table.join(lowest.select(F.col("u").alias("v"), "w"), "v").select("u", F.col("w").alias("v"))
+    share = F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = table.join(maybe_broadcast(hubs), "v", "left").select("u", "v", share.alias("part"))
+    ends = lowest.select(F.col("u").alias("v"), "w", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(ends, ["v", "part"]).select("u", F.col("w").alias("v"))
+
+
 def _pairs(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
