@@ -8,8 +8,8 @@ own, so that one huge group does not leave the others' shards uneven.
 
 A greedy pass asks only where the last group ends at or before a given byte. The driver answers that from a
 bounded table of cells with the first and the last end in each, which gives bounds on the capacity and on every cut;
-cells that may hold a cut are divided again, until the answers are exact. So the driver holds ``CELLS`` cells at
-most, however many groups there are, and nothing is sampled.
+cells that may hold a cut are divided again, until the answers are exact. The driver holds a bounded number of
+cells, however many groups there are, and nothing is sampled.
 """
 
 from __future__ import annotations
@@ -84,10 +84,11 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_points(groups: DataFrame, shards: int, cells: int = CELLS) -> tuple[list[int], int]:
-    """The ends of all shards but the last, and the capacity, for ``groups(size, start, end)``: sizes over 0 that follow each other without gaps.
+    """The ends of all shards, and the capacity, for ``groups(size, start, end)``: sizes over 0 that follow each other without gaps.
 
-    Each round is one filtered aggregation. It divides the cells that a cut may lie in; by the
-    bounds, a cut is uncertain by a few cells, so some hundred of ``cells`` remain each time.
+    Each round is one filtered aggregation. It divides the cells that a cut may lie in. By the
+    bounds the cut after j shards is uncertain by about 2 j cells, so about ``shards`` squared of them remain each time, and
+    each is at least halved: the driver holds some ``cells``, or two times ``shards`` squared if that is more.
     """
     total = groups.agg(F.max("end").alias("total")).first()["total"] or 0
     # More than ``shards`` groups over the capacity would not fit, so those that exceed it are among the largest few.
@@ -95,9 +96,9 @@ def cut_points(groups: DataFrame, shards: int, cells: int = CELLS) -> tuple[list
     large, least = sorted((r["start"], r["end"]) for r in top), top[-1]["size"] if len(top) > shards else 1
     points = [x for g in large for x in g]
     low = high = np.zeros(0, np.int64)
-    spans = [(0, total)]  # ends over a and up to b are to be told apart
+    spans, width = [(0, total)], 2 * max(1, total)  # ends over a and up to b are to be told apart
     while True:
-        width = max(1, -(-sum(b - a for a, b in spans) // cells))
+        width = max(1, min(width // 2, -(-sum(b - a for a, b in spans) // cells)))
         number, first = F.lit(None).cast("bigint"), 0
         for a, b in spans:
             number = F.when((F.col("end") > a) & (F.col("end") <= b), F.floor((F.col("end") - (a + 1)) / width) + first).otherwise(number)
@@ -114,7 +115,7 @@ def cut_points(groups: DataFrame, shards: int, cells: int = CELLS) -> tuple[list
         best, sure = (smallest_capacity(known, shards, total, large, least, side) for side in (1, 0))
         behind, ahead = greedy(known, best, shards, total, large, 0), greedy(known, sure, shards, total, large, 1)
         if best == sure and behind == ahead:
-            return behind[:-1], best
+            return behind, best
         # Cells of more than one end that a pass with a capacity between the two may ask about; neighbours are taken together.
         open_cells = sorted({i for x, y in zip(behind, ahead, strict=True) for i in range(max(known.cell(x), 0), known.cell(y) + 1) if high[i] > low[i]})
         spans = []
@@ -126,6 +127,29 @@ def cut_points(groups: DataFrame, shards: int, cells: int = CELLS) -> tuple[list
                 spans.append((a, b))
 
 
+def even_ends(groups: DataFrame, shards: int, cells: int = CELLS) -> list[int]:
+    """The ends of all shards. Where groups over the capacity stand alone, the shards between two of them are made alike in turn, as their number is fixed by then."""
+    ends, capacity = cut_points(groups, shards, cells)
+    starts = [0, *ends[:-1]]
+    lone = [b - a > capacity for a, b in zip(starts, ends, strict=True)]
+    if not any(lone):
+        return ends
+    out, i = [], 0
+    while i < shards:
+        j = i
+        while j < shards and not lone[j] and ends[j] > starts[j]:
+            j += 1
+        if j - i > 1:
+            base = starts[i]
+            between = groups.where((F.col("start") >= base) & (F.col("end") <= ends[j - 1])).select("size", (F.col("start") - base).alias("start"), (F.col("end") - base).alias("end"))
+            out += [base + x for x in even_ends(between, j - i, cells)]
+        else:
+            j = i + 1
+            out.append(ends[i])
+        i = j
+    return out
+
+
 def _sorted_with_place(df: DataFrame, *order: Column) -> DataFrame:
     """Written in this order, with the partition (``part``) and place (``row``) of each row."""
     row = F.monotonically_increasing_id()
@@ -143,7 +167,7 @@ def shards_of_texts(rows: DataFrame, shards: int, cells: int = CELLS) -> DataFra
     parts = summed.groupBy("part").agg(F.max("upto").alias("held")).select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))  # one row a partition
     end = F.col("base") + F.col("upto")
     groups = cut(summed.join(maybe_broadcast(parts), "part").select("a", "b", "n", "size", (end - F.col("size")).alias("start"), end.alias("end")))
-    cuts, _ = cut_points(groups, shards, cells)
+    cuts = even_ends(groups, shards, cells)[:-1]
     shard = sum((F.when(F.col("start") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
     return groups.select(F.struct("a", "b").alias("key"), "n", "start", shard.alias("shard"))
 
