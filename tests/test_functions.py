@@ -167,11 +167,12 @@ def test_body_sentences_cover_the_text(s):
     assert "".join("".join(x["text"].split()) for x in out) == "".join(s.split())
 
 
-def test_query_limits_are_checked(spark):
-    docs = spark.createDataFrame([(1, "a b")], "id int, t string")
-    many = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(retrieval.QUERY_TERMS + 1)))], "query_id int, query string")
-    with pytest.raises(ValueError, match="query terms"):
-        retrieval.bm25(docs, many, "id", "t", [], False)
+def test_many_query_terms_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "w0 w1 b"), (2, "w1 w1 x")], "id int, t string")
+    many = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40))), (2, "x w1")], "query_id int, query string")
+    few = sorted(map(tuple, retrieval.bm25(docs, many, "id", "t", [], False).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_TERMS", 3)
+    assert sorted(map(tuple, retrieval.bm25(docs, many, "id", "t", [], False).collect())) == few and len(few) == 4
 
 
 def test_body_by_selectors():
@@ -196,3 +197,56 @@ def test_span_candidates():
     assert ("value_unit", "103.2", "지수") in got and ("value_unit", "지난해 1분기~올해 2분기", "기간") in got and ("time", "지난해 1분기", None) in got
     assert not any(k == "dimension" and t == "경기" for k, t, _ in got) and not any(u == "개월 연속" for _, _, u in got)
     assert [c["unit"] for c in text.candidates_of("물가는 4개월 연속 올랐다") if c["kind"] == "value_unit"] == ["개월 연속"]
+
+
+def test_absolute_periods_refuse_trailing_marks(spark):
+    from veristrata.functions import legacy
+
+    wanted = {"2024-": "", "2024.": "", "2024/": "", "2024": "2024", "2024년": "2024", "2024 대비 2023년 5월": "2023-05", "2024년 3월 1분기": "2024-03", "2024 2분기": "2024-Q2", "2024-q3": "2024-Q3", "2024/ 7": "2024-07", "2024.13": "", "20245": "", None: ""}
+    rows = spark.createDataFrame([(k,) for k in wanted], "t string").select("t", legacy.canonical_absolute(F.col("t")).alias("p")).collect()
+    assert {r.t: r.p for r in rows} == wanted
+
+
+def test_decimals_keep_their_places(spark):
+    from veristrata.functions import legacy
+
+    rows = spark.createDataFrame([(1234567.123456789, "1,234,567.123456789"), (-1000.0, "-1,000"), (0.0000001, "0.0000001"), (100.0, "100"), (None, None)], "v double, s string").select("s", legacy.format_decimal(F.col("v")).alias("got")).collect()
+    assert all(r.got == r.s for r in rows)
+
+
+def test_routes_of_marks_and_stated_types(spark):
+    from veristrata.operators import routing
+
+    rows = [("실업률 3%？", None, "OUT_OF_SCOPE"), ("실업률 3%?", "auto", "SIMPLE_KOSIS_QUERY"), ("안녕", "query", "OUT_OF_SCOPE"), ("작년 인구는 몇 명", "query", "SIMPLE_KOSIS_QUERY"), ("x", "url", "ARTICLE_URL"), ("https://a.b", "article", "ARTICLE_TEXT"), ("https://a.b", None, "ARTICLE_URL"), (None, None, "OUT_OF_SCOPE")]
+    got = spark.createDataFrame(rows, "t string, how string, want string").select("want", routing.input_route(F.col("t"), F.col("how"))["route"].alias("got")).collect()
+    assert all(r.got == r.want for r in got)
+
+
+def test_findings_of_sentences(spark):
+    from decimal import Decimal
+
+    from veristrata.operators import series
+
+    said = [
+        (1, 0, 0, "2024년 4월 출생아 수는 늘었다", "출생아 수", "2024-06-01", ""), (1, 1, 0, "출생아 수는 2001년 4월 이후 23년 만에 가장 많았다", "출생아 수", "2024-06-01", "2024-04"),
+        (2, 0, 0, "2024년 4월 출생아는 늘었다", "출생아", "2024-06-01", ""), (2, 1, 0, "1981년 통계 집계 이래 최고 증가율", "", "2024-06-01", ""), (2, 2, 1, "1981년 통계 집계 이래 최고 증가율", "", "2024-06-01", ""),
+        (3, 0, 0, "2001년 3월 이후 23년 만에 가장 컸다", "혼인", "2024-06-01", "2024-03"), (4, 0, 0, "2023년 1월부터 올해 3월까지 15개월 연속 증가", "혼인", "2024-06-01", ""), (5, 0, 0, "2023년 1월부터 작년 3월까지 3개월 연속", "혼인", "2024-06-01", ""),
+    ]
+    rows = spark.createDataFrame(said, "article int, idx int, paragraph int, text string, indicator string, published string, hint string")
+    got = {(r.article, r.idx): r for r in series.range_specs(rows).collect()}
+    of = lambda a, i: (got[a, i].operator, got[a, i].start, got[a, i].end, len(got[a, i].expected), len(got[a, i].comparison), got[a, i].anchor)
+    assert of(1, 1) == ("MONTH_OF_YEAR_MAX_SINCE", "2001-04", "2024-04", 24, 23, "2001-04")
+    assert of(2, 1) == ("YOY_RATE_MAX_SINCE", "1980-04", "2024-04", 45, 44, "1981-04") and got[2, 1].month_source == "adjacent_inherited" and got[2, 1].family == "출생아"
+    assert of(2, 2) == ("YOY_RATE_MAX_SINCE", "", "", 0, 0, "") and got[2, 2].family == ""
+    assert of(3, 0) == ("YOY_DIFFERENCE_MAX_SINCE", "2000-03", "2024-03", 25, 23, "2001-03")
+    assert of(4, 0) == ("YOY_STREAK", "2022-01", "2024-03", 27, 15, None) and got[4, 0].claim_count == 15
+    assert of(5, 0)[1:5] == ("2022-01", "", 0, 0)
+
+    specs = [("max", "MONTH_OF_YEAR_MAX_SINCE", ["2001-03", "2002-03", "2003-03", "2004-03"], ["2002-03", "2003-03", "2004-03"], "2004-03"), ("wide", "YOY_DIFFERENCE_MAX_SINCE", ["2000-03", "2001-03", "2002-03", "2003-03", "2004-03"], ["2002-03", "2003-03", "2004-03"], "2004-03"),
+             ("gap", "MONTH_OF_YEAR_MAX_SINCE", ["2004-03", "2005-03"], ["2005-03"], "2005-03"), ("rate", "YOY_RATE_MAX_SINCE", ["1999-03", "2000-03"], ["2000-03"], "2000-03"), ("none", "YOY_RATE_MAX_SINCE", [], [], "")]
+    cells = [("2001-03", 100), ("2002-03", 5), ("2003-03", 6), ("2004-03", 50), ("2000-03", 7), ("1999-03", 0)]
+    table = spark.createDataFrame([("s", p, Decimal(v)) for p, v in cells], "series string, period string, v decimal(20,2)")
+    asked = spark.createDataFrame([(i, "s", o, e, c, None, now) for i, o, e, c, now in specs], "id string, series string, operator string, expected array<string>, comparison array<string>, claim_count int, current string")
+    out = {r.id: (r.status, r.reason, r.finding) for r in series.evaluate_ranges(asked, table, ["id"], ["series"], "period", "v").collect()}
+    # The anchor's own value is not compared: highest since March 2001 without it.
+    assert out == {"max": ("evaluated", None, True), "wide": ("evaluated", None, True), "gap": ("not_evaluated", "RANGE_CELLS_MISSING", None), "rate": ("not_evaluated", "RANGE_ZERO_BASELINE", None), "none": ("not_evaluated", "RANGE_CLAIM_MONTH_SCOPE_AMBIGUOUS", None)}

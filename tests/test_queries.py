@@ -18,14 +18,23 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_query(spark, duck, name):
-    got = registry.QUERIES[name](spark, SF).toArrow()
-    if name not in registry.SQL:
+def check(spark, duck, query, sql):
+    got = query(spark, SF).toArrow()
+    if sql is None:
         assert got.num_rows
         return
-    want = duck.sql(registry.SQL[name]).to_arrow_table()
+    want = duck.sql(sql).to_arrow_table()
     columns = sorted(want.column_names)
     assert columns == sorted(got.column_names)
     rows = lambda t: sorted(map(str, zip(*[t[c].to_pylist() for c in columns], strict=True)))
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_query(spark, duck, name):
+    check(spark, duck, registry.QUERIES[name], registry.SQL.get(name))
+
+
+@pytest.mark.parametrize("name", sorted(registry.CASES))
+def test_cases(spark, duck, name):
+    check(spark, duck, registry.CASES[name], registry.CASES_SQL.get(name))

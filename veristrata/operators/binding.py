@@ -75,7 +75,16 @@ def dominance(ties: DataFrame, target: str, steps: list) -> DataFrame:
     return left.withColumn("unique", F.count("*").over(Window.partitionBy(target)) == 1)
 
 
+# Words in front of an indicator and role words at its end that do not tell series apart.
+FREQUENCY_WORD, RANK_WORDS = r"^월별\s+", r"^(?:(?:기존에|과거|이전|종전)\s*)?(?:(?:가장|최고|최대|최저|최소)\s*)?(?:(?:높았던|많았던|컸던|낮았던|적었던)\s*)?"
+ROLE_WORDS = (
+    "증가율", "감소율", "상승률", "하락률", "증감률", "변화율", "변동률", "증가량", "감소량", "상승량", "하락량", "증감량", "변화량", "변동량", "증가폭", "감소폭", "상승폭", "하락폭", "증감폭", "변화폭", "변동폭",
+    "증가 폭", "감소 폭", "상승 폭", "하락 폭", "증감 폭", "변화 폭", "변동 폭", "건수", "규모", "수준", "수",
+)
+
+
 def family_key(label: Column) -> Column:
-    """The indicator without its frequency, rank and role words, taken off at the end again and again."""
-    head = F.regexp_replace(label, r"^(?:연간|월간|분기별?)\s*", "")
-    return F.trim(F.regexp_replace(head, r"(?:\s*(?:증가율|감소율|증감률|증가폭|감소폭|상승률|하락률|증가|감소))+$", ""))
+    """The indicator without a word of frequency or rank in front, and without role words, taken off at the end again and again."""
+    flat = F.trim(F.regexp_replace(F.coalesce(label, F.lit("")), r"\s+", " "))
+    head = F.regexp_replace(F.regexp_replace(flat, FREQUENCY_WORD, ""), RANK_WORDS, "")
+    return F.trim(F.regexp_replace(head, rf"(?:\s*(?:{'|'.join(ROLE_WORDS)}))+$", ""))

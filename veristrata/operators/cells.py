@@ -117,42 +117,3 @@ def primary_target(rows: DataFrame, by: list[str]) -> DataFrame:
     out = rows.select(*by).distinct().join(one, by, "left")
     sure = F.coalesce("n", F.lit(0)) == 1
     return out.select(*by, F.when(sure, F.col("g.level")).alias("target_id"), F.when(sure, F.col("g.siblings")).alias("siblings"), F.when(sure, F.col("g.base")).alias("baseline"), F.when(~sure, "PRIMARY_TARGET_AMBIGUOUS").alias("error"))
-
-
-#: How a sentence says a finding about a series (fixed values): the operator, and the pattern that holds its number.
-RANGE_WORDS = {
-    "YOY_STREAK": r"(\d+)\s*개월\s*(?:연속|째)\s*(?:증가|상승|늘)", "YOY_RATE_MAX": r"(?:증가율|상승률)[^.]{0,20}?((?:19|20)\d{2})년[^.]{0,8}?이(?:후|래)\s*(?:가장|최)",
-    "YOY_DIFF_MAX": r"(?:증가폭|증가\s*규모)[^.]{0,20}?((?:19|20)\d{2})년[^.]{0,8}?이(?:후|래)\s*(?:가장|최)", "MONTH_MAX_SINCE": r"((?:19|20)\d{2})년[^.]{0,8}?이(?:후|래)\s*(?:가장|최)",
-}
-
-
-def range_specs(sentence: Column, month: Column, inherited: Column) -> Column:
-    """Array of struct(operator, number, period, from): findings that a sentence claims, about its own month or, without one, the one inherited from the sentence before; none without a month."""
-    at = F.coalesce(month, inherited)
-    origin = F.when(month.isNotNull(), "explicit").otherwise("adjacent_inherited")
-    said = [F.when(sentence.rlike(p), F.struct(F.lit(name).alias("operator"), F.regexp_extract(sentence, p, 1).cast("int").alias("number"), at.alias("period"), origin.alias("from"))) for name, p in RANGE_WORDS.items()]
-    # A maximum of a rate or a difference is not one of the level too.
-    found = F.array_compact(F.array(*said))
-    finer = F.exists(found, lambda x: x["operator"].isin("YOY_RATE_MAX", "YOY_DIFF_MAX"))
-    return F.when(at.isNull(), F.array().cast("array<struct<operator:string,number:int,period:string,from:string>>")).otherwise(F.filter(found, lambda x: ~(finer & (x["operator"] == "MONTH_MAX_SINCE"))))
-
-
-def same_series(cells: DataFrame, series: list[str], month: str, value: str, claims: DataFrame) -> DataFrame:
-    """Each claim ``(…, claim_id, month, operator, number)`` about a series with ``holds``: does the series bear it out? Null: it cannot be told.
-
-    YOY_STREAK: exactly ``number`` months in a row above the year before; the maxima: strictly above
-    all that came before, back to January of the year ``number``.
-    """
-    streaks = yoy_streak(cells, series, month, value).select(*series, month, F.col("streak"))
-    change = year_ago(cells, series, month, value).withColumn("diff", F.col(value) - F.col("base")).withColumn("rate", F.try_divide(F.col(value) - F.col("base"), F.abs("base")))
-    asked = claims.join(change.select(*series, month, F.col(value).alias("now"), "diff", "rate"), [*series, month], "left").join(streaks, [*series, month], "left")
-    past = change.select(*series, F.col(month).alias("_m"), F.col(value).alias("_v"), F.col("diff").alias("_d"), F.col("rate").alias("_r"))
-    since = F.make_date(F.when(F.col("operator") == "YOY_STREAK", 1).otherwise(F.col("number")), F.lit(1), F.lit(1))
-    wide = asked.where("operator <> 'YOY_STREAK'").join(past, series).where((F.col("_m") < F.col(month)) & (F.col("_m") >= since))
-    tops = wide.groupBy("claim_id").agg(F.max(F.when(F.month("_m") == F.month(month), F.col("_v"))).alias("v"), F.max("_d").alias("d"), F.max("_r").alias("r"))
-    out = asked.join(tops, "claim_id", "left")
-    holds = (
-        F.when(F.col("operator") == "YOY_STREAK", F.col("streak") == F.col("number")).when(F.col("operator") == "MONTH_MAX_SINCE", F.col("now") > F.col("v"))
-        .when(F.col("operator") == "YOY_DIFF_MAX", F.col("diff") > F.col("d")).when(F.col("operator") == "YOY_RATE_MAX", F.col("rate") > F.col("r"))
-    )
-    return out.select(*claims.columns, holds.alias("holds"))

@@ -60,8 +60,11 @@ def per_label_prf(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def macro_prf(per_label: DataFrame) -> DataFrame:
-    """Means of the already rounded scores of all labels."""
-    return per_label.agg(F.count("*").alias("labels"), *[F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f1")])
+    """Means of the scores of all labels ``(label, tp, fp, fn)``, rounded once; the sums are of decimals, so their order does not matter."""
+    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
+    scores = {"precision": _ratio(tp, tp + fp), "recall": _ratio(tp, tp + fn), "f1": _ratio(2 * tp, 2 * tp + fp + fn)}
+    mean = lambda c: F.round(F.coalesce(F.sum(c.cast("decimal(17,15)")).cast("double") / F.count("*"), F.lit(0.0)), 6)
+    return per_label.agg(F.count("*").alias("labels"), *[mean(c).alias(n) for n, c in scores.items()])
 
 
 def counts_by(df: DataFrame, columns: list[str]) -> DataFrame:

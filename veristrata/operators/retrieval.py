@@ -32,25 +32,24 @@ def top(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -
 def bm25(records: DataFrame, queries: DataFrame, record_id: str, text: str, carry: list[str], match_all: bool) -> DataFrame:
     """``(query_id, record_id, …, score)`` of every record that holds all (or, else, any) of a query's terms.
 
-    Queries are a stated handful (at most ``QUERY_TERMS`` different terms, checked); their terms
-    filter each record's tokens where they lie, so only tokens that some query asks for are
-    exploded. Lengths and counts cover all records.
+    The terms of a handful of queries (at most ``QUERY_TERMS`` pairs of query and term, counted) filter each record's
+    tokens where they lie, so only tokens that some query asks for are exploded, and their weights are broadcast. More
+    are joined by a shuffle. Lengths and counts cover all records.
     """
-    spark = records.sparkSession
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     wanted = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    listed = [r["term"] for r in asked.select("term").distinct().limit(QUERY_TERMS + 1).collect()]
-    if len(listed) > QUERY_TERMS:
-        raise ValueError(f"more than {QUERY_TERMS} query terms: join a table of postings instead")
+    listed = [r["term"] for r in asked.select("term").limit(QUERY_TERMS + 1).collect()]
+    few = len(listed) <= QUERY_TERMS
     split = records.select(record_id, *carry, terms(F.col(text)).alias("t"))
     size = split.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
-    hits = split.select(record_id, *carry, F.size("t").alias("len"), F.explode(F.filter("t", lambda x: x.isin(listed))).alias("term"))
+    hits = split.select(record_id, *carry, F.size("t").alias("len"), F.explode(F.filter("t", lambda x: x.isin(sorted(set(listed)))) if few else F.col("t")).alias("term"))
+    hits = hits if few else hits.join(asked.select("term").distinct(), "term", "left_semi")
     post = hits.groupBy(record_id, *carry, "len", "term").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     weights = asked.join(df, "term").crossJoin(size)  # one row a query term, and one row of sizes
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = post.join(F.broadcast(weights), "term")
+    scored = post.join(F.broadcast(weights) if few else weights, "term")
     out = scored.groupBy("query_id", record_id, *carry).agg(F.sum(gain).alias("score"), F.count("*").alias("met"))
     if match_all:
         out = out.join(wanted, "query_id").where(F.col("met") == F.col("n_terms"))

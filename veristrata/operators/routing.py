@@ -164,21 +164,27 @@ REPORTING = ("기자", "입력", "보도했다", "밝혔다", "전했다", "따
 SENTENCE_END = r"[.!?。](?:\s|$)"
 
 
-def input_route(text: Column) -> Column:
+def input_route(text: Column, input_type: Column | None = None) -> Column:
     """struct(route, confidence, reason): a web address, a short statistical question, an article, or none of them.
 
+    A stated ``input_type`` (url, query or article; null or auto: none) goes before what the text looks like; a stated
+    query that is no statistical question is out of scope.
+
     A question has at most 300 characters and two sentences, a word of statistics and one that
     asks. An article has 400 characters, three lines, three sentences or a word of reporting.
     """
     plain = F.trim(F.coalesce(text, F.lit("")))
     flat = F.regexp_replace(plain, r"\s+", " ")
-    has = lambda c, words: F.regexp_replace(c, r"[?]", "？").rlike("|".join(w.replace("?", "？") for w in words))
+    has = lambda c, words: c.rlike("|".join(w for w in words if w != "?")) | (F.contains(c, F.lit("?")) if "?" in words else F.lit(False))
     ends = lambda c: F.regexp_count(c, F.lit(SENTENCE_END))
     question = (flat != "") & (F.length(flat) <= 300) & (ends(flat) <= 2) & has(F.lower(flat), STATISTICS) & has(flat, ASKING)
     article = (F.length(plain) >= 400) | (F.regexp_count(plain, F.lit("\n")) >= 2) | (ends(plain) >= 3) | has(plain, REPORTING)
     to = lambda r, c, why: F.struct(F.lit(r).alias("route"), F.lit(c).alias("confidence"), F.lit(why).alias("reason"))
+    stated = F.lower(F.coalesce(input_type if input_type is not None else F.lit(None).cast("string"), F.lit("auto")))
     return (
-        F.when(plain.rlike(r"(?i)^https?://(?:[^/?#\s]*@)?[^/?#@:\s]"), to("ARTICLE_URL", 1.0, "HTTP_URL"))
+        F.when(stated == "url", to("ARTICLE_URL", 1.0, "EXPLICIT_URL")).when((stated == "query") & question, to("SIMPLE_KOSIS_QUERY", 1.0, "EXPLICIT_KOSIS_QUERY"))
+        .when(stated == "query", to("OUT_OF_SCOPE", 1.0, "EXPLICIT_QUERY_NOT_KOSIS_ELIGIBLE")).when(stated == "article", to("ARTICLE_TEXT", 1.0, "EXPLICIT_ARTICLE_TEXT"))
+        .when(plain.rlike(r"(?i)^https?://(?:[^/?#\s]*@)?[^/?#@:\s]"), to("ARTICLE_URL", 1.0, "HTTP_URL"))
         .when(question, to("SIMPLE_KOSIS_QUERY", 0.9, "SHORT_STATISTICAL_QUESTION"))
         .when(article, to("ARTICLE_TEXT", 0.85, "ARTICLE_STRUCTURE"))
         .otherwise(to("OUT_OF_SCOPE", 0.8, "NO_SUPPORTED_ROUTE"))

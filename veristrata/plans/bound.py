@@ -494,17 +494,6 @@ def lexical_rules(s: SparkSession, d: str) -> DataFrame:
     return text.rule_hits(rows, "p_partkey", "t", rules, ("off",)).select("p_partkey", "rule", "found")
 
 
-@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN concat('YOY_STREAK:', p_size, ':2024-03:explicit') WHEN 1 THEN 'YOY_RATE_MAX:2019:2024-02:adjacent_inherited' WHEN 2 THEN 'MONTH_MAX_SINCE:2001:2024-03:explicit' ELSE '' END AS specs FROM part""")
-def range_specs(s: SparkSession, d: str) -> DataFrame:
-    from ..operators import cells
-
-    k = C("p_size") % 4
-    said = F.when(k == 0, F.format_string("3월 출생은 %d개월 연속 증가했다", C("p_size"))).when(k == 1, "증가율은 2019년 이후 가장 높다").when(k == 2, "3월 값은 2001년 이래 최대다").otherwise("2001년 이후 최대")
-    month = F.when(k.isin(0, 2), "2024-03")
-    found = cells.range_specs(said, month, F.when(k == 1, "2024-02"))
-    return table(s, d, "part").select("p_partkey", F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["operator"], x["number"], x["period"], x["from"])), "|").alias("specs"))
-
-
 @query("""SELECT p_partkey, '지난해' AS time_ref, '2023' AS time_abs, '연' AS time_span, CAST(p_size AS VARCHAR) AS value_list FROM part""")
 def article_extract(s: SparkSession, d: str) -> DataFrame:
     """Articles of two sentences, of which one holds a value."""

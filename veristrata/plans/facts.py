@@ -136,22 +136,6 @@ t AS (SELECT *, floor(v / 1000)::BIGINT + period[6:7]::INTEGER % 3 AS t FROM c),
 SELECT nation, period, concat(t // 10, '.', t % 10, '만') AS said, CASE WHEN ok THEN 'MATCH' ELSE 'VALUE_MISMATCH' END AS status, CASE WHEN ok THEN 'VERIFIED' ELSE 'REFUTED' END AS verdict FROM x"""
 
 
-def same_series(spark: SparkSession, d: str) -> DataFrame:
-    """Claims about every month of all revenue: streaks of one to three months, and maxima since 1995."""
-    m = monthly(spark, d)
-    claims = m.select("series", "month", F.explode(F.array(*[F.struct(F.lit(o).alias("operator"), F.lit(n).alias("number")) for o, n in (("YOY_STREAK", 1), ("YOY_STREAK", 2), ("MONTH_MAX_SINCE", 1995), ("YOY_DIFF_MAX", 1996), ("YOY_RATE_MAX", 1996))])).alias("x"))
-    claims = claims.select("series", "month", "x.operator", "x.number", F.concat_ws(":", F.col("month").cast("string"), "x.operator", F.col("x.number").cast("string")).alias("claim_id"))
-    return ops.same_series(m, ["series"], "month", "revenue", claims).select("claim_id", "holds")
-
-
-QUERIES["same_series"] = same_series
-SQL["same_series"] = f"""WITH m AS ({_MONTHLY}), y AS (SELECT a.month, a.revenue AS v, a.revenue - b.revenue AS d, (a.revenue::DOUBLE - b.revenue::DOUBLE) / abs(b.revenue::DOUBLE) AS r FROM m a LEFT JOIN m b ON b.month = a.month - INTERVAL 12 MONTH),
-u AS (SELECT month, coalesce(d > 0, false) AS up, sum(CASE WHEN coalesce(d > 0, false) THEN 0 ELSE 1 END) OVER (ORDER BY month) AS run FROM y), k AS (SELECT month, CASE WHEN up THEN count(*) FILTER (up) OVER (PARTITION BY run ORDER BY month) ELSE 0 END AS streak FROM u),
-c(operator, number) AS (VALUES ('YOY_STREAK', 1), ('YOY_STREAK', 2), ('MONTH_MAX_SINCE', 1995), ('YOY_DIFF_MAX', 1996), ('YOY_RATE_MAX', 1996))
-SELECT concat(y.month, ':', operator, ':', number) AS claim_id, CASE operator WHEN 'YOY_STREAK' THEN streak = number WHEN 'MONTH_MAX_SINCE' THEN y.v > (SELECT max(p.v) FROM y p WHERE p.month < y.month AND month(p.month) = month(y.month) AND p.month >= make_date(number, 1, 1))
-  WHEN 'YOY_DIFF_MAX' THEN y.d > (SELECT max(p.d) FROM y p WHERE p.month < y.month AND p.month >= make_date(number, 1, 1)) ELSE y.r > (SELECT max(p.r) FROM y p WHERE p.month < y.month AND p.month >= make_date(number, 1, 1)) END AS holds FROM y JOIN k USING (month), c"""
-
-
 def annual_requery(spark: SparkSession, d: str) -> DataFrame:
     """Yearly revenue of each nation against the year before, and whether a claimed rise holds."""
     yearly = nation_monthly(spark, d).groupBy("nation", F.substring("period", 1, 4).cast("int").alias("year")).agg(F.sum("v").cast("decimal(28,2)").alias("v"))

@@ -105,8 +105,8 @@ made("anchored_period", "orders", O, {"y": _Y, "m": _M, "k": "o_custkey % 5", "n
       "s": "CASE k WHEN 0 THEN concat(y - 1) WHEN 1 THEN concat(y - o_orderkey % 2) WHEN 2 THEN concat(y, ' ', n % 4 + 1, '분기') WHEN 3 THEN concat(y, '.', nn) ELSE concat(y, '.', nn) END"},
      lambda: ["t", "s", period.anchored_period(C("t"), C("s"), C("o_orderdate").cast("date"))["rule"].alias("rule")],
      {"t": "t", "s": "s", "rule": "CASE k WHEN 0 THEN 'anchor-previous-year' WHEN 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'anchor-current-year' END WHEN 2 THEN 'anchor-current-year-quarter' WHEN 3 THEN 'anchor-current-year-month' ELSE CASE WHEN n < m THEN 'anchor-most-recent-named-month' END END"})
-_ABS = {"t": "CASE o_custkey % 8 WHEN 0 THEN concat(y, '년 ', q, '분기') WHEN 1 THEN concat(y, '-Q', q) WHEN 2 THEN concat(y, '년 ', m, '월') WHEN 3 THEN concat(y, '.', m) WHEN 4 THEN concat(y, '년') WHEN 5 THEN concat(m, '월') WHEN 6 THEN concat(y) ELSE concat(y, '년 ', m + 12, '월') END"}
-_ABS_WANT = "CASE WHEN o_custkey % 8 IN (0, 1) THEN concat(y, '-Q', q) WHEN o_custkey % 8 IN (2, 3) THEN concat(y, '-', lpad(CAST(m AS VARCHAR), 2, '0')) WHEN o_custkey % 8 IN (4, 6) THEN CAST(y AS VARCHAR) ELSE '' END"
+_ABS = {"t": "CASE o_custkey % 11 WHEN 0 THEN concat(y, '년 ', q, '분기') WHEN 1 THEN concat(y, '-Q', q) WHEN 2 THEN concat(y, '년 ', m, '월') WHEN 3 THEN concat(y, '.', m) WHEN 4 THEN concat(y, '년') WHEN 5 THEN concat(m, '월') WHEN 6 THEN concat(y) WHEN 7 THEN concat(y, '년 ', m + 12, '월') WHEN 8 THEN concat(y, '-') WHEN 9 THEN concat(y, '.') ELSE concat(y, '/ ', m) END"}
+_ABS_WANT = "CASE WHEN o_custkey % 11 IN (0, 1) THEN concat(y, '-Q', q) WHEN o_custkey % 11 IN (2, 3, 10) THEN concat(y, '-', lpad(CAST(m AS VARCHAR), 2, '0')) WHEN o_custkey % 11 IN (4, 6) THEN CAST(y AS VARCHAR) ELSE '' END"
 made("canonical_abs", "orders", O, {"y": _Y, "m": _M, "q": "CAST(quarter(o_orderdate) AS INT)"} | _ABS, lambda: ["t", legacy.canonical_absolute(C("t")).alias("p")], {"t": "t", "p": _ABS_WANT})
 _GRAIN = {"이달 첫 주": "week", "3주 차": "week", "주간 동향": "week", "3월 5일": "day", "1분기": "quarter", "전월": "month", "12 월": "month", "지난해": "year", "2024 년": "year", "어제": "", "주민": ""}
 made("granularity", "orders", O, {"t": pick("o_custkey", *_GRAIN)}, lambda: ["t", legacy.granularity(C("t")).alias("g")], {"t": "t", "g": pick("o_custkey", *_GRAIN.values())})
@@ -197,14 +197,15 @@ made("label_normalize", "customer", ["c_custkey"], {"c": "CASE c_custkey % 3 WHE
       "noise_reason_raw": "CASE WHEN c OR w = 'qqq' THEN w END", "consistency_fix": "CASE WHEN c THEN w IS NOT NULL ELSE k IS NOT NULL END"})
 made("series_unit", "part", ["p_partkey"], {"a": pick("p_partkey", "원", "", "억 원"), "b": pick("p_size", "원", "명", "억원", "")}, lambda: ["a", "b", binding.series_unit(C("a"), F.array(C("b")))["unit"].alias("unit"), binding.series_unit(C("a"), F.array(C("b")))["conflict"].alias("conflict")],
      {"a": "a", "b": "b", "conflict": "a <> '' AND b <> '' AND replace(a, ' ', '') <> b", "unit": "CASE WHEN a <> '' AND b <> '' AND replace(a, ' ', '') <> b THEN NULL WHEN a <> '' THEN a WHEN b <> '' THEN b END"})
-made("family_key", "part", ["p_partkey"], {"l": "concat(CASE p_partkey % 3 WHEN 0 THEN '연간 ' WHEN 1 THEN '분기별 ' ELSE '' END, p_name, CASE p_size % 3 WHEN 0 THEN ' 증가율' WHEN 1 THEN ' 증가 감소율' ELSE '' END)"}, lambda: [binding.family_key(C("l")).alias("family")], {"family": "p_name"})
+made("family_key", "part", ["p_partkey"], {"l": "concat(CASE p_partkey % 4 WHEN 0 THEN '월별  ' WHEN 1 THEN '기존에 가장 높았던 ' WHEN 2 THEN '최대 ' ELSE ' ' END, p_name, CASE p_size % 5 WHEN 0 THEN ' 증가율' WHEN 1 THEN ' 수 증가 폭' WHEN 2 THEN '건수 변동률' WHEN 3 THEN ' 규모' ELSE '' END)"}, lambda: [binding.family_key(C("l")).alias("family")], {"family": "p_name"})
 _ROUTE = r"""CASE k WHEN 0 THEN 'ARTICLE_URL' WHEN 1 THEN 'SIMPLE_KOSIS_QUERY' WHEN 2 THEN 'OUT_OF_SCOPE' WHEN 3 THEN 'ARTICLE_TEXT' ELSE CASE
   WHEN regexp_matches(ltrim(coalesce(text, '')), '(?i)^https?://[^/?#@:\s]') THEN 'ARTICLE_URL'
   WHEN length(regexp_replace(trim(coalesce(text, ''), E' \n\t\r\f\x0b'), '\s+', ' ', 'g')) BETWEEN 1 AND 300 AND len(regexp_extract_all(regexp_replace(trim(text, E' \n\t\r'), '\s+', ' ', 'g'), '[.!?。](?:\s|$)')) <= 2 AND regexp_matches(lower(text), 'gdp|%') AND contains(text, '?') THEN 'SIMPLE_KOSIS_QUERY'
   WHEN length(trim(coalesce(text, ''))) >= 400 OR len(string_split(trim(coalesce(text, '')), chr(10))) >= 3 OR len(regexp_extract_all(trim(coalesce(text, '')), '[.!?。](?:\s|$)')) >= 3 THEN 'ARTICLE_TEXT' ELSE 'OUT_OF_SCOPE' END END"""
-made("input_route", "documents", ["doc_id"], {"k": "doc_id % 5", "t": "CASE k WHEN 0 THEN concat('https://example.org/', doc_id) WHEN 1 THEN '작년 출생 인구는 몇 명인가요?' WHEN 2 THEN '안녕' WHEN 3 THEN '기자가 전했다' ELSE text END"},
-     lambda: [routing.input_route(C("t"))["route"].alias("route"), routing.input_route(C("t"))["confidence"].cast("double").alias("confidence")],
-     {"route": _ROUTE, "confidence": f"(CASE ({_ROUTE}) WHEN 'ARTICLE_URL' THEN 1.0 WHEN 'SIMPLE_KOSIS_QUERY' THEN 0.9 WHEN 'ARTICLE_TEXT' THEN 0.85 ELSE 0.8 END)::DOUBLE"})
+_STATED = f"CASE how WHEN 'url' THEN 'ARTICLE_URL' WHEN 'article' THEN 'ARTICLE_TEXT' WHEN 'query' THEN CASE WHEN ({_ROUTE}) = 'SIMPLE_KOSIS_QUERY' THEN 'SIMPLE_KOSIS_QUERY' ELSE 'OUT_OF_SCOPE' END ELSE {_ROUTE} END"
+made("input_route", "documents", ["doc_id"], {"how": "CASE doc_id % 7 WHEN 1 THEN 'url' WHEN 2 THEN 'article' WHEN 3 THEN 'query' WHEN 4 THEN 'auto' END", "k": "doc_id % 5", "t": "CASE k WHEN 0 THEN concat('https://example.org/', doc_id) WHEN 1 THEN '작년 출생 인구는 몇 명인가요?' WHEN 2 THEN '안녕' WHEN 3 THEN '기자가 전했다' ELSE text END"},
+     lambda: [routing.input_route(C("t"), C("how"))["route"].alias("route"), routing.input_route(C("t"), C("how"))["confidence"].cast("double").alias("confidence")],
+     {"route": _STATED, "confidence": f"(CASE WHEN how IN ('url', 'query', 'article') THEN 1.0 ELSE CASE ({_ROUTE}) WHEN 'ARTICLE_URL' THEN 1.0 WHEN 'SIMPLE_KOSIS_QUERY' THEN 0.9 WHEN 'ARTICLE_TEXT' THEN 0.85 ELSE 0.8 END END)::DOUBLE"})
 
 
 def query_register(s: SparkSession, d: str) -> DataFrame:

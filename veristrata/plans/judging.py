@@ -99,7 +99,7 @@ CONVERT = [(5.0, "억원", "만원", 50000.0), (2.0, "천명", "명", 2000.0), (
 QUERIES["convert_value"] = lambda s, d: s.createDataFrame([r[:3] for r in CONVERT], "v double, a string, b string").select("v", "a", "b", quantity.convert_value(F.col("v"), F.col("a"), F.col("b")).alias("out"))
 SQL["convert_value"] = _literal([("v", "DOUBLE"), ("a", V), ("b", V), ("out", "DOUBLE")], CONVERT)
 
-FAMILIES = [("연간 출생아 수 증가율", "출생아 수"), ("실업률", "실업률"), ("분기별 수출 증가 감소율", "수출")]
+FAMILIES = [("월별 출생아 수 증가율", "출생아"), ("실업률", "실업률"), ("가장 많았던 수출 증가 폭 감소율", "수출"), ("혼인 건수", "혼인")]
 QUERIES["family_key"] = lambda s, d: s.createDataFrame([r[:1] for r in FAMILIES], "label string").select("label", binding.family_key(F.col("label")).alias("family"))
 SQL["family_key"] = _literal([("label", V), ("family", V)], FAMILIES)
 

@@ -121,6 +121,8 @@ def judged(spark: SparkSession, d: str) -> DataFrame:
 
 _JUDGED = "WITH j AS (SELECT l.*, n_chars, lang, source, coalesce(n_chars > 500, false) AS predicted FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id)"
 _PRF = "round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1"
+_EACH = "coalesce(tp / nullif(tp + fp, 0), 0)::DECIMAL(17,15) AS precision, coalesce(tp / nullif(tp + fn, 0), 0)::DECIMAL(17,15) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)::DECIMAL(17,15) AS f1"
+_MEAN = lambda c: f"round(coalesce(sum({c})::DOUBLE / count(*), 0), 6)"
 QUERIES["binary_prf"] = lambda s, d: ledger.binary_prf(judged(s, d), F.col("quality") == 1, F.col("predicted"))
 SQL["binary_prf"] = _JUDGED + f", c AS (SELECT count(*) FILTER (quality = 1 AND predicted) AS tp, count(*) FILTER (quality <> 1 AND predicted) AS fp, count(*) FILTER (quality = 1 AND NOT predicted) AS fn FROM j) SELECT *, {_PRF} FROM c"
 
@@ -138,7 +140,7 @@ c AS (SELECT label, count(*) FILTER (k = 'tp') AS tp, count(*) FILTER (k = 'fp')
 QUERIES["per_label_prf"] = per_label
 SQL["per_label_prf"] = _LABELS + f" SELECT *, {_PRF} FROM c"
 QUERIES["macro_prf"] = lambda s, d: ledger.macro_prf(per_label(s, d))
-SQL["macro_prf"] = _LABELS + f", p AS (SELECT *, {_PRF} FROM c) SELECT count(*) AS labels, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM p"
+SQL["macro_prf"] = _LABELS + f", p AS (SELECT *, {_EACH} FROM c) SELECT count(*) AS labels, {_MEAN('precision')} AS precision, {_MEAN('recall')} AS recall, {_MEAN('f1')} AS f1 FROM p"
 QUERIES["routing_summary"] = lambda s, d: ledger.counts_by(table(s, d, "orders"), ["o_orderstatus", "o_orderpriority"])
 SQL["routing_summary"] = "SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2"
 
@@ -171,12 +173,12 @@ def metrics_all(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["metrics_all"] = metrics_all
 SQL["metrics_all"] = f"""{_JUDGED}, g AS (SELECT *, ['de','en','es','fr'][regexp_extract(source, '(\\d+)', 1)::INTEGER % 4 + 1] AS guess FROM j), k AS (SELECT * FROM g WHERE toxic <> 1),
 x AS (SELECT lang AS label, 'tp' AS k FROM k WHERE lang = guess UNION ALL SELECT lang, 'fn' FROM k WHERE lang <> guess OR guess IS NULL UNION ALL SELECT guess, 'fp' FROM k WHERE lang <> guess),
-cl AS (SELECT label, count(*) FILTER (k = 'tp') AS tp, count(*) FILTER (k = 'fp') AS fp, count(*) FILTER (k = 'fn') AS fn FROM x WHERE label IS NOT NULL GROUP BY 1), m AS (SELECT {_PRF} FROM cl),
+cl AS (SELECT label, count(*) FILTER (k = 'tp') AS tp, count(*) FILTER (k = 'fp') AS fp, count(*) FILTER (k = 'fn') AS fn FROM x WHERE label IS NOT NULL GROUP BY 1), m AS (SELECT {_EACH} FROM cl),
 b AS (SELECT count(*) FILTER (quality = 1 AND predicted) AS tp, count(*) FILTER (quality <> 1 AND predicted) AS fp, count(*) FILTER (quality = 1 AND NOT predicted) AS fn FROM k), bp AS (SELECT {_PRF} FROM b),
 e AS (SELECT count(*) AS rows_ok, round(coalesce(count(*) FILTER (lang IS NOT DISTINCT FROM guess) / nullif(count(*), 0), 0), 6) AS class_accuracy, round(coalesce(count(*) FILTER (lang = 'en') / nullif(count(*), 0), 0), 6) AS scope_exact, round(coalesce(count(*) FILTER (source = 'src0') / nullif(count(*), 0), 0), 6) AS role_exact,
   round(count(*) FILTER (doc_id % 6 = 0) / greatest(count(*) FILTER (doc_id % 2 = 0 OR doc_id % 3 = 0), 1), 6) AS unit_exact FROM k)
 SELECT (SELECT count(*) FROM j) AS rows_total, (SELECT round(sum(n_chars::DOUBLE), 3) FROM j) AS total_latency_ms, (SELECT sum(doc_id)::BIGINT FROM j) AS total_tokens, e.*, bp.precision AS claim_precision, bp.recall AS claim_recall, bp.f1 AS claim_f1,
-  (SELECT round(avg(precision), 6) FROM m) AS class_macro_precision, (SELECT round(avg(recall), 6) FROM m) AS class_macro_recall, (SELECT round(avg(f1), 6) FROM m) AS class_macro_f1 FROM e, bp"""
+  (SELECT {_MEAN("precision")} FROM m) AS class_macro_precision, (SELECT {_MEAN("recall")} FROM m) AS class_macro_recall, (SELECT {_MEAN("f1")} FROM m) AS class_macro_f1 FROM e, bp"""
 
 
 def terminal_partition(spark: SparkSession, d: str) -> DataFrame:

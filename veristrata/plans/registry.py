@@ -1,16 +1,16 @@
 """All registered queries and their SQL, gathered from the query modules of this package.
 
-Where inputs are made from tables (``generated``), the query over a few literal rows stays under
-the name with ``_cases``.
+Every query reads a whole table. ``CASES`` are the same operators over a few literal rows, for the tests.
 """
 
 from __future__ import annotations
 
-from . import bound, facts, generated, judging, language, ledgers, search, stack, wording
+from . import bound, facts, findings, generated, judging, language, ledgers, search, stack, wording
 
 _MODULES = (facts, search, ledgers, language, judging, wording, stack)
-_literal = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
-_literal_sql = {k: q for m in _MODULES for k, q in m.SQL.items()}
-_name = {k: f"{k}_cases" if k in generated.QUERIES else k for k in _literal}
-QUERIES: dict = {_name[k]: q for k, q in _literal.items()} | generated.QUERIES | bound.QUERIES
-SQL: dict[str, str] = {_name[k]: q for k, q in _literal_sql.items()} | generated.SQL | bound.SQL
+_LITERAL = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+_LITERAL_SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}
+QUERIES: dict = {k: q for k, q in _LITERAL.items() if k not in generated.QUERIES} | generated.QUERIES | bound.QUERIES | findings.QUERIES
+SQL: dict[str, str] = {k: q for k, q in _LITERAL_SQL.items() if k not in generated.QUERIES} | generated.SQL | bound.SQL | findings.SQL
+CASES: dict = {k: q for k, q in _LITERAL.items() if k in generated.QUERIES}
+CASES_SQL: dict[str, str] = {k: q for k, q in _LITERAL_SQL.items() if k in generated.QUERIES}
