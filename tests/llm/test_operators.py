@@ -319,10 +319,15 @@ def brute_language(rows):
     for c, t in zip(codes, tags, strict=True):
         if t:
             np.add.at(counts[langs.index(t)], c, 1)
-    model = langid.trigram_model(counts).astype(float)
+    both = counts.sum(axis=0) + 1
+    lean = 0.5 * both / both.sum() * langid.BUCKETS * 0.01
     p = []
-    for c in codes:
-        ll = langid.TEMPER * model[c].sum(axis=0)
+    for c, t in zip(codes, tags, strict=True):
+        smooth, total = (counts + lean)[:, c], counts.sum(axis=1) + lean.sum()
+        if t:  # without the text itself
+            smooth[langs.index(t)] -= np.bincount(c, minlength=langid.BUCKETS)[c]
+            total[langs.index(t)] -= len(c)
+        ll = langid.TEMPER * np.log(smooth / total[:, None]).sum(axis=1)
         p.append((ll - ll.max(), np.exp(ll - ll.max()) / np.exp(ll - ll.max()).sum()))
     live = [i for i, c in enumerate(codes) if len(c)]
     corpus = 1 + sum(p[i][1] for i in live)
@@ -353,7 +358,7 @@ def test_language_by_brute_force(spark):
     letters = {f"{a}{b}": rng.sample("abcdefghijklmnopqrstuvwxyz", 9) for a in "abcdefghij" for b in "klmnopqr"}  # 80 languages
     rows = []
     for tag, own in letters.items():
-        for _ in range(4):
+        for _ in range(12):  # enough that the others' texts tell a language
             rows.append((" ".join(words(rng, rng.choice([1, 3, 40]), own)), rng.choice([tag, tag, tag.upper() + "-XX", None, "junk tag", "qq"]), rng.choice([None, "h1", tag]), rng.choice([None, "de", "com"])))
     rows += [(None, "aa", "h1", None), ("", None, None, "de"), ("... 123", "bk", "h1", "de")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string, source string, suffix string")
@@ -380,6 +385,26 @@ def test_language(spark, odd, empty):
     assert langid.identify(odd).count() == 10 and langid.identify(empty).count() == 0
 
 
+def test_lone_wrong_declarations(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join(words(rng, 60, "abcdefgh" if i % 2 else "stuvwxyz")), "aa" if i % 2 else "zz", f"h{i % 5}", 1) for i in range(600)]
+    wrong = [(1000 + i, " ".join(words(rng, n, "abcdefgh")), tag, "h1", 1) for i, (n, tag) in enumerate([(60, "qq"), (8, "rr"), (60, "zz"), (300, "ss")])]
+    for held in (256, 1):
+        monkeypatch.setattr(langid, "HELD", held)
+        got = {r.doc_id: r.language for r in langid.identify(spark.createDataFrame(rows + wrong, SCHEMA)).collect()}
+        assert all(got[i] == ("aa" if i % 2 else "zz") for i in range(600)) and {got[r[0]] for r in wrong} == {"aa"}
+
+
+def test_language_model_of_many_tags():
+    """2,000 tags that use every bucket are far from a gigabyte, on the driver and when they are sent."""
+    k = 2000
+    every = np.arange(0, langid.BUCKETS, 2)
+    model = langid.Trigrams({i: (every, np.full(len(every), 1.0 + i)) for i in range(k)}, k)
+    assert model.language.nbytes + model.n.nbytes + model.ends.nbytes < 300e6
+    ll = model.log_likelihoods(np.array([2, 2, 4]), None)
+    assert ll.shape == (k,) and ll.max() == 0.0
+
+
 def test_page_markup_and_suffix(spark):
     rows = [(1, "http://a.de/x", '<html lang="de-DE"><p>abc &amp; x</p><script>q</script>'), (2, None, None)]
     got = {r.page_id: r for r in langid.page_evidence(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
@@ -653,6 +678,23 @@ def test_pii_base_spans_match_patterns():
     assert pii.base_spans("x" * 300_000 + "@a.b " + "1" * 300_000) == [(0, 300_004, "email")]
 
 
+def test_pii_many_spans_in_one_text(spark):
+    import time
+
+    rng = random.Random(3)
+    for _ in range(300):
+        own = sorted((a, a + rng.randint(1, 9), "email") for a in rng.sample(range(120), 8))
+        added = [(a, a + rng.randint(1, 9), "phone") for a in rng.sample(range(120), 8)]
+        assert pii.apart(added, own) == [s for s in added if all(s[1] <= b[0] or b[1] <= s[0] for b in own)]
+    text = " ".join(f"call (415) 555-{i % 10000:04d} or mail{i}@example.org or +1 415 555 {i % 10000:04d}, " for i in range(80_000 // 2))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.time()
+    found = pii.find_spans(docs).select(F.size("base").alias("n"), F.size("spans").alias("m")).first()
+    assert len(text) > 2_500_000 and found.n >= 80_000 and found.m >= found.n and time.time() - began < 60
+    masked = pii.mask(docs).first().text
+    assert "@" not in masked and masked.count("<email>") == 40_000
+
+
 def test_pii_field_and_mask(spark, odd, empty):
     field = pii.Field(pii.train())
     texts = ["please call (415) 555-0134 today", "in 1998 there were 12345678 people", "write to ann @ foo . org now", "", "no digits here"]

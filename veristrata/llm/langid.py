@@ -28,6 +28,8 @@ FAR = 80.0
 HOST_WEIGHT, SUFFIX_WEIGHT = 5.0, 20.0
 #: A text with fewer letters than this, and nothing declared, is undetermined.
 LEAST_LETTERS = 1
+#: Languages whose counts a task holds at a time.
+HELD = 256
 UNDETERMINED = "und"
 
 _CLASS = np.full(256, 32, np.uint32)
@@ -55,64 +57,95 @@ def _clean(name: Column) -> Column:
     return F.when(tag.rlike("^[a-z]{2,3}$"), tag)
 
 
-def trigram_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
-    """A row of trigram counts for each language, over all texts that declare it: summed within partitions, then by language."""
+def trigram_counts(rows: DataFrame, languages: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each language, by number, the buckets that its texts use and how often: over all texts that declare it, summed within partitions, then by language.
+
+    A task holds ``HELD`` languages' counts at most; the driver only what is not zero.
+    """
     number = {x: i for i, x in enumerate(languages)}
 
+    def vectors(seen: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([x.astype("<f8").tobytes() for x in seen.values()], pa.binary())], names=["i", "v"])
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
         for b in batches:
             for text, name in zip(texts_of(b.column(0)), b.column(1).to_pylist(), strict=True):
                 if name in number:
+                    if number[name] not in seen and len(seen) >= HELD:
+                        yield vectors(seen)
+                        seen = {}
                     total = seen.setdefault(number[name], np.zeros(BUCKETS))
                     total += np.bincount(trigram_codes(text), minlength=BUCKETS)
-        yield _vectors(seen)
+        yield vectors(seen)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
-        for b in batches:
+        at, total = None, np.zeros(BUCKETS)
+        for b in batches:  # in the order of languages
             for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                total = seen.setdefault(i, np.zeros(BUCKETS))
+                if i != at:
+                    if at is not None:
+                        yield vectors({at: total})
+                    at, total = i, np.zeros(BUCKETS)
                 total += np.frombuffer(v.as_buffer(), "<f8")
-        yield _vectors(seen)
-
-    def _vectors(seen: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([x.astype("<f8").tobytes() for x in seen.values()], pa.binary())], names=["i", "v"])
-
-    out = np.zeros((len(languages), BUCKETS))
-    for r in rows.where("declared IS NOT NULL").select("text", "declared").mapInArrow(first, "i int, v binary").repartition("i").mapInArrow(add, "i int, v binary").toLocalIterator():
-        out[r["i"]] += np.frombuffer(bytes(r["v"]), "<f8")
+        if at is not None:
+            yield vectors({at: total})
+
+    summed = rows.where("declared IS NOT NULL").select("text", "declared").mapInArrow(first, "i int, v binary").repartition("i").sortWithinPartitions("i").mapInArrow(add, "i int, v binary")
+    out = {}
+    for r in summed.toLocalIterator():
+        v = np.frombuffer(bytes(r["v"]), "<f8")
+        out[r["i"]] = (np.flatnonzero(v), v[v > 0])
     return out
 
 
-def trigram_model(counts: np.ndarray) -> np.ndarray:
-    """Smoothed log rates of each trigram bucket, a column a language."""
-    both = counts.sum(axis=0) + 1
-    smooth = counts + 0.5 * both / both.sum() * BUCKETS * 0.01
-    return np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32).T)
-
-
-def log_likelihoods(codes: np.ndarray, model: np.ndarray) -> np.ndarray:
-    """Tempered log likelihoods by language, the best being 0; memory does not grow with the text beyond its codes."""
-    if len(codes) > 2048:
-        total = np.bincount(codes, minlength=BUCKETS).astype(np.float64) @ model
-    else:
-        total = model[codes].sum(axis=0, dtype=np.float64)
-    total *= TEMPER
-    return total - total.max()
+class Trigrams:
+    """Smoothed rates of trigram buckets by language, kept by bucket and only where a language uses it: a few bytes for each such pair."""
+
+    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> None:
+        both = np.ones(BUCKETS)
+        self.total = np.zeros(k)
+        for i, (at, n) in counts.items():
+            both[at] += n
+            self.total[i] = n.sum()
+        # What every language is leant on: the corpus's rates, so one with few texts is like the corpus.
+        self.lean = 0.5 * both / both.sum() * BUCKETS * 0.01
+        self.lean_sum = self.lean.sum()
+        at = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in counts.values())])
+        order = np.argsort(at, kind="stable")
+        self.language = np.concatenate([np.zeros(0, np.int32), *(np.full(len(x), i, np.int32) for i, (x, _) in counts.items())])[order]
+        self.n = np.concatenate([np.zeros(0), *(n for _, n in counts.values())])[order]
+        self.ends = np.searchsorted(at[order], np.arange(BUCKETS + 1))
+
+    def log_likelihoods(self, codes: np.ndarray, own: int | None) -> np.ndarray:
+        """Tempered log likelihoods of a text by language, the best being 0; ``own`` is the language among whose counts the text's own are, which do not count."""
+        used, times = np.unique(codes, return_counts=True)
+        size = self.ends[used + 1] - self.ends[used]
+        flat = np.repeat(self.ends[used] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        language, n, m, lean = self.language[flat], self.n[flat], np.repeat(times, size), np.repeat(self.lean[used], size)
+        total = self.total + self.lean_sum
+        if own is not None:
+            n = np.where(language == own, n - m, n)
+            total = total.copy()
+            total[own] -= len(codes)
+        # Against what the lean alone would give, which is the same for all languages.
+        ll = np.bincount(language, m * np.log1p(n / lean), len(total)) - len(codes) * np.log(total)
+        ll *= TEMPER
+        return ll - ll.max()
 
 
 def language_evidence(rows: DataFrame, languages: list[str]) -> DataFrame:
-    """``(id, declared, host, suffix, letters, langs, ll)`` of ``(id, text, declared, host, suffix)``: numbers of the likely languages and their log likelihoods."""
-    sent = rows.sparkSession.sparkContext.broadcast(trigram_model(trigram_counts(rows, languages)))
+    """``(id, declared, host, suffix, letters, langs, ll)`` of ``(id, text, declared, host, suffix)``: numbers of the likely languages and their log likelihoods, without the row's own text as evidence of what it declares."""
+    sent = rows.sparkSession.sparkContext.broadcast(Trigrams(trigram_counts(rows, languages), len(languages)))
+    number = {x: i for i, x in enumerate(languages)}
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
             letters, langs, lls, ends = [], [], [], [0]
-            for text in texts_of(b.column(1)):
+            for text, declared in zip(texts_of(b.column(1)), b.column(2).to_pylist(), strict=True):
                 codes = trigram_codes(text)
-                ll = log_likelihoods(codes, model)
+                ll = model.log_likelihoods(codes, number.get(declared))
                 near = np.flatnonzero(ll > -FAR)
                 letters.append(len(codes))
                 langs.append(near)
@@ -142,8 +175,9 @@ def identify(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     and for a probability under ``least``. All declared languages are modelled; a declaration that
     is no tag of two or three letters is none. Null text counts as empty; a null declaration, host
     or suffix is no evidence; a table without any declared language is all ``und``; rows are
-    judged one by one, repeated ones alike, and each is among the others' evidence about its
-    host, not its own; an empty table gives an empty result; other columns are not read; ids may be of any type.
+    judged one by one, repeated ones alike, and each is evidence for the others about its declared language and its
+    host, not for itself, so a lone wrong declaration does not prove itself; the model takes some bytes for each
+    bucket that a language uses, at most 16,384 buckets of as many languages as there are tags; an empty table gives an empty result; other columns are not read; ids may be of any type.
     """
     spark = rows.sparkSession
     small_batches(spark)

@@ -2,7 +2,7 @@
 
 The trees learn from URLs that carry a label: those that a rule decides. Features are length,
 depth, digits, entropy, parameters and how the URL's suffix went with labels over the whole
-table (grouped counts, smoothed, the row's own label left out while learning).
+table (grouped counts, smoothed, all rows of the URL itself left out while learning).
 """
 
 from __future__ import annotations
@@ -138,17 +138,16 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     rated = facts.join(of_suffix, "suffix", "left").join(of_host, "host", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
 
-    def rates(own: Column) -> list[Column]:
-        """Smoothed block rates, without the row's own label ``own`` (null: none)."""
-        seen = F.when(own.isNull(), 0).otherwise(1)
-        suffix_rate = (zero(F.col("suffix_b")) - zero(own) + 10 * base) / (zero(F.col("suffix_n")) - seen + 10)
-        return [suffix_rate, (zero(F.col("host_b")) - zero(own) + 5 * suffix_rate) / (zero(F.col("host_n")) - seen + 5)]
+    def rates(own: Column, seen: Column) -> list[Column]:
+        """Smoothed block rates, without the ``seen`` rows of the URL itself, of which ``own`` are blocked."""
+        suffix_rate = (zero(F.col("suffix_b")) - own + 10 * base) / (zero(F.col("suffix_n")) - seen + 10)
+        return [suffix_rate, (zero(F.col("host_b")) - own + 5 * suffix_rate) / (zero(F.col("host_n")) - seen + 5)]
 
     # Rows of one URL are one example, so a common URL is one row here; a hard limit bounds what the driver gets.
     urls = told.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("of"))
     picked = maybe_broadcast(cut(urls.orderBy("h").limit(sample)))
     examples = rated.where(F.col("action").isNotNull()).join(picked.withColumnRenamed("h", "picked"), (F.col("h") == F.col("picked")) & F.col("id").eqNullSafe(F.col("of")))
-    learn = examples.select("h", F.concat("x", F.array(*rates(label))).alias("x"), label.alias("y"), "n").dropDuplicates(["h"]).orderBy("h").limit(sample).toPandas()
+    learn = examples.select("h", F.concat("x", F.array(*rates(label * F.col("n"), F.col("n")))).alias("x"), label.alias("y"), "n").dropDuplicates(["h"]).orderBy("h").limit(sample).toPandas()
     trees = Trees(np.stack(learn["x"].to_numpy()) if len(learn) else np.zeros((0, len(NUMBERS))), learn["y"].to_numpy(float), learn["n"].to_numpy(float))
     sent = spark.sparkContext.broadcast(trees)
 
@@ -161,7 +160,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
             verdict = [g or ("block" if c >= 0.5 else "allow") for g, c in zip(given, chance, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(verdict, pa.string()), pa.array(chance)], names=[id_col, "host", "path", "rule", "verdict", "block_chance"])
 
-    ready = rated.select("id", "host", "path", "rule", F.concat("x", F.array(*rates(F.lit(None).cast("int")))).alias("x"), "action")
+    ready = rated.select("id", "host", "path", "rule", F.concat("x", F.array(*rates(F.lit(0), F.lit(0)))).alias("x"), "action")
     return ready.mapInArrow(scored, f"{id_col} bigint, host string, path string, rule string, verdict string, block_chance double")
 
 
