@@ -202,7 +202,7 @@ def test_span_candidates():
 def test_absolute_periods_refuse_trailing_marks(spark):
     from veristrata.functions import legacy
 
-    wanted = {"2024-": "", "2024.": "", "2024/": "", "2024": "2024", "2024년": "2024", "2024 대비 2023년 5월": "2023-05", "2024년 3월 1분기": "2024-03", "2024 2분기": "2024-Q2", "2024-q3": "2024-Q3", "2024/ 7": "2024-07", "2024.13": "", "20245": "", None: ""}
+    wanted = {"2024-": "", "2024.": "", "2024/": "", "2024": "2024", "2024년": "2024", "2024 대비 2023년 5월": "2023-05", "2024년 3월 1분기": "2024-03", "2024-123": "2024-12", "2024 2분기": "2024-Q2", "2024-q3": "2024-Q3", "2024/ 7": "2024-07", "2024.13": "", "20245": "", None: ""}
     rows = spark.createDataFrame([(k,) for k in wanted], "t string").select("t", legacy.canonical_absolute(F.col("t")).alias("p")).collect()
     assert {r.t: r.p for r in rows} == wanted
 
