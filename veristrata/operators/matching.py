@@ -2,7 +2,7 @@
 
 Claims ``(target_id, indicator, unit, region, population)``, candidates ``(target_id, table_key, rank)``,
 items ``(table_key, itm_id, itm_nm, unit)``, values ``(table_key, obj_id, obj_nm, level, value_id, value_name, value_unit)``.
-Everything is joined by table key first; labels are compared in what is left of each table.
+Labels are looked up once for each different indicator, in an index of all labels, then joined by table key.
 """
 
 from __future__ import annotations
@@ -39,10 +39,26 @@ def labels_of(label: Column, aliases: list[tuple[str, str]], bracketed: bool = T
     return F.filter(F.array_compact(F.array(*ways)), lambda w: w["said"] != "")
 
 
-def _hit(surface: Column, ways: Column) -> Column:
-    """The first way that the surface holds, with its place; null if there is none."""
-    spoken = F.filter(ways, lambda w: F.contains(surface, w["said"]))
-    return F.get(F.transform(spoken, lambda w: F.struct(w["rule"].alias("rule"), (F.call_function("locate", w["said"], surface) - 1).alias("start"), F.length(w["said"]).alias("size"))), F.lit(0))
+def spoken(claims: DataFrame, candidates: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """``(target_id, table_key, *keys, rule, start, size)``: what of its candidates' labels each claim's ``surface`` says.
+
+    ``labels(table_key, *keys, ways)`` are of all tables. The different labels are an index: each different surface is cut into the
+    pieces that are as long as some label, and each piece is looked up once, by an equi-join, however many
+    candidates there are; what it says is then joined to the labels of the candidates' tables. Of one label the first way counts, at its first place.
+    """
+    ways = labels.select("table_key", *keys, F.posexplode("ways").alias("way", "w")).select("table_key", *keys, "way", "w.rule", "w.said")
+    known = ways.select("said").distinct()
+    sizes = sorted(r["n"] for r in known.select(F.length("said").alias("n")).distinct().collect())  # lengths of labels: at most the longest
+    if not sizes:
+        known, sizes = known.limit(0), [1]
+    surface = F.col("surface")
+    cuts = F.flatten(F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length(surface)), lambda n: F.transform(F.sequence(F.lit(1), F.length(surface) - n + 1), lambda i: F.struct(F.substring(surface, i, n).alias("said"), (i - 1).alias("start")))))
+    pieces = claims.select("surface").where(surface != "").distinct().select("surface", F.explode(cuts).alias("c")).select("surface", "c.said", "c.start")
+    heard = pieces.join(known, "said", "left_semi").groupBy("surface", "said").agg(F.min("start").alias("start"))
+    asked = candidates.select("target_id", "table_key").join(claims.select("target_id", "surface"), "target_id").join(heard, "surface")
+    met = asked.join(ways, ["table_key", "said"])
+    first = met.groupBy("target_id", "table_key", *keys).agg(F.min(F.struct("way", "rule", "start", F.length("said").alias("size"))).alias("h"))
+    return first.select("target_id", "table_key", *keys, "h.rule", "h.start", "h.size")
 
 
 def item_match(claims: DataFrame, candidates: DataFrame, items: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
@@ -50,16 +66,15 @@ def item_match(claims: DataFrame, candidates: DataFrame, items: DataFrame, alias
 
     A candidate without either is one row with the rule NO_SUBSPAN_MATCH and no item. Places count loose characters.
     """
-    asked = candidates.select("target_id", "table_key").join(claims.select("target_id", loose(F.col("indicator")).alias("surface")), "target_id")
-    met = asked.join(items, "table_key", "left").withColumn("hit", _hit(F.col("surface"), labels_of(F.col("itm_nm"), aliases)))
-    own = Window.partitionBy("target_id", "table_key")
-    met = met.withColumn("said", F.count("hit").over(own)).withColumn("n", F.count("itm_id").over(own))
-    alone = (F.col("said") == 0) & (F.col("n") == 1)
-    found = met.where(F.col("hit").isNotNull() | alone).select(
-        "target_id", "table_key", "itm_id", F.col("unit").alias("item_unit"), F.coalesce("hit.rule", F.lit("SINGLETON_INVENTORY")).alias("rule"), "hit.start", "hit.size"
-    )
-    none = met.where((F.col("said") == 0) & (F.col("n") != 1)).select("target_id", "table_key").distinct()
-    return found.unionByName(none.withColumn("rule", F.lit("NO_SUBSPAN_MATCH")), allowMissingColumns=True)
+    said = claims.select("target_id", loose(F.col("indicator")).alias("surface"))
+    offered = items.select("table_key", "itm_id", F.col("unit").alias("item_unit"), labels_of(F.col("itm_nm"), aliases).alias("ways"))
+    found = spoken(said, candidates, offered, ["itm_id", "item_unit"])
+    # One row a table: its items, and the one if it is the only one.
+    tables = items.groupBy("table_key").agg(F.count("*").alias("n"), F.min(F.struct("itm_id", F.col("unit").alias("item_unit"))).alias("only"))
+    rest = candidates.select("target_id", "table_key").join(said.select("target_id"), "target_id").join(found.select("target_id", "table_key").distinct(), ["target_id", "table_key"], "left_anti").join(tables, "table_key", "left")
+    alone = F.coalesce(F.col("n") == 1, F.lit(False))
+    others = rest.select("target_id", "table_key", F.when(alone, F.col("only.itm_id")).alias("itm_id"), F.when(alone, F.col("only.item_unit")).alias("item_unit"), F.when(alone, "SINGLETON_INVENTORY").otherwise("NO_SUBSPAN_MATCH").alias("rule"))
+    return found.unionByName(others, allowMissingColumns=True)
 
 
 def dim_match(claims: DataFrame, candidates: DataFrame, values: DataFrame, aliases: list[tuple[str, str]], nationwide: bool = True) -> DataFrame:
@@ -71,30 +86,36 @@ def dim_match(claims: DataFrame, candidates: DataFrame, values: DataFrame, alias
     no region, the one value for the whole country (DISCLOSED_NATIONWIDE_DEFAULT). An axis without
     any is one row with the rule UNBOUND and no value.
     """
-    asked = candidates.select("target_id", "table_key").join(claims.select("target_id", loose(F.col("indicator")).alias("surface"), loose(F.col("region")).alias("of_region"), loose(F.col("population")).alias("of_population")), "target_id")
+    said = claims.select("target_id", loose(F.col("indicator")).alias("surface"), loose(F.col("region")).alias("of_region"), loose(F.col("population")).alias("of_population"))
+    asked = candidates.select("target_id", "table_key").join(said, "target_id")
     label = loose(F.col("value_name"))
-    met = asked.join(values, "table_key").withColumn("hit", _hit(F.col("surface"), labels_of(F.col("value_name"), aliases)))
-    atom = F.when((label != "") & (label == F.col("of_region")), "REGION").when((label != "") & (label == F.col("of_population")), "POPULATION")
-    own = Window.partitionBy("target_id", "table_key", "obj_id")
-    met = met.withColumn("atom", atom).withColumn("rule", F.coalesce("atom", F.when(F.contains("surface", label) & (label != ""), F.lit("EXACT_LABEL")), "hit.rule"))
+    hits = spoken(said, candidates, values.select("table_key", "obj_id", "value_id", "value_unit", labels_of(F.col("value_name"), aliases).alias("ways")), ["obj_id", "value_id", "value_unit"])
+    named = values.select("table_key", "obj_id", "value_id", "value_unit", label.alias("label")).where("label <> ''")
+    atoms = F.explode(F.array(*[F.struct(F.lit(i).alias("order"), F.lit(rule).alias("atom"), F.col(c).alias("label")) for i, (rule, c) in enumerate((("REGION", "of_region"), ("POPULATION", "of_population")))]))
+    by_atom = asked.select("target_id", "table_key", atoms.alias("a")).select("target_id", "table_key", "a.*").where("label <> ''").join(named, ["table_key", "label"]).select("target_id", "table_key", "obj_id", "value_id", "value_unit", F.struct("order", "atom").alias("by"))
+    key = ["target_id", "table_key", "obj_id", "value_id"]
+    both = hits.unionByName(by_atom, allowMissingColumns=True).groupBy(*key).agg(F.max("value_unit").alias("value_unit"), F.min("by")["atom"].alias("atom"), F.max(F.struct("rule", "start", "size")).alias("hit"))
     ends = F.struct(F.col("hit.start").alias("a"), (F.col("hit.start") + F.col("hit.size")).alias("b"))
     # At most the values of one axis that an indicator says, so each is held against the others of its axis.
-    met = met.withColumn("spans", F.collect_set(F.when(F.col("atom").isNull() & F.col("hit").isNotNull(), ends)).over(own))
+    met = both.withColumn("spans", F.collect_set(F.when(F.col("atom").isNull(), ends)).over(Window.partitionBy("target_id", "table_key", "obj_id")))
     inside = F.exists("spans", lambda s: (s["a"] <= F.col("hit.start")) & (s["b"] >= F.col("hit.start") + F.col("hit.size")) & (s["b"] - s["a"] > F.col("hit.size")))
-    met = met.withColumn("rule", F.when(F.col("atom").isNull() & inside, None).otherwise(F.col("rule")))
-    met = met.withColumn("named", F.count("rule").over(own)).withColumn("n", F.count("*").over(own))
-    geographic = reduce(lambda a, b: a | b, [F.contains(loose(F.col("obj_nm")), F.lit(w)) for w in GEOGRAPHIC]) & (F.col("of_region") == "")
-    whole = label.isin(*WHOLE)
-    met = met.withColumn("wholes", F.count_if(whole).over(own))
-    default = (
-        F.when((F.col("n") == 1) & F.contains("surface", loose(F.col("obj_nm"))) & (loose(F.col("obj_nm")) != ""), "AXIS_SINGLETON")
-        .when(F.lit(nationwide) & geographic & whole & (F.col("wholes") == 1), "DISCLOSED_NATIONWIDE_DEFAULT")
-    )
-    met = met.withColumn("rule", F.coalesce("rule", F.when(F.col("named") == 0, default)))
-    met = met.withColumn("bound", F.count("rule").over(own))
-    found = met.where("rule IS NOT NULL").select("target_id", "table_key", "obj_id", "level", "value_id", "value_unit", "rule", "hit.start", "hit.size")
-    none = met.where("bound = 0").select("target_id", "table_key", "obj_id", "level").distinct()
-    return found.unionByName(none.withColumn("rule", F.lit("UNBOUND")), allowMissingColumns=True)
+    bound = met.where(F.col("atom").isNotNull() | ~inside).select(*key, "value_unit", F.coalesce("atom", "hit.rule").alias("rule"), "hit.start", "hit.size")
+    # One row an axis: its values, the only one, and the one for the whole country.
+    whole, value = label.isin(*WHOLE), F.struct("value_id", "value_unit")
+    axes = values.groupBy("table_key", "obj_id").agg(
+        F.min("obj_nm").alias("obj_nm"), F.min("level").alias("level"), F.count("*").alias("n"), F.min(value).alias("only"), F.count_if(whole).alias("wholes"), F.min(F.when(whole, value)).alias("whole")
+    )
+    found = bound.join(axes.select("table_key", "obj_id", "level"), ["table_key", "obj_id"])
+    open_axes = asked.join(axes, "table_key").join(bound.select("target_id", "table_key", "obj_id").distinct(), ["target_id", "table_key", "obj_id"], "left_anti")
+    name = loose(F.col("obj_nm"))
+    geographic = reduce(lambda a, b: a | b, [F.contains(name, F.lit(w)) for w in GEOGRAPHIC]) & (F.col("of_region") == "")
+    single = (F.col("n") == 1) & F.contains("surface", name) & (name != "")
+    country = F.lit(nationwide) & geographic & (F.col("wholes") == 1)
+    taken = lambda c: F.when(single, F.col(f"only.{c}")).when(country, F.col(f"whole.{c}")).alias(c)
+    rule = F.when(single, "AXIS_SINGLETON").when(country, "DISCLOSED_NATIONWIDE_DEFAULT").otherwise("UNBOUND")
+    rest = open_axes.select("target_id", "table_key", "obj_id", "level", taken("value_id"), taken("value_unit"), rule.alias("rule"))
+    columns = ["target_id", "table_key", "obj_id", "level", "value_id", "value_unit", "rule", "start", "size"]
+    return found.select(*columns).unionByName(rest, allowMissingColumns=True).select(*columns)
 
 
 def assignment_product(claims: DataFrame, item_hits: DataFrame, dim_hits: DataFrame) -> DataFrame:
