@@ -151,10 +151,14 @@ def nfkc(text: Column, form: str = "NFKC") -> Column:
 
 
 def merge_near_equal(paragraphs: list[str], least: float = 0.7) -> list[str]:
-    """Of neighbours that are alike, with the same digits, the longer stays."""
+    """Paragraphs in order, without blank ones; of one and the last that was kept, if they are alike but for white space and have the same numbers, the longer stays.
+
+    The kept list is the state of the fold: a paragraph is held against its last one only, so the work is that of neighbours.
+    """
     kept: list[str] = []
-    for text in paragraphs:
-        if kept and re.findall(r"\d+", kept[-1]) == re.findall(r"\d+", text) and SequenceMatcher(None, kept[-1], text, autojunk=False).ratio() > least:
+    numbers, flat = (lambda x: re.findall(r"\d[\d,.]*", x)), (lambda x: re.sub(r"\s+", " ", x).strip())
+    for text in (p.strip() for p in paragraphs if p and p.strip()):
+        if kept and numbers(kept[-1]) == numbers(text) and SequenceMatcher(None, flat(kept[-1]), flat(text)).ratio() > least:
             kept[-1] = max(kept[-1], text, key=len)
         else:
             kept.append(text)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,12 +32,12 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
     """Articles with an ``error`` each: a field missing, an id used twice, or a date that is not ISO; null if sound."""
     rows = spark.read.schema("article_idx string, title string, article_text string, date string, source_url string").json(path)
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    twice = rows.groupBy("article_idx").agg((F.count("*") > 1).alias("twice"))
+    twice = rows.groupBy(F.col("article_idx").alias("_id")).agg((F.count("*") > 1).alias("twice"))
     missing = blank("article_idx") | blank("title") | blank("article_text") | blank("date")
     iso = F.to_date(F.try_to_timestamp(F.col("date")))
-    marked = rows.join(twice, rows.article_idx.eqNullSafe(twice.article_idx)).drop(twice.article_idx)
+    marked = rows.join(twice, F.col("article_idx").eqNullSafe(F.col("_id")))
     error = F.when(missing, "FIELD_MISSING").when(F.col("twice"), "DUPLICATE_ID").when(iso.isNull(), "DATE_INVALID")
-    return marked.select(rows.article_idx, "title", "article_text", iso.alias("date"), "source_url", error.alias("error"))
+    return marked.select("article_idx", "title", "article_text", iso.alias("date"), "source_url", error.alias("error"))
 
 
 def snapshot(df: DataFrame, snapshot_id: str) -> DataFrame:
@@ -53,3 +57,24 @@ def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
 
 def publish_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``; on one machine without it, a temporary one), removed when the driver exits."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="veristrata-files-")
+    path = f"{base}/veristrata-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may be gone at exit
+        return
