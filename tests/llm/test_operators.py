@@ -652,6 +652,16 @@ def test_ann_reads_a_tenth_of_clustered_vectors(spark):
     assert len(got) == 200 and hit / 1000 >= 0.9 and share <= 0.1
 
 
+def test_ann_extreme_doubles(spark):
+    rows = [(0, [1e200, 1e199]), (1, [1e-200, 1e-200]), (2, [3e307, 3e307]), (3, [1.0, 0.1]), (4, [5e-324, 0.0]), (5, [0.0, 0.0]), (6, [-1e300, 1e-300])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in ann.search(df, df).collect()}
+    assert len(got) == 6 * 5 and all(-1.0 <= x <= 1.0 + 1e-12 for x in got.values())
+    assert abs(got[0, 3] - 1.0) < 1e-15 and abs(got[1, 2] - 1.0) < 1e-15 and abs(got[4, 6] + 1.0) < 1e-15
+    a, b = np.random.default_rng(1).normal(size=(2, 50, 64)).astype(np.float32).astype(float)
+    assert (ann.exact_cosine(a, b) == (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))).all()
+
+
 def test_ann_repeated_and_null_ids(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (None, [1.0, 0.0]), (3, [-1.0, 0.0])]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id bigint, embedding array<double>, list string, v int")

@@ -42,7 +42,13 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by a power of two, so that the largest component is near 1: exact, and no square is too large or too small."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -121,7 +127,8 @@ def clean(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision; equal rows always give equal numbers."""
+    """Row by row, in double precision; equal rows always give equal numbers. Powers of two do not change the cosine."""
+    a, b = _scaled(a), _scaled(b)
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
