@@ -250,3 +250,49 @@ def test_findings_of_sentences(spark):
     out = {r.id: (r.status, r.reason, r.finding) for r in series.evaluate_ranges(asked, table, ["id"], ["series"], "period", "v").collect()}
     # The anchor's own value is not compared: highest since March 2001 without it.
     assert out == {"max": ("evaluated", None, True), "wide": ("evaluated", None, True), "gap": ("not_evaluated", "RANGE_CELLS_MISSING", None), "rate": ("not_evaluated", "RANGE_ZERO_BASELINE", None), "none": ("not_evaluated", "RANGE_CLAIM_MONTH_SCOPE_AMBIGUOUS", None)}
+
+
+def test_stored_index(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b a", "x"), (2, "b c", "y"), (3, None, "x"), (4, "a " * 50, "y"), (5, "실업률 3%", "x")], "id int, t string, kind string")
+    retrieval.write_index(docs, "id", "t", ["kind"], str(tmp_path / "i"), buckets=4)
+    asked = spark.createDataFrame([(1, "a b"), (2, "B"), (3, "zz"), (4, "실업률")], "query_id int, query string")
+    for limit in (1000, 1):  # sent to the postings, or joined to them
+        monkeypatch.setattr(retrieval, "QUERY_TERMS", limit)
+        for every in (True, False):
+            got = {(r.query_id, r.id): r.score for r in retrieval.search_index(spark, str(tmp_path / "i"), asked, "id", ["kind"], every, 10).collect()}
+            assert got == {(r.query_id, r.id): r.score for r in retrieval.bm25(docs, asked, "id", "t", ["kind"], every).collect()}
+    only = retrieval.search_index(spark, str(tmp_path / "i"), asked, "id", ["kind"], False, 1, {"kind": ["y"]})
+    assert {(r.query_id, r.id) for r in only.collect()} == {(1, 4), (2, 2)}
+    with pytest.raises(ValueError, match="no word"):
+        retrieval.search_index(spark, str(tmp_path / "i"), spark.createDataFrame([(1, " ?")], "query_id int, query string"), "id", ["kind"], True, 5)
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        retrieval.write_index(docs, "id", "t", ["kind"], str(tmp_path / "i"))
+
+
+def test_cache_and_crawl(spark):
+    from veristrata.operators import state
+
+    asked = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "i int, q string")
+    empty = spark.createDataFrame([], "address string, release string, result string, fetched_at timestamp")
+    calls = []
+
+    def fetch(wanted):
+        calls.append(wanted.count())
+        return wanted.select("address", F.concat(F.lit("r:"), F.coalesce("q", F.lit("none"))).alias("result"))
+
+    at = lambda t: F.lit(t).cast("timestamp")
+    first, cache = state.cached(asked, ["q"], empty, "r1", at("2024-01-01 00:00:00"), 60, fetch)
+    assert {(r.i, r.outcome, r.result) for r in first.collect()} == {(1, "MISS", "r:a"), (2, "MISS", "r:a"), (3, "MISS", "r:b"), (4, "MISS", "r:none")}
+    for release, now, outcome, n in (("r1", "2024-01-01 00:01:00", "HIT", 0), ("r1", "2024-01-01 00:01:01", "STALE", 3), ("r2", "2024-01-01 00:00:30", "MISS", 3)):
+        again, grown = state.cached(asked, ["q"], cache, release, at(now), 60, fetch)
+        assert {r.outcome for r in again.collect()} == {outcome} and calls[-1] == n and grown.count() == (6 if release == "r2" else 3)
+
+    edges = {"r": ["a", "b", "bad"], "a": ["c", "r"], "b": ["c"], "c": []}
+    table = spark.createDataFrame(list(edges.items()), "node string, children array<string>")
+    pages_ = lambda p: p.join(table, "node").select("node", (F.col("node") != "b").__or__(F.col("attempts") > 0).alias("ok"), "children")
+    seeds = state.seeded(spark.createDataFrame([("r",), ("r",)], "node string"))
+    whole = {tuple(r) for r in state.crawl(seeds, pages_).collect()}
+    assert whole == {("r", 0, "done", 1), ("a", 1, "done", 1), ("b", 1, "done", 2), ("c", 2, "done", 1), ("bad", 1, "error", 3)}
+    for stop in (1, 2, 3):
+        assert {tuple(r) for r in state.crawl(state.crawl(seeds, pages_, steps=stop), pages_).collect()} == whole
+    assert state.crawl(seeds.limit(0), pages_).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K1, B, RRF = 1.2, 0.75, 60
@@ -56,6 +56,60 @@ def bm25(records: DataFrame, queries: DataFrame, record_id: str, text: str, carr
     return out.select("query_id", record_id, *carry, F.round("score", 6).alias("score"))
 
 
+#: Buckets of a stored index; a query reads those of its terms.
+BUCKETS = 64
+
+
+def write_index(records: DataFrame, record_id: str, text: str, carry: list[str], path: str, buckets: int = BUCKETS) -> None:
+    """Store an inverted index of ``records`` under ``path``: ``postings`` and ``terms`` by bucket of the term, and ``corpus``, one row.
+
+    Postings ``(bucket, term, record_id, …, len, tf)`` lie sorted by term within a bucket, so that a term's rows are
+    found by the files' statistics; terms hold ``(bucket, term, df, most)``, most being the largest gain of any of its postings before the term's own weight.
+    The index is never replaced.
+    """
+    size = F.size(terms(F.col(text)))
+    records.agg(F.count("*").alias("n"), F.coalesce(F.avg(size), F.lit(0.0)).alias("avg_len"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/corpus")
+    corpus = records.sparkSession.read.parquet(f"{path}/corpus")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    posted = postings(records, record_id, text, carry).withColumn("bucket", bucket)
+    # Ranges, so that the postings of a frequent term are many files and no task's alone.
+    posted.repartitionByRange("bucket", "term", record_id).sortWithinPartitions("bucket", "term", record_id).write.partitionBy("bucket").parquet(f"{path}/postings")
+    stored = records.sparkSession.read.parquet(f"{path}/postings")
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    weighed = stored.crossJoin(F.broadcast(corpus.select("avg_len")))  # one row
+    weighed.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max(gain).alias("most")).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, record_id: str, carry: list[str], match_all: bool, k: int, only: dict[str, list] | None = None) -> DataFrame:
+    """``(query_id, record_id, …, score, rank)``: the first ``k`` records of each query by BM25, from a stored index.
+
+    Only the buckets of the queries' terms are read, and of them only those terms. ``only`` keeps records by the values of carried columns;
+    weights stay those of the whole corpus. A query without any word is an error if all terms must match.
+    """
+    asked = queries.select("query_id", F.explode_outer(F.array_distinct(terms(F.col("query")))).alias("term"))
+    if match_all and asked.where("term IS NULL").head(1):
+        raise ValueError("a query has no word")
+    corpus = spark.read.parquet(f"{path}/corpus").first()
+    asked = asked.where("term IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(corpus["buckets"])).cast("int"))
+    wanted = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # at most the buckets
+    in_them = lambda what: spark.read.parquet(f"{path}/{what}").where(F.col("bucket").isin(wanted)) if wanted else spark.read.parquet(f"{path}/{what}").where(F.lit(False))
+    listed = [r["term"] for r in asked.select("term").limit(QUERY_TERMS + 1).collect()]
+    few = len(listed) <= QUERY_TERMS
+    posted = in_them("postings")
+    posted = posted.where(F.col("term").isin(sorted(set(listed)))) if few else posted
+    for column, values in (only or {}).items():
+        posted = posted.where(F.col(column).isin(values))
+    weights = asked.join(in_them("terms").select("bucket", "term", "df"), ["bucket", "term"])
+    n, mean = F.lit(corpus["n"]), F.lit(corpus["avg_len"])
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
+    scored = posted.join(F.broadcast(weights) if few else weights, ["bucket", "term"]).groupBy("query_id", record_id, *carry).agg(F.sum(gain).alias("score"), F.count("*").alias("met"))
+    if match_all:
+        scored = scored.join(asked.groupBy("query_id").agg(F.count("*").alias("n_terms")), "query_id").where(F.col("met") == F.col("n_terms"))
+    rounded = scored.select("query_id", record_id, *carry, F.round("score", 6).alias("score"))
+    return top(rounded, ["query_id"], [F.desc("score"), record_id], k)
+
+
 def collapse(hits: DataFrame, group: str, record_id: str, k: int) -> DataFrame:
     """The best record of each group, then the first k groups of each query, by score and then key."""
     best = hits.groupBy("query_id", group).agg(F.max(F.struct("score", (-F.col(record_id)).alias("at"))).alias("b"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as ops
-from ..sources.tables import table
+from ..sources.tables import scratch, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -52,6 +52,38 @@ QUERIES["bm25_collapse"] = bm25_collapse
 SQL["bm25_collapse"] = _BM25 + """, b AS (SELECT query_id, source, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS r FROM s) WHERE r = 1)
 SELECT query_id, source, doc_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source) AS rank FROM b) WHERE rank <= 100"""
 
+
+
+def _indexed(spark: SparkSession, d: str) -> str:
+    """Documents as a stored index."""
+    path = scratch(spark)
+    ops.write_index(table(spark, d, "documents"), "doc_id", "text", ["source", "lang"], path)
+    return path
+
+
+def fts_index(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of the stored index with their documents and their largest gain."""
+    return spark.read.parquet(f"{_indexed(spark, d)}/terms").select("term", "df", F.round("most", 6).alias("most"))
+
+
+def fts_and_query(spark: SparkSession, d: str) -> DataFrame:
+    """For each query the 20 best documents that hold all its terms, of the buckets of these terms."""
+    return ops.search_index(spark, _indexed(spark, d), asked(spark), "doc_id", ["source", "lang"], True, 20).select("query_id", "doc_id", "score", "rank")
+
+
+def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """For each query the 20 best English or German documents that hold any of its terms."""
+    hits = ops.search_index(spark, _indexed(spark, d), asked(spark), "doc_id", ["source", "lang"], False, 20, {"lang": ["en", "de"]})
+    return hits.select("query_id", "doc_id", "lang", "score", "rank")
+
+
+QUERIES |= {"fts_index": fts_index, "fts_and_query": fts_and_query, "bm25_filtered": bm25_filtered}
+SQL["fts_index"] = r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM documents), z AS (SELECT avg(len(t)) AS al FROM t),
+p AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM t) GROUP BY ALL)
+SELECT term, count(*) AS df, round(max(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))), 6) AS most FROM p, z GROUP BY 1"""
+SQL["fts_and_query"] = SQL["bm25_and_topk"]
+SQL["bm25_filtered"] = _BM25 + "SELECT query_id, doc_id, lang, score, rank::INTEGER AS rank FROM (SELECT query_id, doc_id, lang, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE lang IN ('en', 'de')) WHERE rank <= 20"
+
 _COS = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS qv FROM e WHERE vec_id IN (7, 77, 177)),
 h AS (SELECT query_id::INTEGER AS query_id, vec_id, label, round(list_dot_product(v, qv) / sqrt(list_dot_product(v, v) * list_dot_product(qv, qv)), 6) AS score FROM e, q)
 """
