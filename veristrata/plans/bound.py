@@ -494,11 +494,14 @@ def lexical_rules(s: SparkSession, d: str) -> DataFrame:
     return text.rule_hits(rows, "p_partkey", "t", rules, ("off",)).select("p_partkey", "rule", "found")
 
 
-@query("""SELECT p_partkey, '지난해' AS time_ref, '2023' AS time_abs, '연' AS time_span, CAST(p_size AS VARCHAR) AS value_list FROM part""")
+@query("""SELECT p_partkey, '지난해' AS time_ref, '2023' AS time_abs, '연' AS time_span, CAST(p_size AS VARCHAR) AS value_list, '실업률' AS about, 'EXPLICIT' AS about_status FROM part UNION ALL SELECT p_partkey, '올해', '2024', '연', CAST(p_size + 1 AS VARCHAR),
+  CASE WHEN p_partkey % 4 = 0 THEN '고용률' WHEN p_size % 2 = 1 THEN '실업률' END, CASE WHEN p_partkey % 4 = 0 THEN 'REFERENT_CANDIDATE' WHEN p_size % 2 = 0 THEN 'AMBIGUOUS' ELSE 'RESOLVED' END FROM part""")
 def article_extract(s: SparkSession, d: str) -> DataFrame:
-    """Articles of two sentences, of which one holds a value."""
-    p = table(s, d, "part").select("p_partkey", F.format_string("값이 없다. 지난해 실업률은 %d%%였다.", C("p_size")).alias("body"), F.lit("2024-05-01").alias("published"))
-    return text.article_extract(p, "body", "published").select("p_partkey", "time_ref", "time_abs", "time_span", "value_list")
+    """Articles with two values, the second of no indicator of its own: after one indicator, after two, or long after both, under a title that names one."""
+    far = F.when(C("p_partkey") % 4 == 0, " 그렇다. 아니다. 그렇다.").otherwise("")
+    body = F.concat(F.lit("값이 없다. 지난해 실업률은 "), C("p_size").cast("string"), F.lit("%였다."), F.when(C("p_size") % 2 == 0, " 고용률은 올랐다.").otherwise(""), far, F.lit(" 올해는 "), (C("p_size") + 1).cast("string"), F.lit("%다."))
+    p = table(s, d, "part").select("p_partkey", body.alias("body"), F.lit("2024-05-01").alias("published"), F.lit("고용률 오르다").alias("title"))
+    return text.article_extract(p, "body", "published", "title").select("p_partkey", "time_ref", "time_abs", "time_span", "value_list", "about", "about_status")
 
 
 @query("""SELECT p_partkey, concat('value_unit:', p_size, '%|', CASE WHEN p_size % 2 = 0 THEN 'dimension:부산|' ELSE '' END, 'time:지난해') AS spans FROM part""")
