@@ -62,9 +62,9 @@ POINT_ENDS = (
 )
 LEVEL_ENDS = ("비율", "비중", "점유율", "연체율", "고용률", "실업률", "출산율", "증가세")
 MOVES = ("늘어", "늘었", "증가", "줄어", "줄었", "감소", "상승", "하락", "올랐", "내렸", "급증", "급감", "확대", "축소", "뛰", "떨어")
-MOVES_AT_ONCE = (*MOVES, "오른", "내려")
+MOVES_AT_ONCE = ("늘어", "늘었", "증가", "줄어", "줄었", "감소", "상승", "하락", "올랐", "내렸", "급증", "급감", "확대", "축소", "뛰", "떨어", "오른", "내려")
 MODERATORS = ("약", "대략", "가량", "정도", "넘게", "더")
-#: The value is what something was, became or was counted as.
+#: The value is what something was, became or was counted as (fixed value).
 COMPLEMENT = r"^\s*(?:이었|였|이다|이며|이고|다(?:\s|[.,]|$)|으로\s*(?:집계|기록|나타|내렸|올랐))"
 
 
