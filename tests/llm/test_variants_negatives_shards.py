@@ -151,6 +151,9 @@ def test_negatives_odd_rows(spark):
     assert sorted(r.id for r in ready.collect()) == [0, 6, 7]
     got = [tuple(r) for r in negatives.mine(ready, ready.where("id = 0")).collect()]
     assert got == [(0, 6, 1, 7, 256 * 230, 256 * 153)]
+    table = lambda r: spark.createDataFrame(r, "id bigint, label bigint, v array<bigint>")
+    several = table([(0, 2, [9, 9]), (0, 1, [10, 0]), (0, 1, [10, 0]), (1, 1, [10, 0]), (2, 2, [7, 1]), (2, 2, [8, 0]), (3, 3, []), (4, 1, [])])
+    assert sorted(tuple(r) for r in negatives.mine(several, several.where("id = 0 OR id = 3")).collect()) == [(0, 1, 1, 2, 100, 80), (0, 1, 2, 2, 100, 70)]
     assert negatives.mine(ready.limit(0), ready.limit(0)).count() == 0 and negatives.mine(ready, ready.limit(0)).count() == 0
 
 

@@ -328,15 +328,15 @@ def mine(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int
     ``rows`` and ``anchors`` are ``(id, label, v)`` of whole numbers; a score is the inner product with the anchor, higher
     ones come first, ties by smaller id. An anchor's positives are its first other rows of its label; for each, the first rows of other labels are returned
     whose score is within ``percent`` of the positive's. Vectors of each length are mined by themselves.
-    Rows of one id, label and vector count once; rows of one id are never each other's result; anchors of one id and several vectors or labels are refused.
+    Rows of one id, label and vector count once, and of one id with several vectors or labels each; rows of one id are never each other's
+    result, and the anchor is the one of the smallest label, then vector. Vectors without components take no part.
     Fewer are returned if there are fewer; an empty table gives an empty result. Inner products must fit 64 bits.
     """
     spark = rows.sparkSession
     ship(spark)
     out = spark.createDataFrame([], "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint")
-    rows, anchors = cut(rows.distinct()), cut(anchors.distinct())
-    if anchors.groupBy("id").count().where("count > 1").head(1):
-        raise ValueError("anchors of one id must have one vector and label")
+    rows = cut(rows.where(F.size("v") > 0).distinct())
+    anchors = cut(anchors.where(F.size("v") > 0).groupBy("id").agg(F.min(F.struct("label", "v")).alias("a")).select("id", "a.label", "a.v"))
     for dim in sorted(r["dim"] for r in anchors.select(F.size("v").alias("dim")).distinct().collect()):  # one row a length
         ours, theirs = (x.where(F.size("v") == dim) for x in (rows, anchors))
         out = out.unionByName(_mine(ours, theirs, dim, positives, negatives, percent))
@@ -349,9 +349,7 @@ def _mine(rows: DataFrame, anchors: DataFrame, dim: int, positives: int, negativ
     rows = cut(rows.withColumn("place", rank).where(F.col("place") <= max(positives, negatives) + 1).drop("place"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     seen = rows.agg(F.count("*").alias("n"), F.max(square).alias("m")).first()
-    if not seen["n"] or not dim:
-        if not dim and seen["n"]:
-            raise ValueError("vectors without components have no scores")
+    if not seen["n"]:
         return rows.sparkSession.createDataFrame([], "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint")
     stored, directory = store(rows, dim, seen["n"], float(np.sqrt(seen["m"])))
     least, most = (F.lit(x).cast("bigint") for x in (-(2**62), 2**62))
