@@ -5,59 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.legacy import canonical_absolute
-from ..functions.period import normalize_time
-from . import context, routing, text
-
-
-def value_spans(articles: DataFrame) -> DataFrame:
-    """One row a value: article_idx, sentence_id, sentence, span_id, value, unit, char_start, char_end (in the article), tail (the 20 characters behind)."""
-    s = text.sentences(articles.select("article_idx", "article_text"), "article_text")
-    pairs = s.select("article_idx", "sentence_id", F.col("char_start").alias("s0"), F.col("text").alias("sentence"), F.explode(text.clean_pairs(text.value_unit_pairs(F.col("text")))).alias("p"))
-    a, b = F.col("s0") + F.col("p.char_start"), F.col("s0") + F.col("p.char_end")
-    after = F.substring(F.col("sentence"), F.col("p.char_end") + 1, F.lit(60))
-    tail = F.substring(F.regexp_replace(after, rf"^\s*(?:{text.UNIT})", ""), 1, 20)  # what follows the value and its unit
-    span_id = F.format_string("s%d:value_unit:%d-%d", "sentence_id", a, b)
-    return pairs.select("article_idx", "sentence_id", "sentence", span_id.alias("span_id"), F.col("p.value").alias("value"), F.col("p.unit").alias("unit"), a.alias("char_start"), b.alias("char_end"), tail.alias("tail"))
-
-
-def assign_roles(values: DataFrame, layout: DataFrame) -> DataFrame:
-    """Each value with its region's source and the indicator and period that hold for it.
-
-    ``layout(article_idx, sentence_id, opens, governing, subtype, indicator, period_raw)``, one row
-    a sentence. What the sentence itself names comes first; else the nearest earlier sentence
-    that names it, unless that lies before the region begins. Layout is small beside the text,
-    and all joins are on (article, sentence), so one shuffle key serves every layer.
-    """
-    graph = layout.select(F.col("article_idx").alias("article"), F.col("sentence_id").alias("sid"), "opens", "governing")
-    region = context.region_chain(graph).select(F.col("article").alias("article_idx"), F.col("sid").alias("sentence_id"), "region")
-    sources = layout.where("opens").select("article_idx", F.col("sentence_id").alias("region"), F.col("subtype").alias("source_subtype"))
-    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
-    carried = context.inherit(layout, ["article_idx"], "sentence_id", blank("indicator"), "i")
-    carried = context.inherit(carried, ["article_idx"], "sentence_id", blank("period_raw"), "t")
-    full = carried.join(region, ["article_idx", "sentence_id"], "left").join(sources, ["article_idx", "region"], "left")
-    usable = lambda c: F.when(F.col("region").isNull() | (F.col(f"{c}_from") >= F.col("region")), F.col(c))
-    own = full.select(
-        "article_idx", "sentence_id", "region", "source_subtype", F.coalesce(blank("indicator"), usable("i")).alias("indicator"),
-        F.when(blank("indicator").isNotNull(), "LOCAL").when(usable("i").isNotNull(), "INHERITED").otherwise("NONE").alias("indicator_source"),
-        F.coalesce(blank("period_raw"), usable("t")).alias("period_raw"),
-    )
-    return values.join(own, ["article_idx", "sentence_id"], "left")
+from . import fields, roles, routing
 
 
 def compose_and_route(assigned: DataFrame, articles: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Adds measurement type, absolute period, comparison basis and baseline, routing and query variants."""
+    """Adds the fields that a value is searched by, routing and query variants."""
     dated = assigned.join(articles.select("article_idx", F.to_date("date").alias("published")), "article_idx")
-    out = dated.withColumn("measurement", routing.measurement_type(F.coalesce("indicator", F.lit("")), F.col("unit"), F.col("tail")))
-    out = out.withColumn("period", canonical_absolute(normalize_time(F.col("period_raw"), F.col("published"))))
-    out = out.withColumn("basis", routing.comparison_basis(F.col("sentence"), F.col("measurement")))
-    out = out.withColumn("baseline", routing.baseline_period(F.col("period"), F.col("basis")))
-    routed = routing.route(F.col("source_subtype"), F.col("indicator"), F.concat("value", "unit"), F.lit(False), threshold)
-    return out.withColumn("r", routed).select("*", "r.routing_class", "r.confidence", "r.reason", routing.query_variants(F.coalesce("indicator", F.lit("")), F.lit(""), F.col("sentence")).alias("queries")).drop("r", "published")
+    out = fields.compose_fields(dated, F.col("published"))
+    routed = routing.route(F.col("source_subtype"), F.col("label"), F.concat("value", "unit"), F.col("clarify"), threshold)
+    variants = routing.query_variants(F.col("label"), F.coalesce(F.get("item", F.lit(0)), F.lit("")), F.col("sentence"))
+    return out.withColumn("r", routed).select("*", "r.routing_class", "r.confidence", "r.reason", variants.alias("queries")).drop("r", "published")
 
 
 def run_stack(articles: DataFrame, layout: DataFrame) -> DataFrame:
-    return compose_and_route(assign_roles(value_spans(articles), layout), articles)
+    """Every value of the articles with its roles, fields and route; ``layout`` as of ``roles.assign_roles``, ``articles(article_idx, article_text, date)``."""
+    return compose_and_route(roles.assign_roles(roles.sentence_values(articles), layout), articles)
 
 
 def query_register(targets: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 V = "VARCHAR"
 
-ARTICLES = [("a1", "t", "국가데이터처가 2025년 3월 고용동향을 발표했다. 실업률은 3.1%를 기록했다. 전년 동월보다 0.2%p 올랐다. 한 민간업체는 5%로 봤다.", "2025-04-10")]
+ARTICLES = [("a1", "t", "국가데이터처가 2025년 3월 고용동향을 발표했다. 3월 실업률은 3.1%를 기록했다. 전년 동월보다 0.2%p 올랐다. 한 민간업체는 5%로 봤다.", "2025-04-10")]
 LAYOUT = [("a1", 0, True, None, "공식집계", "", "2025년 3월"), ("a1", 1, False, 0, "", "실업률", ""), ("a1", 2, False, 1, "", "", ""), ("a1", 3, True, None, "민간조사", "실업률 전망", "")]
 CELLS = [("실업률", "2025-03", "3.1", "%"), ("실업률", "2024-03", "2.9", "%")]
 
@@ -68,7 +68,7 @@ def verify_articles(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES["verify_articles"] = verify_articles
 SQL["verify_articles"] = _literal([(n, V) for n in ("target_id", "value", "status", "verdict")], [
-    ("a1:s1:value_unit:34-37", "3.1", "MATCH", "VERIFIED"), ("a1:s2:value_unit:54-57", "0.2", "MATCH", "VERIFIED"), ("a1:s3:value_unit:73-74", "5", "SOURCE_SUBTYPE_민간조사", "UNVERIFIABLE"),
+    ("a1:s1:value_unit:37-41", "3.1", "MATCH", "VERIFIED"), ("a1:s2:value_unit:57-62", "0.2", "MATCH", "VERIFIED"), ("a1:s3:value_unit:76-78", "5", "SOURCE_SUBTYPE_민간조사", "UNVERIFIABLE"),
 ])
 
 QUERIES["query_register"] = lambda s, d: layers.query_register(s.createDataFrame([("t1", "실업률", "청년", "청년 실업률 3.2%"), ("t2", "고용률", "", "1,000")], "target_id string, indicator string, item string, sentence string"))
