@@ -1,11 +1,11 @@
-"""Fields of a value, and where it goes: measurement type, comparison basis, routing, query variants."""
+"""Fields of a value, and where it goes: measurement type, terms, routing, query variants."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.period import let, shift_period
+from ..functions.period import let
 
 # Fixed values of the vocabulary.
 OFFICIAL = "공식집계"
@@ -30,30 +30,6 @@ def route(subtype: Column, indicator: Column, value_text: Column, clarify: Colum
     )
 
 
-def comparison_basis(sentence: Column, measurement: Column) -> Column:
-    """YOY, MOM, QOQ or PERIOD_TO_PERIOD of a change; NONE for levels, without a basis, or with two."""
-    cues = {
-        "YOY": r"전년|작년\s*같은|지난해\s*같은|전년\s*동월|전년\s*동기", "MOM": r"전월|전달", "QOQ": r"전분기|직전\s*분기", "PERIOD_TO_PERIOD": r"에서\s+\S+로",
-    }
-    found = F.array_compact(F.array(*[F.when(sentence.rlike(p), F.lit(k)) for k, p in cues.items()]))
-    return F.when(measurement.startswith("CHANGE_") & (F.size(found) == 1), found[0]).otherwise("NONE")
-
-
-def baseline_period(measured: Column, basis: Column) -> Column:
-    """The period that a measured one is compared with: a year, a month or a quarter before; empty otherwise."""
-    return let(measured, lambda m: _baseline(m, basis))
-
-
-def _baseline(measured: Column, basis: Column) -> Column:
-    by_unit = F.when(measured.rlike(r"^\d{4}-\d{2}$"), -12).when(measured.rlike(r"^\d{4}-Q\d$"), -4).otherwise(-1)
-    out = (
-        F.when(basis == "YOY", shift_period(measured, by_unit))
-        .when((basis == "MOM") & measured.rlike(r"^\d{4}-\d{2}$"), shift_period(measured, F.lit(-1)))
-        .when((basis == "QOQ") & measured.rlike(r"^\d{4}-Q\d$"), shift_period(measured, F.lit(-1)))
-    )
-    return F.coalesce(out, F.lit(""))
-
-
 #: Ends of an indicator that tell what it measures, and words for a move after the value (fixed values).
 RATE_ENDS = ("증가율", "감소율", "상승률", "하락률", "증감률", "변화율", "변동률", "성장률")
 POINT_ENDS = (

@@ -167,10 +167,6 @@ made("population_terms", "part", ["p_partkey"], {"ind": "CASE WHEN p_partkey % 3
      lambda: [F.array_join(routing.population_terms(C("ind"), C("s")), ",").alias("people")], {"people": "CASE WHEN p_partkey % 3 = 0 THEN '청년,근로자' WHEN p_size % 2 = 0 THEN '취업자,가구' ELSE '' END"})
 made("dimension_terms", "part", ["p_partkey"], {"ind": "CASE WHEN p_partkey % 3 = 0 THEN '서울 제조업 생산' ELSE p_name END", "s": "CASE WHEN p_size % 2 = 0 THEN '부산과 비수도권에서 청년층' ELSE p_type END"},
      lambda: [F.array_join(routing.dimension_terms(C("ind"), C("s")), ",").alias("facets")], {"facets": "CASE WHEN p_partkey % 3 = 0 THEN '서울,제조업' WHEN p_size % 2 = 0 THEN '부산,비수도권,청년층' ELSE '' END"})
-made("period_pair", "orders", O, {"y": _Y, "m": _M, "k": "o_custkey % 5", "s": pick("o_custkey", "전년 동월보다 3% 늘었다", "전년 동월과 전월보다 늘었다", "전월보다", "직전 분기보다", "작년 같은 달보다"), "mt": pick("o_orderkey", "CHANGE_RATE", "CHANGE_POINT", "LEVEL"), "p": "CASE WHEN k = 3 THEN concat(y, '-Q', CAST(quarter(o_orderdate) AS INT)) ELSE concat(y, '-', lpad(CAST(m AS STRING), 2, '0')) END"},
-     lambda: ["s", "mt", routing.comparison_basis(C("s"), C("mt")).alias("basis"), routing.baseline_period(C("p"), routing.comparison_basis(C("s"), C("mt"))).alias("baseline")],
-     {"s": "s", "mt": "mt", "basis": "CASE WHEN mt = 'LEVEL' OR k = 1 THEN 'NONE' WHEN k IN (0, 4) THEN 'YOY' WHEN k = 2 THEN 'MOM' ELSE 'QOQ' END",
-      "baseline": "CASE WHEN mt = 'LEVEL' OR k = 1 THEN '' WHEN k IN (0, 4) THEN strftime(date_trunc('month', o_orderdate) - INTERVAL 12 MONTH, '%Y-%m') WHEN k = 2 THEN strftime(date_trunc('month', o_orderdate) - INTERVAL 1 MONTH, '%Y-%m') ELSE concat(year(date_trunc('quarter', o_orderdate) - INTERVAL 3 MONTH), '-Q', quarter(date_trunc('quarter', o_orderdate) - INTERVAL 3 MONTH)) END"})
 made("query_variants", "part", ["p_partkey"], {"ind": "CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name END", "item": "CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN p_type ELSE '' END", "s": "concat(p_type, '  ', p_size, '.5 명')"},
      lambda: [F.array_join(F.transform(routing.query_variants(C("ind"), C("item"), C("s")), lambda x: F.concat_ws(":", x["role"], x["query"])), "|").alias("variants")],
      {"variants": "concat(CASE WHEN ind <> '' THEN concat('indicator:', ind, '|') ELSE '' END, CASE WHEN item <> '' AND NOT contains(ind, item) THEN concat('item:', item, '|') ELSE '' END, 'sentence:', p_type, ' 명')"})

@@ -112,18 +112,6 @@ def route(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["route"] = route
 SQL["route"] = _literal([("id", "VARCHAR"), ("routing_class", "VARCHAR"), ("confidence", "DOUBLE"), ("reason", "VARCHAR")], [(r[0], *r[5:]) for r in ROUTES])
 
-BASES = [("전년 동월보다 3% 늘었다", "CHANGE_RATE", "2024-03", "YOY", "2023-03"), ("전년 동월과 전월보다 늘었다", "CHANGE_RATE", "2024-03", "NONE", ""), ("전월보다", "CHANGE_POINT", "2024-01", "MOM", "2023-12"), ("전분기보다", "CHANGE_RATE", "2024-Q1", "QOQ", "2023-Q4"), ("전년보다", "LEVEL", "2024", "NONE", "")]
-
-
-def period_pair(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:3] for r in BASES], "s string, m string, p string").withColumn("basis", routing.comparison_basis(F.col("s"), F.col("m")))
-    return rows.select("s", "basis", routing.baseline_period(F.col("p"), F.col("basis")).alias("baseline"))
-
-
-QUERIES["period_pair"] = period_pair
-SQL["period_pair"] = _literal([("s", "VARCHAR"), ("basis", "VARCHAR"), ("baseline", "VARCHAR")], [(r[0], r[3], r[4]) for r in BASES])
-
-
 def unique_resolve(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers' offers as projections: a nation is resolved if one supplier fits."""
     p = table(spark, d, "supplier").select(F.col("s_nationkey").alias("target_id"), F.when(F.col("s_acctbal") > 8000, F.col("s_name")).alias("signature"), F.when(F.col("s_acctbal") < 0, "UNIT_MISMATCH").otherwise("ITEM_MISSING").alias("reason"))
