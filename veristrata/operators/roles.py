@@ -17,12 +17,12 @@ OPEN_STATES = ("MISSING", "AMBIGUOUS")
 
 
 def sentence_values(articles: DataFrame) -> DataFrame:
-    """One row a sentence: ``(article_idx, sentence_id, sentence, char_start, values, regions)``.
+    """One row a sentence that holds a digit: ``(article_idx, sentence_id, sentence, char_start, values, regions)``.
 
     ``values`` are its values with units in order of place (``at``, ``end`` within the sentence, unit
     included), ``regions`` its different region names.
     """
-    s = text.sentences(articles.select("article_idx", "article_text"), "article_text")
+    s = text.sentences(articles.select("article_idx", "article_text"), "article_text").where(F.col("text").rlike(r"\p{Nd}"))  # no value without one
     found = s.select("article_idx", "sentence_id", F.col("text").alias("sentence"), "char_start", text.candidates(F.col("text")).alias("found"))
     spans = F.transform(F.filter("found", lambda c: c["kind"] == "value_unit"), lambda c: F.struct(c["char_start"].alias("at"), c["char_end"].alias("end"), c["value"].alias("value"), c["unit"].alias("unit")))
     regions = F.transform(F.filter("found", lambda c: c["facet"] == "지역"), lambda c: F.struct(c["char_start"].alias("at"), c["char_end"].alias("end"), c["text"].alias("text")))

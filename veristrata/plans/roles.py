@@ -1,4 +1,4 @@
-"""Roles and fields of the values of made articles: an order an article, a line a sentence, of four shapes in the order that the table gives."""
+"""Roles and fields of the values of made articles: a customer an article, an order a sentence, of four shapes in the order that the table gives."""
 
 from __future__ import annotations
 
@@ -11,17 +11,18 @@ from ..sources.tables import table
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-# Both engines read these: lines in order, their shape, a number, a month, and whether a line begins a region of its own.
-_LINES = """SELECT l_orderkey AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS sid, l_partkey % 4 AS k, CAST(l_quantity AS INT) AS q, CAST(l_quantity AS INT) % 12 + 1 AS m,
-  l_returnflag = 'R' AND l_suppkey % 3 = 0 AS opens FROM lineitem"""
+# Both engines read these: orders of a customer in order, their shape, a number, a month, and whether a sentence begins a region of its own.
+_LINES = """SELECT o_custkey AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS sid, o_orderkey % 4 AS k, CAST(floor(o_totalprice) AS INT) % 90 AS q, CAST(floor(o_totalprice) AS INT) % 12 + 1 AS m,
+  o_orderstatus = 'F' AND CAST(floor(o_totalprice) AS INT) % 5 = 0 AS opens, o_orderdate FROM orders"""
 _SENTENCE = "CASE k WHEN 0 THEN concat('서울 수출은 전년 동월보다 ', q, '% 늘었다.') WHEN 1 THEN concat('서울 생산은 ', q, '%, 부산 소비는 ', q + 1, '% 줄었다.') WHEN 2 THEN concat('증가율은 ', q, '%였다.') ELSE concat(m, '월에는 전월보다 ', q, '% 올랐다.') END"
 
 
 def made_articles(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Articles, each opened by a sentence that dates it, and their layout: labels with places (shapes 0 and 1), without (2) and none (3)."""
-    lines = s.sql(_LINES.replace("lineitem", "{lineitem}"), lineitem=table(s, d, "lineitem")).withColumn("said", F.expr(_SENTENCE))
-    orders = table(s, d, "orders").select(F.col("o_orderkey").alias("a"), "o_orderstatus", F.to_date("o_orderdate").alias("day"))
-    each = lines.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("sid", "said", "k", "q", "opens"))).alias("lines")).join(orders, "a")
+    tasks = max(s.sparkContext.defaultParallelism, int(s.conf.get("spark.sql.shuffle.partitions")))
+    orders = table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate").repartition(tasks, "o_custkey")  # the one shuffle of window and groups; texts cost more than their bytes tell
+    lines = s.sql(_LINES.replace("FROM orders", "FROM {orders}"), orders=orders).withColumn("said", F.expr(_SENTENCE))
+    each = lines.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("sid", "said", "k", "q", "opens"))).alias("lines"), F.max(F.to_date("o_orderdate")).alias("day"))
     dated = F.concat(F.year("day").cast("string"), F.lit("년 "), F.month("day").cast("string"), F.lit("월"))
     body = F.concat_ws(" ", F.concat(F.lit("통계청이 "), dated, F.lit(" 자료를 냈다.")), F.array_join(F.transform("lines", lambda x: x["said"]), " "))
     articles = each.select(F.col("a").cast("string").alias("article_idx"), body.alias("article_text"), F.col("day").cast("string").alias("date"))
@@ -32,7 +33,7 @@ def made_articles(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         .when(F.col("x.k") == 2, F.array(label("증가율")))
     )
     key = F.col("a").cast("string").alias("article_idx")
-    subtype = F.when(F.col("o_orderstatus") == "F", "공식집계").otherwise("민간조사")
+    subtype = F.when(F.col("a") % 2 == 0, "공식집계").otherwise("민간조사")
     first = each.select(key, F.lit(0).alias("sentence_id"), F.lit(True).alias("opens"), F.lit(None).cast("int").alias("governing"), subtype.alias("subtype"), F.lit(None).cast(roles.SCOPES).alias("scopes"), dated.alias("period_raw"))
     sid = F.col("x.sid").cast("int")
     rest = each.select("*", F.explode("lines").alias("x")).select(key, sid.alias("sentence_id"), F.col("x.opens").alias("opens"), (sid - 1).alias("governing"), F.when(F.col("x.opens"), "정책목표").otherwise("").alias("subtype"), scopes.alias("scopes"), F.lit("").alias("period_raw"))
@@ -40,11 +41,11 @@ def made_articles(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 # What holds for each value, computed from the lines: regions and the last label before by windows.
-_HELD = f"""l AS ({_LINES}), s AS (SELECT a, 0 AS sid, -1 AS k, 0 AS q, 0 AS m, true AS opens FROM (SELECT DISTINCT a FROM l) UNION ALL SELECT * FROM l),
+_HELD = f"""l AS ({_LINES}), s AS (SELECT a, 0 AS sid, -1 AS k, 0 AS q, 0 AS m, true AS opens, max(o_orderdate) AS o_orderdate FROM l GROUP BY a UNION ALL SELECT * FROM l),
 w AS (SELECT *, CASE k WHEN 0 THEN '수출' WHEN 1 THEN '소비' WHEN 2 THEN '증가율' END AS own, max(CASE WHEN opens THEN sid END) OVER r AS region,
   last_value(CASE k WHEN 0 THEN '수출' WHEN 1 THEN '소비' WHEN 2 THEN '증가율' END IGNORE NULLS) OVER b AS head0, max(CASE WHEN k IN (0, 1, 2) THEN sid END) OVER b AS head_sid, lag(k) OVER o AS k_before, lag(m) OVER o AS m_before
   FROM s WINDOW o AS (PARTITION BY a ORDER BY sid), r AS (PARTITION BY a ORDER BY sid ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY a ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-h AS (SELECT *, CASE WHEN head_sid >= region THEN head0 END AS head, o_orderdate::DATE AS day, o_orderstatus FROM w JOIN orders ON o_orderkey = a WHERE k >= 0),
+h AS (SELECT *, CASE WHEN head_sid >= region THEN head0 END AS head, last_day AS day FROM (SELECT *, max(o_orderdate) OVER (PARTITION BY a)::DATE AS last_day FROM w) WHERE k >= 0),
 v AS (SELECT h.*, p.place, CASE WHEN k = 1 AND p.place = 0 THEN '생산' ELSE own END AS said FROM h, (VALUES (0), (1)) p(place) WHERE p.place = 0 OR k = 1)"""
 
 
@@ -58,7 +59,7 @@ def assign_roles(s: SparkSession, d: str) -> DataFrame:
 QUERIES["assign_roles"] = assign_roles
 SQL["assign_roles"] = f"""WITH {_HELD} SELECT a::VARCHAR AS article_idx, sid::INTEGER AS sentence_id, (q + place)::VARCHAR AS value, CASE WHEN k = 2 AND head IN ('수출', '소비') THEN concat(head, ' 증가율') WHEN k = 3 THEN head ELSE said END AS indicator,
   CASE WHEN k = 2 AND head IN ('수출', '소비') THEN 'LOCAL_COMPOSED' WHEN k < 3 THEN 'LOCAL' WHEN head IS NOT NULL THEN 'INHERITED' ELSE 'NONE' END AS indicator_source, CASE k WHEN 1 THEN 'SPAN_NEAREST' WHEN 3 THEN NULL ELSE 'POSITIONAL' END AS indicator_pairing,
-  region::INTEGER AS region, CASE WHEN region > 0 THEN '정책목표' WHEN o_orderstatus = 'F' THEN '공식집계' ELSE '민간조사' END AS source_subtype,
+  region::INTEGER AS region, CASE WHEN region > 0 THEN '정책목표' WHEN a % 2 = 0 THEN '공식집계' ELSE '민간조사' END AS source_subtype,
   CASE WHEN k = 3 THEN concat(m, '월') WHEN region = 0 THEN concat(year(day), '년 ', month(day), '월') ELSE '' END AS period_raw, CASE WHEN k = 3 THEN 'LOCAL_SENTENCE_FALLBACK' WHEN region = 0 THEN 'INHERITED' ELSE 'NONE' END AS period_source,
   CASE k WHEN 0 THEN 'EXACT' WHEN 1 THEN 'AMBIGUOUS' END AS region_status, CASE WHEN k = 0 THEN '서울' END AS region_surface FROM v"""
 
