@@ -296,3 +296,24 @@ def test_cache_and_crawl(spark):
     for stop in (1, 2, 3):
         assert {tuple(r) for r in state.crawl(state.crawl(seeds, pages_, steps=stop), pages_).collect()} == whole
     assert state.crawl(seeds.limit(0), pages_).count() == 0
+
+
+def test_plan_inventory_meets_only_what_a_plan_names(spark):
+    """Items, values and levels of odd shape; no plan's row holds all items or values of its table."""
+    from pyspark.sql import functions as F
+
+    from veristrata.operators import scope
+
+    profiles = spark.createDataFrame(
+        [("t", [(1, "a"), (1, "b"), (2, "c")], [("Y", 1995, 2001)], [(1, "A", [("x", ""), (None, "")]), (2, "B", [("y", "")])]), ("bare", None, None, None), ("flat", [(7, "q")], [("Y", 1, 9)], None)],
+        "table_key string, items array<struct<itm_id:bigint,itm_nm:string>>, periods array<struct<freq:string,lo:int,hi:int>>, dimensions array<struct<level:int,obj_id:string,vals:array<struct<value_id:string,value_name:string>>>>",
+    )
+    rows = [
+        ("sound", "t", 1, "Y", 1995, ["x", "y"], ""), ("twice", "t", 1, "Y", 1995, ["x", "y"], ""), ("swapped", "t", 2, "Y", 1995, ["y", "x"], "OBJ_LEVEL_VALUE"), ("short", "t", 2, "Y", 1995, ["x"], "OBJ_LEVEL_KEYS,OBJ_LEVEL_VALUE"),
+        ("long", "t", 2, "Y", 1995, ["x", "y", "x"], "OBJ_LEVEL_KEYS,OBJ_LEVEL_VALUE"), ("null value", "t", 2, "Y", 1995, [None, "y"], "OBJ_LEVEL_VALUE"), ("no levels", "t", 2, "Y", 1995, None, ""), ("no item", "t", None, "Q", 1995, ["x", "y"], "ITEM_ID_OR_UNIT,PERIOD_RANGE"),
+        ("bad", "t", 9, "Z", 1, ["x", "y"], "ITEM_ID_OR_UNIT,PERIOD_PARAMETER"), ("bare", "bare", 1, "Y", 1, [], "TABLE_ID_MISMATCH,ITEM_ID_OR_UNIT,PERIOD_RANGE"), ("null table", None, 1, "Y", 1, ["x"], "TABLE_ID_MISMATCH,ITEM_ID_OR_UNIT,PERIOD_RANGE,OBJ_LEVEL_KEYS,OBJ_LEVEL_VALUE"), ("flat", "flat", 7, "Y", 5, [], ""),
+    ]
+    plans = spark.createDataFrame([r[:6] for r in rows], "target_id string, table_key string, itm_id bigint, freq string, ord int, levels array<string>")
+    out = scope.plan_inventory(plans, profiles)
+    assert {r.target_id: ",".join(r.errors) for r in out.collect()} == {r[0]: r[6] for r in rows}
+    assert "exists(items" not in out.select(F.col("errors"))._jdf.queryExecution().optimizedPlan().toString()

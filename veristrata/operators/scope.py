@@ -110,16 +110,28 @@ def clarify(rows: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def plan_inventory(plans: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Each plan ``(target_id, table_key, itm_id, freq, ord, levels)`` with the codes of what its profile does not hold."""
-    joined = plans.join(profiles, "table_key", "left")
-    no_item = ~F.coalesce(F.exists("items", lambda i: i["itm_id"].cast("string") == F.col("itm_id").cast("string")), F.lit(False))
-    no_period = ~F.coalesce(F.exists("periods", lambda p: (p["freq"] == F.col("freq")) & F.col("ord").between(p["lo"], p["hi"])), F.lit(False))
-    axes = F.coalesce(F.size("dimensions"), F.lit(0))
-    wrong_levels = F.size("levels") != F.greatest(axes, F.lit(0))
-    picked = F.zip_with(F.coalesce("dimensions", F.array().cast("array<struct<level:int,obj_id:string,vals:array<struct<value_id:string,value_name:string>>>>")), F.col("levels"), lambda d, v: F.exists(d["vals"], lambda x: x["value_id"] == v))
-    no_value = F.exists(picked, lambda ok: ~F.coalesce(ok, F.lit(False)))
+    """Each plan ``(target_id, table_key, itm_id, freq, ord, levels)`` with the codes of what its profile, one a table, does not hold.
+
+    No plan meets all items or values of its table: a profile's items and values are rows of their own, joined by what a plan names.
+    """
+    c = F.col
+    items = profiles.select("table_key", F.explode("items").alias("i")).select("table_key", c("i.itm_id").cast("string").alias("_item")).distinct()
+    vals = profiles.select("table_key", F.posexplode("dimensions").alias("_at", "d")).select("table_key", "_at", F.explode("d.vals").alias("x")).select("table_key", "_at", c("x.value_id").alias("_value")).distinct()
+    tables = profiles.select("table_key", "periods", (c("items").isNull() & c("periods").isNull()).alias("_bare"), F.size("dimensions").alias("_axes"))
+    # Each different choice of levels is looked up once; how many of its values their axes hold.
+    chosen = plans.select("table_key", "levels").distinct().select("table_key", "levels", F.posexplode("levels").alias("_at", "_value"))
+    met = chosen.join(vals, ["table_key", "_at", "_value"]).groupBy("table_key", "levels").agg(F.count("*").alias("_met"))
+    joined = (
+        plans.withColumn("_item", c("itm_id").cast("string")).join(items.withColumn("_known", F.lit(True)), ["table_key", "_item"], "left")
+        .join(met, ["table_key", "levels"], "left").join(tables, "table_key", "left")
+    )
+    no_item = c("_known").isNull()
+    no_period = ~F.coalesce(F.exists("periods", lambda p: (p["freq"] == c("freq")) & c("ord").between(p["lo"], p["hi"])), F.lit(False))
+    axes = F.greatest(F.coalesce("_axes", F.lit(0)), F.lit(0))
+    wrong_levels = F.size("levels") != axes
+    no_value = c("levels").isNotNull() & (F.coalesce("_met", F.lit(0)) < F.greatest(F.size("levels"), axes))
     codes = F.array(
-        F.when(F.col("items").isNull() & F.col("periods").isNull(), F.lit("TABLE_ID_MISMATCH")), F.when(no_item, F.lit("ITEM_ID_OR_UNIT")), F.when(~F.col("freq").isin("Y", "M", "Q"), F.lit("PERIOD_PARAMETER")).when(no_period, F.lit("PERIOD_RANGE")),
+        F.when(F.coalesce("_bare", F.lit(True)), F.lit("TABLE_ID_MISMATCH")), F.when(no_item, F.lit("ITEM_ID_OR_UNIT")), F.when(~c("freq").isin("Y", "M", "Q"), F.lit("PERIOD_PARAMETER")).when(no_period, F.lit("PERIOD_RANGE")),
         F.when(wrong_levels, F.lit("OBJ_LEVEL_KEYS")), F.when(no_value, F.lit("OBJ_LEVEL_VALUE")),
     )
     return joined.select("target_id", F.array_compact(codes).alias("errors"))
