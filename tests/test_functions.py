@@ -317,3 +317,15 @@ def test_plan_inventory_meets_only_what_a_plan_names(spark):
     out = scope.plan_inventory(plans, profiles)
     assert {r.target_id: ",".join(r.errors) for r in out.collect()} == {r[0]: r[6] for r in rows}
     assert "exists(items" not in out.select(F.col("errors"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_findings_read_texts_once_in_even_tasks(spark):
+    """Sentences are dealt over all cores and more as rows grow; specs are made of them once, not once for each use."""
+    from veristrata.plans import findings
+    from veristrata.sources.tables import spread
+
+    folder = "/root/testdata/sf0.001"
+    assert findings.sentences(spark, folder).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert spread(spark.range(1000), "id", rows=10).rdd.getNumPartitions() == 100
+    plan = findings.same_series(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "c_custkey" in findings.range_specs(spark, folder)._jdf.queryExecution().optimizedPlan().toString() and "lag(" not in plan

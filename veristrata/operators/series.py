@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .binding import family_key
+from .context import checkpointed
 
 # How sentences name months, and the four findings that are read.
 MONTH = r"(0?[1-9]|1[0-2])월"
@@ -150,6 +151,7 @@ def evaluate_ranges(specs: DataFrame, cells: DataFrame, spec_id: list[str], seri
     the year before. MONTH_OF_YEAR_MAX_SINCE: the current value strictly above all others compared; YOY_DIFFERENCE_MAX_SINCE and
     YOY_RATE_MAX_SINCE: so the change to the year before (rates by cross products, without division). ``cells`` hold decimals.
     """
+    specs = checkpointed(specs)  # read twice, and made of texts
     counted = cells.groupBy(*series, F.col(period).alias("_p")).agg(F.count("*").alias("_n"), F.min(value).alias("_v"))
     asked = specs.select(*spec_id, *series, "operator", F.explode("expected").alias("_p"))
     found = asked.join(counted, [*series, "_p"], "left")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import series
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,7 +30,8 @@ _MADE = {
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     named = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = table(spark, d, "customer").join(F.broadcast(named), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    customers = spread(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey")  # the one shuffle of windows and texts
+    rows = customers.join(F.broadcast(named), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3))))
     for name, sql in _MADE.items():
         rows = rows.withColumn(name, F.expr(sql))
     return rows.select(F.col("c_custkey").alias("article"), F.col("i").alias("idx"), "paragraph", "text", "indicator", "published", "hint", "r_name")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 
@@ -15,6 +16,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, *by: str, rows: int = 20_000) -> DataFrame:
+    """Rows dealt by key over at least as many tasks as there are cores, and more as rows grow: for texts that cost more than their bytes tell, by which Spark sizes its tasks."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / rows))
+    return df.repartition(tasks, *by)
+
+
 def json_lines(spark: SparkSession, path: str, schema: StructType | str, tolerant: bool = False) -> DataFrame:
     """Blank lines are skipped. A malformed line fails the scan, or, if ``tolerant``, lands in ``_corrupt_record``."""
     if not tolerant:
