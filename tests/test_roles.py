@@ -74,3 +74,11 @@ def test_baseline_in_parentheses_is_the_other_side(spark):
     assert {r.value: (r.indicator, r.indicator_pairing, r.period, r.baseline, r.basis) for r in out.collect()} == {
         "9": ("수출 증가율", "POSITIONAL", "2025-03", "2025-02", "MOM"), "7": ("수출액", "PARENTHESIZED_BASELINE", "2025-02", "", "NONE"),
     }
+
+
+def test_tasks_of_the_stack_follow_rows(spark):
+    """Values are read by as many tasks as rows ask for, where bytes alone would ask for one."""
+    rows = roles.sentence_values(spark.createDataFrame([("a", "3월 수출액은 9%였다.", "2025-04-10")], "article_idx string, article_text string, date string"))
+    layout = spark.createDataFrame([("a", 0, True, None, "공식집계", [("수출액", 3, 6)], None, "", "")], LAYOUT)
+    assert roles.assign_roles(rows, layout, 23).rdd.getNumPartitions() == 23
+    assert [r.value for r in roles.assign_roles(rows, layout, 23).collect()] == ["9"]

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import tasks_for
 from . import fields, roles, routing
 
+#: Articles of one task at most, on average.
+ARTICLES = 10_000
 
-def compose_and_route(assigned: DataFrame, articles: DataFrame, threshold: float = 0.5) -> DataFrame:
+
+def compose_and_route(assigned: DataFrame, articles: DataFrame, threshold: float = 0.5, tasks: int | None = None) -> DataFrame:
     """Adds the fields that a value is searched by, routing and query variants."""
-    dated = assigned.join(articles.select("article_idx", F.to_date("date").alias("published")), "article_idx")
+    dated = assigned.repartition(tasks or tasks_for(articles, ARTICLES), "article_idx").join(articles.select("article_idx", F.to_date("date").alias("published")), "article_idx")
     out = fields.compose_fields(dated, F.col("published"))
     routed = routing.route(F.col("source_subtype"), F.col("label"), F.concat("value", "unit"), F.col("clarify"), threshold)
     variants = routing.query_variants(F.col("label"), F.coalesce(F.get("item", F.lit(0)), F.lit("")), F.col("sentence"))
@@ -19,7 +23,8 @@ def compose_and_route(assigned: DataFrame, articles: DataFrame, threshold: float
 
 def run_stack(articles: DataFrame, layout: DataFrame) -> DataFrame:
     """Every value of the articles with its roles, fields and route; ``layout`` as of ``roles.assign_roles``, ``articles(article_idx, article_text, date)``."""
-    return compose_and_route(roles.assign_roles(roles.sentence_values(articles), layout), articles)
+    tasks = tasks_for(articles, ARTICLES)
+    return compose_and_route(roles.assign_roles(roles.sentence_values(articles), layout, tasks), articles, tasks=tasks)
 
 
 def query_register(targets: DataFrame) -> DataFrame:

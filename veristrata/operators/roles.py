@@ -69,7 +69,7 @@ def _layout(layout: DataFrame) -> DataFrame:
     return layout.select("article_idx", "sentence_id", F.coalesce("opens", F.lit(False)).alias("opens"), "governing", "subtype", scopes.alias("scopes"), state.alias("state"), blank(F.col("period_raw")).alias("own_period"))
 
 
-def assign_roles(rows: DataFrame, layout: DataFrame) -> DataFrame:
+def assign_roles(rows: DataFrame, layout: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row a value of ``sentence_values``, with what holds for it.
 
     ``layout(article_idx, sentence_id, opens, governing, subtype, period_raw)``, one row a sentence,
@@ -85,6 +85,7 @@ def assign_roles(rows: DataFrame, layout: DataFrame) -> DataFrame:
     region names: the only one of the sentence is EXACT, several are AMBIGUOUS.
 
     Sentences keep their values in one row up to the end, so every join and window moves sentences, not values.
+    ``tasks``: how many tasks read their values, where Spark, which goes by bytes, would take too few.
     """
     key = ["article_idx", "sentence_id"]
     given = _layout(layout)
@@ -94,7 +95,9 @@ def assign_roles(rows: DataFrame, layout: DataFrame) -> DataFrame:
     spine = rows.join(given, key, "full_outer")
     carried = context.inherit(spine, ["article_idx"], "sentence_id", F.try_element_at("scopes", F.lit(-1))["label"], "i")
     carried = context.inherit(carried, ["article_idx"], "sentence_id", F.col("own_period"), "t")
-    full = carried.where(F.size("values") > 0).join(region, key, "left").join(sources, ["article_idx", "region"], "left")
+    placed = carried.where(F.size("values") > 0).join(region, key, "left")
+    placed = placed.repartition(tasks, "article_idx", "region") if tasks else placed  # the shuffle of the next join
+    full = placed.join(sources, ["article_idx", "region"], "left")
     usable = lambda c: F.when(F.col("region").isNull() | (F.col(f"{c}_from") >= F.col("region")), F.col(c))
     each = full.select(
         *key, "sentence", "char_start", "region", "source_subtype", "region_period_raw", "own_period", F.coalesce("scopes", F.array().cast(SCOPES)).alias("scopes"), F.coalesce(F.col("state").isin(*OPEN_STATES), F.lit(False)).alias("clarify"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import compare, legacy, period, quantity
 from ..operators import binding, layers, pages, routing, scope, text
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -262,7 +262,7 @@ _A, _B, _D = "p_size % 5 + 1", "p_partkey % 10", "p_partkey % 9 + 1"
 
 def _stacked(s: SparkSession, d: str) -> DataFrame:
     """Three sentences an article: who says it, a rate, and its change from the year before; every seventh article is a private survey's."""
-    p = table(s, d, "part")
+    p = spread(table(s, d, "part").select("p_partkey", "p_size"), "p_partkey", rows=10_000)
     body = F.concat(F.lit("국가데이터처가 2025년 3월 고용동향을 발표했다. 3월 실업률은 "), F.expr(f"concat({_A}, '.', {_B})"), F.lit("%를 기록했다. 전년 동월보다 0."), F.expr(f"cast({_D} as string)"), F.lit("%p 올랐다."))
     articles = p.select(F.col("p_partkey").cast("string").alias("article_idx"), F.lit("t").alias("title"), body.alias("article_text"), F.lit("2025-04-10").alias("date"))
     whose = F.when(F.col("p_partkey") % 7 == 3, "민간조사").otherwise("공식집계")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fields, roles
-from ..sources.tables import table
+from ..sources.tables import table, tasks_for
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -17,10 +17,13 @@ _LINES = """SELECT o_custkey AS a, row_number() OVER (PARTITION BY o_custkey ORD
 _SENTENCE = "CASE k WHEN 0 THEN concat('서울 수출은 전년 동월보다 ', q, '% 늘었다.') WHEN 1 THEN concat('서울 생산은 ', q, '%, 부산 소비는 ', q + 1, '% 줄었다.') WHEN 2 THEN concat('증가율은 ', q, '%였다.') ELSE concat(m, '월에는 전월보다 ', q, '% 올랐다.') END"
 
 
+def _tasks(s: SparkSession, d: str) -> int:
+    return tasks_for(table(s, d, "orders"), 20_000)  # a sentence an order
+
+
 def made_articles(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Articles, each opened by a sentence that dates it, and their layout: labels with places (shapes 0 and 1), without (2) and none (3)."""
-    tasks = max(s.sparkContext.defaultParallelism, int(s.conf.get("spark.sql.shuffle.partitions")))
-    orders = table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate").repartition(tasks, "o_custkey")  # the one shuffle of window and groups; texts cost more than their bytes tell
+    orders = table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate").repartition(_tasks(s, d), "o_custkey")  # the one shuffle of window and groups; texts cost more than their bytes tell
     lines = s.sql(_LINES.replace("FROM orders", "FROM {orders}"), orders=orders).withColumn("said", F.expr(_SENTENCE))
     each = lines.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("sid", "said", "k", "q", "opens"))).alias("lines"), F.max(F.to_date("o_orderdate")).alias("day"))
     dated = F.concat(F.year("day").cast("string"), F.lit("년 "), F.month("day").cast("string"), F.lit("월"))
@@ -51,7 +54,7 @@ v AS (SELECT h.*, p.place, CASE WHEN k = 1 AND p.place = 0 THEN '생산' ELSE ow
 
 def assign_roles(s: SparkSession, d: str) -> DataFrame:
     articles, layout = made_articles(s, d)
-    return roles.assign_roles(roles.sentence_values(articles), layout).select(
+    return roles.assign_roles(roles.sentence_values(articles), layout, _tasks(s, d)).select(
         "article_idx", "sentence_id", "value", "indicator", "indicator_source", "indicator_pairing", "region", "source_subtype", "period_raw", "period_source", "region_status", "region_surface"
     )
 
@@ -66,7 +69,8 @@ SQL["assign_roles"] = f"""WITH {_HELD} SELECT a::VARCHAR AS article_idx, sid::IN
 
 def compose_fields(s: SparkSession, d: str) -> DataFrame:
     articles, layout = made_articles(s, d)
-    assigned = roles.assign_roles(roles.sentence_values(articles), layout).join(articles.select("article_idx", F.to_date("date").alias("day")), "article_idx")
+    tasks = _tasks(s, d)
+    assigned = roles.assign_roles(roles.sentence_values(articles), layout, tasks).repartition(tasks, "article_idx").join(articles.select("article_idx", F.to_date("date").alias("day")), "article_idx")
     out = fields.compose_fields(assigned, F.col("day"))
     return out.select("article_idx", "sentence_id", "value", "measurement", "basis", "period", "baseline", "period_note", "period_grain", "period_basis", "direction", F.array_join("item", ",").alias("item"), F.array_join("dimension", ",").alias("dimension"))
 

@@ -16,11 +16,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, *by: str, rows: int = 20_000) -> DataFrame:
-    """Rows dealt by key over at least as many tasks as there are cores, and more as rows grow: for texts that cost more than their bytes tell, by which Spark sizes its tasks."""
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """At least as many tasks as there are cores, and one for each so many rows."""
     spark = df.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / rows))
-    return df.repartition(tasks, *by)
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / rows))
+
+
+def spread(df: DataFrame, *by: str, rows: int = 20_000) -> DataFrame:
+    """Rows dealt by key over ``tasks_for``: for texts that cost more than their bytes tell, by which Spark sizes its tasks."""
+    return df.repartition(tasks_for(df, rows), *by)
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str, tolerant: bool = False) -> DataFrame:
