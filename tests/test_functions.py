@@ -329,3 +329,16 @@ def test_findings_read_texts_once_in_even_tasks(spark):
     assert spread(spark.range(1000), "id", rows=10).rdd.getNumPartitions() == 100
     plan = findings.same_series(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "c_custkey" in findings.range_specs(spark, folder)._jdf.queryExecution().optimizedPlan().toString() and "lag(" not in plan
+
+
+def test_equal_texts_are_read_once_and_batches_in_slices():
+    import pandas as pd
+
+    from veristrata.operators import text
+
+    asked = []
+    assert text.each_once(lambda x, y: asked.append((x, y)) or (x, y), pd.Series(["a", None, "a", None], dtype=object), pd.Series([1, 2, 1, 2])) == [("a", 1), (None, 2), ("a", 1), (None, 2)]
+    assert asked == [("a", 1), (None, 2)]
+    whole = pd.Series([f"{i}." for i in range(text.SLICE * 2 + 3)])
+    parts = list(text.in_slices(iter([whole, whole.iloc[:0]]), lambda rows: rows.map(text.split_sentences)))
+    assert [len(p) for p in parts] == [text.SLICE, text.SLICE, 3] and [s[0]["text"] for p in parts for s in p] == list(whole)
