@@ -342,3 +342,13 @@ def test_equal_texts_are_read_once_and_batches_in_slices():
     whole = pd.Series([f"{i}." for i in range(text.SLICE * 2 + 3)])
     parts = list(text.in_slices(iter([whole, whole.iloc[:0]]), lambda rows: rows.map(text.split_sentences)))
     assert [len(p) for p in parts] == [text.SLICE, text.SLICE, 3] and [s[0]["text"] for p in parts for s in p] == list(whole)
+
+
+def test_postings_move_texts_not_terms(spark):
+    from veristrata.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "a b a", "x"), (1, "a", "x"), (None, "b", "y"), (3, None, None)], "id bigint, text string, source string")
+    out = retrieval.postings(docs, "id", "text", ["source"])
+    assert sorted(map(str, out.select("id", "source", "len", "term", "tf").collect())) == sorted(map(str, spark.createDataFrame([(1, "x", 3, "a", 2), (1, "x", 3, "b", 1), (1, "x", 1, "a", 1), (None, "y", 1, "b", 1)], "id bigint, source string, len int, term string, tf bigint").collect()))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(id") == 1 and "hashpartitioning(id#" in plan and "term#" not in plan.split("Exchange hashpartitioning(", 1)[1].split(")", 1)[0]

@@ -19,7 +19,9 @@ def terms(text: Column) -> Column:
 
 def postings(records: DataFrame, record_id: str, text: str, carry: list[str] | None = None) -> DataFrame:
     """``(term, record_id, tf, len, …)``: one row for each term of each record."""
-    split = records.select(record_id, *(carry or []), terms(F.col(text)).alias("t"))
+    # Texts are moved instead of their terms' rows: a record's terms are then counted where it lies.
+    dealt = records.select(record_id, *(carry or []), text).repartition(record_id, *(carry or []))
+    split = dealt.select(record_id, *(carry or []), terms(F.col(text)).alias("t"))
     exploded = split.select(record_id, *(carry or []), F.size("t").alias("len"), F.explode("t").alias("term"))
     return exploded.groupBy(record_id, *(carry or []), "len", "term").agg(F.count("*").alias("tf"))
 
