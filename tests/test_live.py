@@ -86,3 +86,36 @@ def test_labels_by_brute_force(spark):
         found = [(i, t, k, *h) for k, h in hits if h]
         want |= set(found) if found else {(i, t, mine[0][0], "SINGLETON_INVENTORY", None, None)} if len(mine) == 1 else {(i, t, None, "NO_SUBSPAN_MATCH", None, None)}
     assert {(r.target_id, r.table_key, r.itm_id, r.rule, r.start, r["size"]) for r in got.collect()} == want and got.where(F.col("rule") == "SEMANTIC_ALIAS").count() > 5
+
+
+def test_equal_claims_are_worked_out_once(spark, release, monkeypatch):
+    """Many targets that say the same cost one binding, and each gets the answer that it would get alone."""
+    times, asked = 4, []
+    many = targets(spark, [(i + 100 * j, *rest) for j in range(times) for i, *rest in ROWS])
+    alone = {r.target_id: tuple(r)[1:] for r in live.run(targets(spark, ROWS), release)[0].collect()}
+    match = live.item_match
+    monkeypatch.setattr(live, "item_match", lambda claims, *more: asked.append(claims.count()) or match(claims, *more))
+    answers, ledger = live.run(many, release, budgets={"search": 11 * times + 4 * times})
+    # Eight different (indicator, unit, region, population) are open at first, a null one among them, then four; not 44 and 16.
+    assert asked == [8, 4]
+    got = {r.target_id: tuple(r)[1:] for r in answers.collect()}
+    assert answers.count() == len(got) == times * len(ROWS)
+    assert got == {i + 100 * j: alone[i] for j in range(times) for i in alone}
+    told = {r.round: r for r in ledger.collect()}
+    assert (told[0].open, told[0].answered, told[0].corrected, told[0].ready, told[0].cells) == (11 * times, 7 * times, 4 * times, 4 * times, 3) and (told[1].open, told[1].answered) == (4 * times, 4 * times)
+    short = {r.status for r in live.run(many, release, budgets={"search": 11 * times - 1})[0].where("target_id % 100 <> 9").collect()}
+    assert short == {"BUDGET_EXHAUSTED"}
+
+
+def test_a_search_may_tell_equal_claims_apart(spark, release):
+    only_first = lambda work, broad: work.where("target_id = 1").select("target_id", F.lit("T1").alias("table_key"), F.lit(1).alias("rank"))
+    got = {r.target_id: r.status for r in live.run(targets(spark, [(i, *ROWS[0][1:]) for i in (1, 2)]), release, only_first)[0].collect()}
+    assert got == {1: "MATCH", 2: "NO_CANDIDATE"}
+
+
+def test_orders_are_read_once(spark, monkeypatch):
+    from veristrata.plans import live as plan
+
+    read, table = [], plan.table
+    monkeypatch.setattr(plan, "table", lambda s, d, name: read.append(name) or table(s, d, name))
+    assert plan.live_loop(spark, "/root/testdata/sf0.001").count() and read.count("orders") == 1
