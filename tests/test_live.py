@@ -119,3 +119,14 @@ def test_orders_are_read_once(spark, monkeypatch):
     read, table = [], plan.table
     monkeypatch.setattr(plan, "table", lambda s, d, name: read.append(name) or table(s, d, name))
     assert plan.live_loop(spark, "/root/testdata/sf0.001").count() and read.count("orders") == 1
+
+
+def test_the_ledger_counts_its_budget_without_numbers(spark, monkeypatch):
+    """The orders are read once, and the claims with their numbers are made once, for the rounds."""
+    from veristrata.plans import live as plan
+
+    read, ran, table, run = [], [], plan.table, live.run
+    monkeypatch.setattr(plan, "table", lambda s, d, name: read.append(name) or table(s, d, name))
+    monkeypatch.setattr(live, "run", lambda some, *more, **named: ran.append((named["budgets"]["search"], some.where("routing_class = 'KOSIS_CANDIDATE'").count())) or run(some, *more, **named))
+    assert plan.live_ledger(spark, "/root/testdata/sf0.001").count() == 2 and read.count("orders") == 1
+    assert len(ran) == 1 and ran[0][0] == ran[0][1] > 0

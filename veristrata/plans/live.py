@@ -50,11 +50,17 @@ def catalog(spark: SparkSession, d: str, official: DataFrame) -> live.Catalog:
     return live.Catalog(titles, items, values, coverage, official)
 
 
-def targets(spark: SparkSession, d: str, official: DataFrame) -> DataFrame:
-    """A claim a customer: the true number in two of three cases, by one too much in the third; five where there is no number."""
+def speakers(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer with its nation and what it says, all but the number."""
     rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     for name, sql in _SAYS.items():
         rows = rows.withColumn(name, F.expr(sql))
+    return rows
+
+
+def targets(spark: SparkSession, d: str, official: DataFrame) -> DataFrame:
+    """A claim a customer: the true number in two of three cases, by one too much in the third; five where there is no number."""
+    rows = speakers(spark, d)
     item = F.when(F.col("indicator").endswith("건수"), "A").otherwise("B")
     truth = official.select("table_key", "itm_id", "value_ids", F.col("period").alias("at"), "value")
     asked = rows.select("*", F.concat(F.lit("T-"), "c_mktsegment").alias("table_key"), item.alias("itm_id"), F.when(F.col("region") == "", "all").otherwise(F.col("n_nationkey").cast("string")).alias("value_ids"), F.concat(F.col("y").cast("string"), F.lit("-"), F.lpad(F.col("m").cast("string"), 2, "0")).alias("at"))
@@ -77,8 +83,8 @@ def live_loop(spark: SparkSession, d: str) -> DataFrame:
 def live_ledger(spark: SparkSession, d: str) -> DataFrame:
     """What the rounds took, with a budget that the second round passes."""
     official = cells(spark, d)
-    some = targets(spark, d, official)
-    _, ledger = live.run(some, catalog(spark, d, official), budgets={"search": some.where("routing_class = 'KOSIS_CANDIDATE'").count()})
+    routed = speakers(spark, d).where("routing_class = 'KOSIS_CANDIDATE'").count()  # customers tell; no number is asked for
+    _, ledger = live.run(targets(spark, d, official), catalog(spark, d, official), budgets={"search": routed})
     return ledger.select("round", "open", "answered", "corrected")
 
 
